@@ -15,6 +15,21 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import toxicity
+
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity_chain(spark, docs, sf_dir))
+
+
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """The chain low quality, then toxic, fitted to the labels of these documents."""
+    from tidemark.llm import toxicity
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("doc_id", "1 - quality as low_quality", "toxic")
+    return toxicity.fit_chain(docs, labels, ["low_quality", "toxic"])
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,12 +44,27 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_neighbour(_documents(spark, sf_dir))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.ann import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe import round_trip
 
     return round_trip(_documents(spark, sf_dir), _tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_document_fingerprints, op9_bpe_round_trip)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import fit_quality, score
+
+    docs = _documents(spark, sf_dir)
+    return score(docs, fit_quality(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_best_fit_packing, op4_document_fingerprints, op8_nearest_neighbours, op9_bpe_round_trip, op10_quality_classifier)}
 
 ORACLE: dict[str, str] = {}
