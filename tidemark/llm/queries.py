@@ -38,12 +38,24 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), _tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffix_array import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir)).drop("kept_raw")
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.fingerprint import fingerprint_with_neighbour
 
     return fingerprint_with_neighbour(_documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.substring import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir)).drop("kept_text")
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -65,6 +77,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_quality(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_best_fit_packing, op4_document_fingerprints, op8_nearest_neighbours, op9_bpe_round_trip, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_best_fit_packing, op3_suffix_array_dedup, op4_document_fingerprints, op6_substring_dedup, op8_nearest_neighbours, op9_bpe_round_trip, op10_quality_classifier)}
 
 ORACLE: dict[str, str] = {}
