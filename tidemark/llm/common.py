@@ -50,7 +50,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     )
     if cur.isEmpty():
-        return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node goes to the node's smallest neighbour (or itself)
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -69,4 +69,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())

@@ -56,6 +56,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir)).drop("kept_text")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -77,6 +83,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_quality(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_best_fit_packing, op3_suffix_array_dedup, op4_document_fingerprints, op6_substring_dedup, op8_nearest_neighbours, op9_bpe_round_trip, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_best_fit_packing, op3_suffix_array_dedup, op4_document_fingerprints, op6_substring_dedup, op7_ngram_jaccard_join, op8_nearest_neighbours, op9_bpe_round_trip, op10_quality_classifier)}
 
 ORACLE: dict[str, str] = {}
