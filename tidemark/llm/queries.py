@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _tokenizer_path(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -35,7 +35,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tidemark.llm.packing import pack
 
-    return pack(_documents(spark, sf_dir), _tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    return pack(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,12 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_neighbour(_documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lines import dedup_lines
+
+    return dedup_lines(_documents(spark, sf_dir)).drop("kept_text")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.substring import remove_repeats
 
@@ -73,7 +79,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe import round_trip
 
-    return round_trip(_documents(spark, sf_dir), _tokenizer_path("word_bpe_49k.json"))
+    return round_trip(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +89,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_quality(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_best_fit_packing, op3_suffix_array_dedup, op4_document_fingerprints, op6_substring_dedup, op7_ngram_jaccard_join, op8_nearest_neighbours, op9_bpe_round_trip, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_best_fit_packing, op3_suffix_array_dedup, op4_document_fingerprints, op5_line_dedup, op6_substring_dedup, op7_ngram_jaccard_join, op8_nearest_neighbours, op9_bpe_round_trip, op10_quality_classifier)}
 
 ORACLE: dict[str, str] = {}

@@ -243,3 +243,30 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     cols = repeated_strings(docs, width, gram).select("doc_id", "text", "a", "b")
     return cols.mapInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_raw binary")
+
+
+def keep_rest(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """documents with the repeated bytes cut out of `text`, other columns as they are; n_chars, if there, follows the text.
+
+    A character of which only some bytes are covered goes as a whole. Documents left without text stay, as empty ones.
+    """
+    spans = repeated_strings(documents, width, gram).where("a is not null").groupBy("key").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    docs = documents.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    both = docs.join(spans, "key", "left").drop("key")
+    count = "n_chars" in documents.columns
+
+    def apply(batches):
+        for b in batches:
+            texts = []
+            for text, lo, hi in zip(b["text"], b["a"], b["b"]):
+                if lo is not None:
+                    raw = text.encode("utf-8")
+                    text = np.frombuffer(raw, dtype=np.uint8)[~repeats.mask(len(raw), lo, hi, width)].tobytes().decode("utf-8", "ignore")
+                texts.append(text or "")
+            b["text"] = texts
+            if count:
+                b["n_chars"] = [len(t) for t in texts]
+            yield b[documents_columns]
+
+    documents_columns = documents.columns
+    return both.mapInPandas(apply, documents.schema)
