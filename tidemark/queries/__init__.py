@@ -1,8 +1,11 @@
 """Queries of the analytics engine over the driver's tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidemark.queries import books, market
+
+QUERIES = {**market.QUERIES, **books.QUERIES}
+ORACLE = {**market.ORACLE, **books.ORACLE}
 
 
 def flagship(spark, sf_dir):
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    """Leaders by distance from their 20-day average."""
+    return QUERIES["TA_01_TK_01_sma_leaders"](spark, sf_dir)
