@@ -24,13 +24,12 @@ from tidemark.llm.common import checkpoint, components, materialize
 WORDS, GROWTH, TOGETHER, BLOCK = 3, 1.3, 512, 256
 #: The cost of meeting a set by chance, in keys.
 CHANCE = 0.01
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; of the whole sequence where there are fewer words; none without words."""
-    w = repeats.word_units(text.translate(_LOWER))
+    w = repeats.hashed_words(text.encode("utf-8").lower().split())  # lower() of bytes is that of A to Z alone
     if not len(w):
         return w
     if len(w) < words:

@@ -10,7 +10,6 @@ Documents are identified by a 64-bit hash of id and text, so that rows of one id
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -20,13 +19,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import materialize
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 31) - 1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_memo: dict[str, int] = {}
+_memo: dict[bytes, int] = {}
 
 
 def byte_units(text: str) -> np.ndarray:
@@ -34,16 +32,27 @@ def byte_units(text: str) -> np.ndarray:
     return _BYTES[np.frombuffer(text.encode("utf-8"), dtype=np.uint8)]
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words, runs of anything but ASCII white space, in UTF-8; splitting bytes splits at just those characters."""
+    return text.encode("utf-8").split()
+
+
 def word_units(text: str) -> np.ndarray:
     """A 64-bit hash for each word."""
-    memo, out = _memo, []
-    for w in WORD.findall(text):
-        if (h := memo.get(w)) is None:
-            if len(memo) > 500_000:
-                memo.clear()
-            h = memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    return hashed_words(words_of(text))
+
+
+def hashed_words(words: list[bytes]) -> np.ndarray:
+    memo = _memo
+    try:
+        return np.array([memo[w] for w in words], dtype=np.uint64)
+    except KeyError:
+        if len(memo) > 500_000:
+            memo.clear()
+        for w in words:
+            if w not in memo:
+                memo[w] = xxhash.xxh3_64_intdigest(w)
+        return np.array([memo[w] for w in words], dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -42,10 +42,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         for b in batches:
             rows = []
             for doc, text, lo, hi in zip(b["doc_id"], b["text"], b["a"], b["b"]):
-                words = repeats.WORD.findall(text)
+                words = repeats.words_of(text)
                 gone = repeats.mask(len(words), lo, hi, width)
-                kept = " ".join([w for w, x in zip(words, gone) if not x])
-                rows.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept.encode("utf-8")).hexdigest(), kept))
+                kept = b" ".join([w for w, x in zip(words, gone) if not x])
+                rows.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     cols = repeated_paths(docs, width, gram).select("doc_id", "text", "a", "b")
