@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.technical import BY, full, last
+from tidemark.operators.technical import by_ts, full, last
 
 #: Starting capital, fee, slippage, share of capital used and lot.
 CAPITAL, FEE, SLIPPAGE, USED, LOT = 1e8, 0.0015, 0.001, 0.95, 100
@@ -62,7 +62,7 @@ def equity(signals: DataFrame, capital: float = CAPITAL, fee: float = FEE, slipp
 
 def metrics(curve: DataFrame, capital: float = CAPITAL, rf: float = 0.04) -> DataFrame:
     """Total return, yearly growth, drawdown, volatility, Sharpe, trades, win rate and profit factor (infinite without losses)."""
-    d = curve.withColumns({"ret": F.try_divide(F.col("equity"), F.lag("equity").over(BY)) - 1, "peak": F.max("equity").over(BY.rowsBetween(Window.unboundedPreceding, 0))})
+    d = curve.withColumns({"ret": F.try_divide(F.col("equity"), F.lag("equity").over(by_ts())) - 1, "peak": F.max("equity").over(by_ts().rowsBetween(Window.unboundedPreceding, 0))})
     win, loss = F.sum(F.when(F.col("trade_pnl") > 0, F.col("trade_pnl"))), F.sum(F.when(F.col("trade_pnl") <= 0, -F.col("trade_pnl")))
     g = d.groupBy("symbol").agg(
         F.max_by("equity", "ts").alias("final"), F.datediff(F.max("ts"), F.min("ts")).alias("days"), F.min(F.col("equity") / F.col("peak") - 1).alias("mdd"), (F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("vol"),
@@ -77,5 +77,5 @@ def metrics(curve: DataFrame, capital: float = CAPITAL, rf: float = 0.04) -> Dat
 
 
 def buy_and_hold(bars: DataFrame) -> DataFrame:
-    g = bars.withColumn("peak", F.max("close").over(BY.rowsBetween(Window.unboundedPreceding, 0))).groupBy("symbol")
+    g = bars.withColumn("peak", F.max("close").over(by_ts().rowsBetween(Window.unboundedPreceding, 0))).groupBy("symbol")
     return g.agg(((F.max_by("close", "ts") / F.min_by("close", "ts") - 1) * 100).alias("total_return"), (F.min(F.col("close") / F.col("peak") - 1) * 100).alias("max_drawdown"))

@@ -6,22 +6,22 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.technical import ALL, BY, last, ratio
+from tidemark.operators.technical import by_symbol, by_ts, last, ratio
 
 
 def latest(df: DataFrame) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(ALL.orderBy(F.desc("ts")))).where("rn = 1").drop("rn")
+    return df.withColumn("rn", F.row_number().over(by_symbol().orderBy(F.desc("ts")))).where("rn = 1").drop("rn")
 
 
 def bar_returns(bars: DataFrame, steps: dict[str, int]) -> DataFrame:
     """Percentage returns over numbers of bars, at the last bar."""
-    b = bars.where("close is not null").withColumns({k: (ratio(F.col("close"), F.lag("close", n).over(BY)) - 1) * 100 for k, n in steps.items()})
+    b = bars.where("close is not null").withColumns({k: (ratio(F.col("close"), F.lag("close", n).over(by_ts())) - 1) * 100 for k, n in steps.items()})
     return latest(b).select("symbol", *steps)
 
 
 def calendar_returns(bars: DataFrame) -> DataFrame:
     """Percentage returns since the last close at or before 7, 30, 91, 182, 365 days ago and the end of last year; the year's only with 360 days of history."""
-    b = bars.withColumn("end", F.max("ts").over(ALL))
+    b = bars.withColumn("end", F.max("ts").over(by_symbol()))
     anchors = {"ret_7d": 7, "ret_30d": 30, "ret_91d": 91, "ret_182d": 182, "ret_365d": 365}
     since = {k: F.col("end") - F.make_dt_interval(F.lit(n)) for k, n in anchors.items()} | {"ret_ytd": F.to_timestamp_ntz(F.make_date(F.year("end") - 1, F.lit(12), F.lit(31)))}
     aggs = [F.max_by("close", F.when(F.col("ts") <= a, F.col("ts"))).alias(k) for k, a in since.items()]
@@ -33,13 +33,13 @@ def calendar_returns(bars: DataFrame) -> DataFrame:
 
 def risk(bars: DataFrame) -> DataFrame:
     """Deviation of the last 30 daily returns (five at least) and the largest drawdown."""
-    b = bars.withColumns({"ret": ratio(F.col("close"), F.lag("close").over(BY)) - 1, "peak": F.max("close").over(BY.rowsBetween(Window.unboundedPreceding, 0)), "rn": F.row_number().over(ALL.orderBy(F.desc("ts")))})
+    b = bars.withColumns({"ret": ratio(F.col("close"), F.lag("close").over(by_ts())) - 1, "peak": F.max("close").over(by_ts().rowsBetween(Window.unboundedPreceding, 0)), "rn": F.row_number().over(by_symbol().orderBy(F.desc("ts")))})
     late = F.when(F.col("rn") <= 30, F.col("ret"))
     return b.groupBy("symbol").agg(F.when(F.count(late) >= 5, F.stddev_samp(late)).alias("volatility"), F.min(ratio(F.col("close") - F.col("peak"), F.col("peak"))).alias("max_drawdown"))
 
 
 def with_returns(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("ret", ratio(F.col("close"), F.lag("close").over(BY)) - 1)
+    return bars.withColumn("ret", ratio(F.col("close"), F.lag("close").over(by_ts())) - 1)
 
 
 def beta(bars: DataFrame, index: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def beta(bars: DataFrame, index: DataFrame) -> DataFrame:
 def relative_strength(bars: DataFrame, index: DataFrame, n: int = 60) -> DataFrame:
     """Return over the last n sessions common with the index, the index's, and their difference."""
     both = bars.select("symbol", "ts", "close").join(index.select("ts", F.col("close").alias("market")), "ts")
-    both = both.withColumn("rn", F.row_number().over(ALL.orderBy(F.desc("ts")))).where(F.col("rn") <= n)
+    both = both.withColumn("rn", F.row_number().over(by_symbol().orderBy(F.desc("ts")))).where(F.col("rn") <= n)
     change = lambda c: (F.max_by(c, "ts") / F.min_by(c, "ts") - 1) * 100
     g = both.groupBy("symbol").agg(change("close").alias("ret"), change("market").alias("index_ret"))
     return g.withColumns({"difference": F.col("ret") - F.col("index_ret"), "outperforms": F.col("ret") > F.col("index_ret")})
@@ -59,17 +59,17 @@ def relative_strength(bars: DataFrame, index: DataFrame, n: int = 60) -> DataFra
 
 def rebased(bars: DataFrame, n: int = 126) -> DataFrame:
     """Closes of the last n bars with the first of them as 100."""
-    b = bars.withColumn("rn", F.row_number().over(ALL.orderBy(F.desc("ts")))).where(F.col("rn") <= n)
-    return b.select("symbol", "ts", (F.col("close") / F.first("close").over(BY) * 100).alias("rebased"))
+    b = bars.withColumn("rn", F.row_number().over(by_symbol().orderBy(F.desc("ts")))).where(F.col("rn") <= n)
+    return b.select("symbol", "ts", (F.col("close") / F.first("close").over(by_ts()) * 100).alias("rebased"))
 
 
 def snapshot(bars: DataFrame) -> DataFrame:
     """Last bar of each symbol with changes, average, and 20-bar highs and lows that leave the bar itself out; symbols over three days behind are left out."""
-    before = BY.rowsBetween(-20, -1)
+    before = by_ts().rowsBetween(-20, -1)
     b = bars.withColumns(
         {
-            "change": (ratio(F.col("close"), F.lag("close").over(BY)) - 1) * 100, "ret_5": (ratio(F.col("close"), F.lag("close", 5).over(BY)) - 1) * 100,
-            "ret_20": (ratio(F.col("close"), F.lag("close", 20).over(BY)) - 1) * 100, "above_ma20": F.when(F.count("close").over(last(20)) == 20, F.col("close") > F.avg("close").over(last(20))),
+            "change": (ratio(F.col("close"), F.lag("close").over(by_ts())) - 1) * 100, "ret_5": (ratio(F.col("close"), F.lag("close", 5).over(by_ts())) - 1) * 100,
+            "ret_20": (ratio(F.col("close"), F.lag("close", 20).over(by_ts())) - 1) * 100, "above_ma20": F.when(F.count("close").over(last(20)) == 20, F.col("close") > F.avg("close").over(last(20))),
             "new_high": F.when(F.count("close").over(before) == 20, F.col("close") > F.max("close").over(before)), "new_low": F.when(F.count("close").over(before) == 20, F.col("close") < F.min("close").over(before)),
             "value": F.col("close") * F.col("volume"),
         }

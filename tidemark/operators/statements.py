@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_KEY = Window.partitionBy("symbol").orderBy("period_key")
-_ORD = Window.partitionBy("symbol").orderBy("qi")
+def _key():
+    return Window.partitionBy("symbol").orderBy("period_key")
+
+
+def _ord():
+    return Window.partitionBy("symbol").orderBy("qi")
 
 
 def div(a: Column, b: Column) -> Column:
@@ -14,12 +18,12 @@ def div(a: Column, b: Column) -> Column:
 
 def year_ago(x: Column) -> Column:
     """The value ten keys back, that is one year, whatever rows lie between."""
-    return F.first_value(x).over(_KEY.rangeBetween(-10, -10))
+    return F.first_value(x).over(_key().rangeBetween(-10, -10))
 
 
 def ttm(x: Column) -> Column:
     """Sum of four consecutive quarters, all there; needs the column qi of quarter ordinals."""
-    w = _ORD.rangeBetween(-3, 0)
+    w = _ord().rangeBetween(-3, 0)
     return F.when(F.count(x).over(w) == 4, F.sum(x).over(w))
 
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BY = Window.partitionBy("symbol").orderBy("ts")
-ALL = Window.partitionBy("symbol")
+def by_ts():
+    return Window.partitionBy("symbol").orderBy("ts")
+
+
+def by_symbol():
+    return Window.partitionBy("symbol")
 
 
 def last(n: int):
-    return BY.rowsBetween(-(n - 1), 0)
+    return by_ts().rowsBetween(-(n - 1), 0)
 
 
 def full(value: Column, of: str, n: int) -> Column:
@@ -24,7 +28,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def sma(bars: DataFrame, periods=(10, 20, 50, 100, 200), least: int = 30) -> DataFrame:
     """sma_<p>: null until p observations, and for symbols shorter than `least` bars."""
-    enough = F.count("*").over(ALL) >= least
+    enough = F.count("*").over(by_symbol()) >= least
     return bars.withColumns({f"sma_{p}": F.when(enough, full(F.avg("close").over(last(p)), "close", p)) for p in periods})
 
 
@@ -37,15 +41,15 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 def mfi(bars: DataFrame, n: int = 14) -> DataFrame:
     """Money flow index; null where there is no negative flow, and before n comparisons."""
     b = bars.withColumn("tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    b = b.withColumns({"prev_tp": F.lag("tp").over(BY), "flow": F.col("tp") * F.col("volume")})
+    b = b.withColumns({"prev_tp": F.lag("tp").over(by_ts()), "flow": F.col("tp") * F.col("volume")})
     b = b.withColumns({"up": F.when(F.col("tp") > F.col("prev_tp"), F.col("flow")).otherwise(0.0), "down": F.when(F.col("tp") < F.col("prev_tp"), F.col("flow")).otherwise(0.0)})
     up, down = F.sum("up").over(last(n)), F.sum("down").over(last(n))
     return b.withColumn("mfi", full(100 - 100 / (1 + ratio(up, down)), "tp", n)).drop("tp", "prev_tp", "flow", "up", "down")
 
 
 def obv(bars: DataFrame) -> DataFrame:
-    step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(BY)) * F.col("volume"), F.lit(0.0))
-    return bars.withColumn("step", step).withColumn("obv", F.sum("step").over(BY.rowsBetween(Window.unboundedPreceding, 0))).drop("step")
+    step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(by_ts())) * F.col("volume"), F.lit(0.0))
+    return bars.withColumn("step", step).withColumn("obv", F.sum("step").over(by_ts().rowsBetween(Window.unboundedPreceding, 0))).drop("step")
 
 
 def cmf(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -56,7 +60,7 @@ def cmf(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def roc(bars: DataFrame, n: int = 10) -> DataFrame:
-    return bars.withColumn("roc", ratio(F.col("close") - F.lag("close", n).over(BY), F.lag("close", n).over(BY)) * 100)
+    return bars.withColumn("roc", ratio(F.col("close") - F.lag("close", n).over(by_ts()), F.lag("close", n).over(by_ts())) * 100)
 
 
 def relative_volume(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -101,7 +105,7 @@ def exponential(bars: DataFrame) -> DataFrame:
 
 def trend(bars: DataFrame) -> DataFrame:
     """Score of the last bar against its averages, place within the last 20 closes, and a label."""
-    b = sma(bars, (20, 50, 200)).withColumns({"hi20": F.max("close").over(last(20)), "lo20": F.min("close").over(last(20)), "rn": F.row_number().over(ALL.orderBy(F.desc("ts")))})
+    b = sma(bars, (20, 50, 200)).withColumns({"hi20": F.max("close").over(last(20)), "lo20": F.min("close").over(last(20)), "rn": F.row_number().over(by_symbol().orderBy(F.desc("ts")))})
     b = b.where("rn = 1")
     sign = lambda a, c, p: F.when(F.col(c).isNull() | F.col(a).isNull(), 0).when(F.col(a) > F.col(c), p).otherwise(-p)
     score = sign("close", "sma_20", 1) + sign("close", "sma_50", 2) + sign("close", "sma_200", 3) + sign("sma_20", "sma_50", 1)
@@ -112,8 +116,8 @@ def trend(bars: DataFrame) -> DataFrame:
 
 def support_resistance(bars: DataFrame, window: int = 120) -> DataFrame:
     """The two nearest pivots below and above the last close, over the last 120 bars; pivots are extremes of 11 centred bars."""
-    b = bars.withColumns({"rn": F.row_number().over(ALL.orderBy(F.desc("ts"))), "now": F.last("close").over(BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).where(F.col("rn") <= window)
-    mid = BY.rowsBetween(-5, 5)
+    b = bars.withColumns({"rn": F.row_number().over(by_symbol().orderBy(F.desc("ts"))), "now": F.last("close").over(by_ts().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).where(F.col("rn") <= window)
+    mid = by_ts().rowsBetween(-5, 5)
     whole = F.count("*").over(mid) == 11
     b = b.withColumns({"top": F.when(whole & (F.col("high") == F.max("high").over(mid)), F.col("high")), "bottom": F.when(whole & (F.col("low") == F.min("low").over(mid)), F.col("low"))})
     g = b.groupBy("symbol").agg(F.count("*").alias("n"), F.max("now").alias("now"), F.sort_array(F.collect_set("top")).alias("tops"), F.sort_array(F.collect_set("bottom")).alias("bottoms"))
