@@ -24,7 +24,6 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 31) - 1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_memo: dict[bytes, int] = {}
 
 
 def byte_units(text: str) -> np.ndarray:
@@ -42,17 +41,22 @@ def word_units(text: str) -> np.ndarray:
     return hashed_words(words_of(text))
 
 
+class _Memo(dict):
+    """Hashes of words, each computed once; it starts anew when it has grown large."""
+
+    def __missing__(self, w: bytes) -> int:
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+_memo = _Memo()
+
+
 def hashed_words(words: list[bytes]) -> np.ndarray:
+    if len(_memo) > 500_000:
+        _memo.clear()
     memo = _memo
-    try:
-        return np.array([memo[w] for w in words], dtype=np.uint64)
-    except KeyError:
-        if len(memo) > 500_000:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([memo[w] for w in words], dtype=np.uint64)
+    return np.array([memo[w] for w in words], dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,12 +86,11 @@ class Hashes:
         return mixed((self.sums[k:] - self.sums[:-k]) * _powers[1][:n])
 
 
-def window_runs(units: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser hash, content hash, first window and number of windows of each run."""
+def window_runs(units: np.ndarray, width: int, gram: int, contents: bool = True) -> tuple[np.ndarray, ...]:
+    """Minimiser hash of each run, and its content hash, first window and number of windows if they are asked for."""
     n = len(units)
     if n < width:
-        z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z
+        return (np.zeros(0, dtype=np.int64),) * (4 if contents else 1)
     h = Hashes(units)
     g = h.grams(gram)
     key = (g & ~_PLACE) | (_PLACE - np.arange(len(g), dtype=np.uint64))
@@ -99,6 +102,8 @@ def window_runs(units: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, n
         low = np.minimum(low[: len(key) - span + 1], low[span - size :][: len(key) - span + 1])
     place = (_PLACE - (low & _PLACE)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    if not contents:
+        return (g[place[first]].view(np.int64),)
     count = np.diff(np.append(first, len(place)))
     content = h.of(first, first + count + (width - 1))
     return g[place[first]].view(np.int64), content.view(np.int64), first, count
@@ -125,7 +130,13 @@ def runs(docs: DataFrame, units: Callable[[str], np.ndarray], width: int, gram:
 
 def repeated_runs(docs: DataFrame, units: Callable[[str], np.ndarray], width: int, gram: int) -> DataFrame:
     """The runs whose minimiser occurs at least twice in the corpus; the others can't hold a repeated window."""
-    often = runs(docs, units, width, gram).groupBy("g").count().where("count > 1").select("g")
+
+    def scan(batches):
+        for b in batches:
+            parts = [window_runs(units(t), width, gram, contents=False)[0] for t in b["text"]]
+            yield pd.DataFrame({"g": np.concatenate(parts) if parts else []})
+
+    often = docs.select("text").mapInPandas(scan, "g long").groupBy("g").count().where("count > 1").select("g")
     return materialize(runs(docs, units, width, gram).join(often, "g"), "runs")
 
 
