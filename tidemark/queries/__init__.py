@@ -1,9 +1,9 @@
 """Queries of the analytics engine over the driver's tables, with their SQL."""
 
-from tidemark.queries import books, market
+from tidemark.queries import books, market, merges
 
-QUERIES = {**market.QUERIES, **books.QUERIES}
-ORACLE = {**market.ORACLE, **books.ORACLE}
+QUERIES = {**market.QUERIES, **books.QUERIES, **merges.QUERIES}
+ORACLE = {**market.ORACLE, **books.ORACLE, **merges.ORACLE}
 
 
 def flagship(spark, sf_dir):
