@@ -1,9 +1,9 @@
 """Queries of the analytics engine over the driver's tables, with their SQL."""
 
-from tidemark.queries import books, market, merges
+from tidemark.queries import books, market, merges, streams
 
-QUERIES = {**market.QUERIES, **books.QUERIES, **merges.QUERIES}
-ORACLE = {**market.ORACLE, **books.ORACLE, **merges.ORACLE}
+QUERIES = {**market.QUERIES, **books.QUERIES, **merges.QUERIES, **streams.QUERIES}
+ORACLE = {**market.ORACLE, **books.ORACLE, **merges.ORACLE, **streams.ORACLE}
 
 
 def flagship(spark, sf_dir):
