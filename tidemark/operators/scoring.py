@@ -14,6 +14,10 @@ ROE = ([(20, 25), (15, 18), (10, 12), (0, 5)], 0)
 GROWTH = ([(20, 20), (10, 15), (0, 10), (-10, 5)], 0)
 MARGIN = ([(20, 20), (10, 14), (5, 8), (0, 3)], 0)
 DEBT = ([(0.5, 20), (1.0, 15), (1.5, 10), (2.0, 5)], 0)
+SHORT = ([(5, 25), (2, 18), (0, 12), (-2, 6)], 0)
+MEDIUM = ([(10, 20), (3, 14), (0, 8), (-5, 4)], 0)
+LONG = ([(20, 20), (5, 14), (0, 8), (-10, 4)], 0)
+STRENGTH = ([(10, 20), (3, 15), (0, 10), (-5, 5)], 0)
 TO_PEERS = ([(1.0, 35), (1.3, 20)], 5)
 PE_ALONE = ([(20, 35), (30, 20)], 5)
 PB_ALONE = ([(1.5, 35), (3, 20)], 5)
@@ -25,8 +29,8 @@ MOST_PEERS, FEWEST_PEERS = 8, 3
 
 
 def ladder(x: Column, steps: tuple[list, float], way: str) -> Column:
-    """Points of the first step that holds x: way is one of `<`, `<=`, `>=`; null stays null."""
-    test = {"<": lambda b: x < b, "<=": lambda b: x <= b, ">=": lambda b: x >= b}[way]
+    """Points of the first step that holds x: way is one of `<`, `<=`, `>`, `>=`; null stays null."""
+    test = {"<": lambda b: x < b, "<=": lambda b: x <= b, ">": lambda b: x > b, ">=": lambda b: x >= b}[way]
     (bound, points), *more = steps[0]
     branches = reduce(lambda acc, s: acc.when(test(s[0]), s[1]), more, F.when(x.isNull(), None).when(test(bound), points))
     return branches.otherwise(steps[1]).cast("double")
@@ -50,6 +54,21 @@ def risk_score(df: DataFrame) -> DataFrame:
     return df.withColumns({"risk_score": score, "risk_coverage": most})
 
 
+def momentum_score(df: DataFrame) -> DataFrame:
+    """Adds momentum_score from returns in percent (ret_5, ret_10, ret_20, ret_60, ret_120), the difference to the index and rsi; half a pair that is missing counts as 0."""
+
+    def pair(a, b, x, y):
+        return F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), x * F.coalesce(a, F.lit(0.0)) + y * F.coalesce(b, F.lit(0.0)))
+
+    r = F.col("rsi")
+    rsi = F.when(r.isNull(), None).when(r.between(50, 70), 15).when(((r >= 40) & (r < 50)) | ((r > 70) & (r <= 80)), 8).when((r > 80) | (r < 30), 2).otherwise(5).cast("double")
+    score, _ = share([
+        (ladder(pair("ret_5", "ret_10", 0.4, 0.6), SHORT, ">"), 25), (ladder(F.col("ret_20"), MEDIUM, ">"), 20), (ladder(pair("ret_60", "ret_120", 0.5, 0.5), LONG, ">"), 20),
+        (ladder(F.col("difference"), STRENGTH, ">"), 20), (rsi, 15),
+    ])
+    return df.withColumn("momentum_score", score)
+
+
 def fundamental_score(df: DataFrame) -> DataFrame:
     """Adds fundamental_score from roe, revenue_growth, net_margin, debt_equity, cfo and net_income."""
     cfo, ni = F.col("cfo"), F.col("net_income")

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from tidemark.operators import performance as px, scoring as sc, statements as fr
 from tidemark.plans.bars import statements, table, walk_bars
 from tidemark.queries.books import PREPARED, RATIOS
-from tidemark.queries.market import BARS, NATION_BARS
+from tidemark.queries.market import BARS, NATION_BARS, STEPS
 from tidemark.sources import merge as mg
 
 QUERIES, ORACLE = {}, {}
@@ -139,3 +139,16 @@ def held(s, d):
 
 add("AG_07_JN_10_portfolio", lambda s, d: sc.positions(held(s, d), walk_bars(s, d).groupBy("symbol").agg(F.max_by("close", "ts").alias("price")).where("symbol <> 'AFRICA'")).groupBy("portfolio").agg(F.count("*").alias("positions"), F.sum("current_value").alias("total_value"), F.round(F.sum("weight"), 4).alias("weights"), F.round(F.avg("pnl_pct"), 2).alias("mean_pct")),
     f"WITH {BARS}, pr AS (SELECT symbol, max_by(close, ts) AS price FROM bars WHERE symbol <> 'AFRICA' GROUP BY symbol), h AS (SELECT o_orderpriority AS portfolio, r_name AS symbol, (o_orderkey % 90 + 10)::DOUBLE AS q, round(o_totalprice/300, 2) AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), x AS (SELECT portfolio, b*q*1.0015::DOUBLE AS cost, coalesce(price, 0)*q AS value FROM h LEFT JOIN pr USING (symbol)), y AS (SELECT portfolio, round_even(value, 0) AS cv, round_even((value-cost)/nullif(cost,0)*100, 2) AS pct FROM x) SELECT portfolio, count(*) AS positions, sum(cv) AS total_value, 100.0::DOUBLE AS weights, round(avg(pct), 2) AS mean_pct FROM y GROUP BY portfolio")
+
+
+def momentum(s, d):
+    """Momentum by region against ASIA, without the averages of gains and losses."""
+    bars = walk_bars(s, d)
+    strength = px.relative_strength(bars, bars.where("symbol = 'ASIA'")).select("symbol", "difference")
+    return sc.momentum_score(px.bar_returns(bars, STEPS).join(strength, "symbol", "left").withColumn("rsi", F.lit(None).cast("double")))
+
+
+PAIR = "CASE WHEN {0} IS NOT NULL OR {1} IS NOT NULL THEN {2}::DOUBLE*coalesce({0},0) + {3}::DOUBLE*coalesce({1},0) END"
+MOM_PARTS = [(case(PAIR.format("ret_5", "ret_10", 0.4, 0.6), sc.SHORT, ">"), 25), (case("ret_20", sc.MEDIUM, ">"), 20), (case(PAIR.format("ret_60", "ret_120", 0.5, 0.5), sc.LONG, ">"), 20), (case("difference", sc.STRENGTH, ">"), 20)]
+add("SC_02_momentum_score", lambda s, d: momentum(s, d).select("symbol", "momentum_score"),
+    f"WITH {BARS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn, {', '.join(f'(close/nullif(lag(close,{n}) OVER (PARTITION BY symbol ORDER BY ts),0)-1)*100 AS {k}' for k, n in STEPS.items())} FROM bars), ix AS (SELECT ts, close AS mk FROM bars WHERE symbol = 'ASIA'), j AS (SELECT b.symbol, ts, b.close, mk, row_number() OVER (PARTITION BY b.symbol ORDER BY ts DESC) AS k FROM bars b JOIN ix USING (ts)), rs AS (SELECT symbol, (max_by(close,ts)/min_by(close,ts)-max_by(mk,ts)/min_by(mk,ts))*100 AS difference FROM j WHERE k <= 60 GROUP BY symbol) SELECT symbol, {share_sql(MOM_PARTS)[0]} AS momentum_score FROM a LEFT JOIN rs USING (symbol) WHERE rn = 1")
