@@ -1,7 +1,7 @@
 """N-gram Jaccard join by universe partition and pigeonhole.
 
-Two sets link when 100 * |intersection| >= 90 * |union|, that is when they differ in at most D = (s + t) // 19 elements, s and t being their
-sizes. In each band of sizes the universe of shingle hashes is cut into segments, so many that a linking pair must agree on a whole
+Two sets link when 100 * |intersection| >= P * |union|, that is when they differ in at most D = (s + t) * (100 - P) // (100 + P) elements, s and t
+being their sizes and P the percentage, 90 if nothing else is asked for: D = (s + t) // 19. In each band of sizes the universe of shingle hashes is cut into segments, so many that a linking pair must agree on a whole
 segment, or differ there by one element: an equal segment uses up one difference, a segment with its one-deletion neighbourhood two. How
 many segments get deletion neighbourhoods is decided by cost, from the number of sets in the band. Keys of segments are joined, pairs that an odd sketch of
 512 bits proves too far apart are left out, and the rest is verified on the whole sets.
@@ -22,6 +22,8 @@ from tidemark.llm.common import checkpoint, components, materialize
 
 #: Words of a shingle; the growth of a size band; rows of a key that a window of the first round sees; sets of a verified block.
 WORDS, GROWTH, TOGETHER, BLOCK = 3, 1.3, 512, 256
+#: The least percentage of the union that linked sets share.
+PERCENT = 90
 #: The cost of meeting a set by chance, in keys.
 CHANCE = 0.01
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -51,14 +53,14 @@ def bands(most: int = 1 << 40) -> list[int]:
 _BANDS = np.array(bands())
 
 
-def allot(band: int, sets: float) -> tuple[int, int]:
+def allot(band: int, sets: float, percent: int = PERCENT) -> tuple[int, int]:
     """Segments of a band, and how many of them get deletion neighbourhoods, at least cost for so many sets.
 
     Needed are units for one difference more than a pair of the band can have. A set's cost is its keys, and the sets that agree
     with it by chance because their segments are empty.
     """
     top = int(_BANDS[band + 1]) - 1
-    units = (top + top * 10 // 9) // 19 + 1
+    units = (top + top * 100 // percent) * (100 - percent) // (100 + percent) + 1
     size = (int(_BANDS[band]) + top) / 2
     best = None
     for deletions in sorted({0, units // 4, units // 2}):
@@ -70,13 +72,16 @@ def allot(band: int, sets: float) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def segment_keys(h: np.ndarray, sets: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segment_keys(h: np.ndarray, sets: float, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a set in the bands where it may meet others, the key of the segment before each, and whether a key is a deletion's."""
     n = len(h)
     own = int(np.searchsorted(_BANDS, n, side="right")) - 1
     keys, before, kinds = [], [], []
-    for band in [own] + [own - 1] * (own > 0 and 9 * n < 10 * int(_BANDS[own])):
-        m, deletions = allot(band, sets)
+    low = own
+    while low > 0 and percent * n < 100 * int(_BANDS[low]):
+        low -= 1
+    for band in range(own, low - 1, -1):
+        m, deletions = allot(band, sets, percent)
         seg = (repeats.mixed(h ^ _C) % np.uint64(m)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
         value = repeats.mixed(h[order] * _A + _B)
@@ -103,13 +108,13 @@ def odd_sketch(h: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _near(a: str, b: str):
+def _near(a: str, b: str, percent: int):
     bits = sum((F.bit_count(F.col(f"{a}.sk")[i].bitwiseXOR(F.col(f"{b}.sk")[i])) for i in range(8)), F.lit(0))
     s, t = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (10 * F.least(s, t) >= 9 * F.greatest(s, t)) & (bits * 19 <= s + t)
+    return (100 * F.least(s, t) >= percent * F.greatest(s, t)) & (bits * (100 + percent) <= (100 - percent) * (s + t))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (u, v) of doc ids whose whole sets link, by an exact count.
 
     Pairs are brought together by the components they form, so that a set travels once however many partners it
@@ -139,14 +144,14 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
             a, b = have.get(u), have.get(v)
             if a is not None and b is not None:
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= 90 * (len(a) + len(b) - both):
+                if 100 * both >= percent * (len(a) + len(b) - both):
                     out.append((u, v))
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     return cells.groupBy("component", "i", "j").cogroup(needed.join(known, "node").groupBy("c", "ci", "cj")).applyInPandas(check, "u long, v long")
 
 
-def near_duplicates(documents: DataFrame, words: int = WORDS) -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for every row.
 
     Null text, and text without words, has no shingles and is linked with nothing. Rows of one doc_id count as linked; rows without an id
@@ -163,7 +168,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS) -> DataFrame:
                 if not len(h):
                     rows.append((doc, 0, b"", None, None, None, None))
                     continue
-                keys, before, kinds = segment_keys(h, total)
+                keys, before, kinds = segment_keys(h, total, percent)
                 rows.append((doc, len(h), xxhash.xxh3_128_digest(h.tobytes()), odd_sketch(h), keys.view(np.int64), (before >> np.uint64(32)).astype(np.uint32).view(np.int32), kinds))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "set_hash", "sk", "ks", "before", "kinds"])
 
@@ -187,9 +192,9 @@ def near_duplicates(documents: DataFrame, words: int = WORDS) -> DataFrame:
     few = shared.select(a.alias("x"), *[F.lag(a, d).over(w).alias(f"y{d}") for d in (1, 2, 3)])
     some = None
     for d in (1, 2, 3):
-        one = few.where(F.col(f"y{d}").isNotNull() & ~(F.col("x.deletion") & F.col(f"y{d}.deletion")) & _near("x", f"y{d}")).select(F.least("x.rep", f"y{d}.rep").alias("u"), F.greatest("x.rep", f"y{d}.rep").alias("v"))
+        one = few.where(F.col(f"y{d}").isNotNull() & ~(F.col("x.deletion") & F.col(f"y{d}.deletion")) & _near("x", f"y{d}", percent)).select(F.least("x.rep", f"y{d}.rep").alias("u"), F.greatest("x.rep", f"y{d}.rep").alias("v"))
         some = one if some is None else some.unionByName(one)
-    links = checkpoint(verify(docs, some.where("u < v"), words))
+    links = checkpoint(verify(docs, some.where("u < v"), words, percent))
     joined = components(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
 
     # second round: all pairs of a key that are not yet connected; of a run of shared segments only the first counts
@@ -198,9 +203,9 @@ def near_duplicates(documents: DataFrame, words: int = WORDS) -> DataFrame:
     cols = materialize(cols.join(apart, "key"), "apart")
     x, y = cols.alias("x"), cols.alias("y")
     new_run = (F.col("x.before") != F.col("y.before")) | F.col("x.deletion") | F.col("y.deletion") | (F.col("x.before") == 0)
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & ~(F.col("x.deletion") & F.col("y.deletion")) & new_run & _near("x", "y")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & ~(F.col("x.deletion") & F.col("y.deletion")) & new_run & _near("x", "y", percent)
     rest = x.join(y, on).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
-    links = links.unionByName(verify(docs, rest, words))
+    links = links.unionByName(verify(docs, rest, words, percent))
 
     # rows of one id are linked, and so are the sets they have
     same = members.where("rep is not null and doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
@@ -216,7 +221,7 @@ def _counted(batches, words):
         yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(h) for h in sets], "set_hash": [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else b"" for h in sets]})
 
 
-def keep_one(documents: DataFrame, words: int = WORDS) -> DataFrame:
+def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of documents, all columns as they are, that are the smallest id of their group; rows without an id stay."""
-    kept = near_duplicates(documents, words).where("doc_id = component_id").select("doc_id").distinct()
+    kept = near_duplicates(documents, words, percent).where("doc_id = component_id").select("doc_id").distinct()
     return documents.join(kept, "doc_id", "left_semi").unionByName(documents.where("doc_id is null"))
