@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -12,20 +13,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder of its own, any other an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Cut the lineage with a compressed table in the shared folder; a lost executor loses nothing of it."""
+    """Cut the lineage with a compressed table in the shared folder; a lost executor loses nothing of it. See discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later step reads, and the shuffle files of plans that are done."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of plans that nothing refers to any more: Spark deletes their shuffle files and checkpoints once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -39,6 +60,10 @@ def text_column(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Edges of a partition of a graph.
+EDGES = 100_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (src, dst), longs: returns (node, component), component the smallest node.
 
@@ -46,27 +71,30 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     aggregate and joined back, so that no neighbourhood, however large, is gathered in one place.
     Nodes without an edge to another node do not appear. Null ends are dropped.
     """
-    cur = checkpoint(
-        edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    )
-    if cur.isEmpty():
-        return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
+    spark = edges.sparkSession
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept(df):
+        """Checkpointed, in no more partitions than its rows need."""
+        done = checkpoint(df)
+        rows = done.count()
+        release(spark)
+        return (done.coalesce(max(1, rows // EDGES)) if rows < dealt * EDGES else done), rows
+
+    cur, rows = kept(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u is not null and v is not null and u <> v").distinct())
+    if not rows:
+        return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
+        # done when every node has one parent and no parent has a parent
+        roles = cur.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(cur.select("v", F.lit(0), F.lit(1)))
+        if roles.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
         # large star: every larger neighbour of a node goes to the node's smallest neighbour (or itself)
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: smaller neighbours of a node, and the node, go to the smallest of them
-        low = large.distinct()
         least = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        new = checkpoint(small.where("u <> v").distinct())
-        # done when every node has one parent and no parent has a parent
-        parents = new.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n"))
-        bad = parents.where("n > 1").select("u").union(new.select(F.col("v").alias("u")).distinct().join(parents.select("u"), "u", "left_semi")).limit(1)
-        cur = new
-        if bad.isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
+        cur, rows = kept(small.where("u <> v").distinct())
+    raise RuntimeError("components did not settle")

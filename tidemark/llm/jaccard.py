@@ -18,10 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import checkpoint, components, materialize
+from tidemark.llm.common import checkpoint, components, discard, materialize
 
 #: Words of a shingle; the growth of a size band; rows of a key that a window of the first round sees; sets of a verified block.
 WORDS, GROWTH, TOGETHER, BLOCK = 3, 1.3, 512, 256
+#: Orders that the keys of the first round go by, so that sets that share many keys meet few others; sets whose places are broadcast at most.
+ORDERS, FEW = 2, 500_000
 #: The least percentage of the union that linked sets share.
 PERCENT = 90
 #: The cost of meeting a set by chance, in keys.
@@ -31,7 +33,7 @@ _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; of the whole sequence where there are fewer words; none without words."""
-    w = repeats.hashed_words(text.encode("utf-8").lower().split())  # lower() of bytes is that of A to Z alone
+    w = repeats.hashed_words(text.encode("utf-8").lower())  # lower() of bytes is that of A to Z alone
     if not len(w):
         return w
     if len(w) < words:
@@ -108,35 +110,53 @@ def odd_sketch(h: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _near(a: str, b: str, percent: int):
-    bits = sum((F.bit_count(F.col(f"{a}.sk")[i].bitwiseXOR(F.col(f"{b}.sk")[i])) for i in range(8)), F.lit(0))
-    s, t = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(s, t) >= percent * F.greatest(s, t)) & (bits * (100 + percent) <= (100 - percent) * (s + t))
+def _near(u: str, v: str, percent: int):
+    """Whether sketches and sizes (sk and n of two rows) leave room for a link."""
+    bits = sum((F.bit_count(F.col(f"{u}sk")[i].bitwiseXOR(F.col(f"{v}sk")[i])) for i in range(8)), F.lit(0))
+    return bits * (100 + percent) <= (100 - percent) * (F.col(f"{u}n") + F.col(f"{v}n"))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) of doc ids whose whole sets link, by an exact count.
+def likely(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The distinct pairs (u, v) of sets that their sizes and odd sketches do not rule out."""
+    one = lambda c: sets.select(F.col("set").alias(c), F.col("n").alias(f"{c}_n"), F.col("sk").alias(f"{c}_sk"))
+    return pairs.distinct().join(one("u"), "u").join(one("v"), "v").where(_near("u_", "v_", percent)).select("u", "v")
+
+
+def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (u, v) of sets that link, by an exact count.
 
     Pairs are brought together by the components they form, so that a set travels once however many partners it
-    has; a large component is cut into blocks, and a pair is verified where its two blocks meet.
+    has; a large component is cut into blocks, and a pair is verified where its two blocks meet. Sets are made again from the text
+    of one document of each; where they are few their documents are picked out by a broadcast, else by a shuffle.
     """
-    pairs = checkpoint(pairs.distinct())
+    pairs = checkpoint(pairs)
     group = components(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")))
     # numbers in blocks of a group: random, so no order over a whole group is needed
     sizes = group.groupBy("component").agg(F.count("*").alias("size"))
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    placed = checkpoint(group.join(sizes, "component").select("node", "component", block.alias("block")))
-    cells = pairs.join(placed.select(F.col("node").alias("u"), "component", F.col("block").alias("i")), "u")
-    cells = cells.join(placed.select(F.col("node").alias("v"), F.col("block").alias("j")), "v")
-    cells = checkpoint(cells.select("component", "i", "j", "u", "v"))
-    needed = cells.select(F.col("component").alias("c"), F.col("i").alias("ci"), F.col("j").alias("cj"), F.explode(F.array("u", "v")).alias("node")).distinct()
+    placed = checkpoint(group.join(sizes, "component").join(sets.select(F.col("set").alias("node"), "rep"), "node").select("node", "component", (F.col("size") > BLOCK).alias("large"), block.alias("block"), "rep"))
+    at = lambda c, b: placed.select(F.col("node").alias(c), *(["component"] if c == "u" else []), F.col("block").alias(b))
+    cells = checkpoint(pairs.join(at("u", "i"), "u").join(at("v", "j"), "v").select("component", "i", "j", "u", "v"))
 
-    def sets(batches):
+    def made(batches):
         for b in batches:
-            yield pd.DataFrame({"node": b["doc_id"], "s": [shingles(t, words).tobytes() for t in b["text"]]})
+            rows = []
+            for node, text, *place in zip(b["node"], b["text"], b["component"], b["large"], b["block"]):
+                h = shingles(text, words)
+                if set_id(h) == node:  # another text of the same id has another set
+                    rows.append((node, *place, h.tobytes()))
+            yield pd.DataFrame(rows, columns=["node", "component", "large", "block", "s"])
+
+    few = placed.count() <= FEW
+    texts = docs.join(F.broadcast(placed) if few else placed, docs["doc_id"] == placed["rep"]).select("node", "text", "component", "large", "block")
+    known = texts.mapInPandas(made, "node long, component long, large boolean, block int, s binary")
+    # a small component is one block and needs no look-up of the cells it takes part in
+    seats = cells.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).distinct()
+    large = placed.where("large").select("component").distinct()
+    seats = seats.join(large, "component", "left_semi").groupBy("component", "block").agg(F.collect_set(F.struct("i", "j")).alias("cells"))  # as many as blocks of a component
+    known = known.join(seats, ["component", "block"], "left").withColumn("cell", F.explode(F.coalesce("cells", F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
+    known = known.select("component", "cell.i", "cell.j", "node", "s")
 
-    texts = docs.join(placed.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    known = texts.select("doc_id", "text").mapInPandas(sets, "node long, s binary").groupBy("node").agg(F.min("s").alias("s"))
     def check(left, right):
         have = {k: np.frombuffer(s, dtype=np.uint64) for k, s in zip(right["node"], right["s"])}
         out = []
@@ -148,80 +168,90 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int =
                     out.append((u, v))
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-    return cells.groupBy("component", "i", "j").cogroup(needed.join(known, "node").groupBy("c", "ci", "cj")).applyInPandas(check, "u long, v long")
+    return checkpoint(cells.groupBy("component", "i", "j").cogroup(known.groupBy("component", "i", "j")).applyInPandas(check, "u long, v long"))
 
 
-def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for every row.
+def set_id(h: np.ndarray) -> int:
+    """64 bits that name a set of shingles."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
 
-    Null text, and text without words, has no shingles and is linked with nothing. Rows of one doc_id count as linked; rows without an id
-    are linked with nothing and have no component_id. An empty table gives no rows and extra columns are ignored.
-    """
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = float(documents.count())
 
-    def features(batches):
-        for b in batches:
+def features_of(docs: DataFrame, total: float, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, size n and name of each document's set, its odd sketch and its keys; a document without shingles has n = 0 and nothing else."""
+
+    def run(batches):
+        for b in filter(len, batches):
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 h = shingles(text, words)
-                if not len(h):
-                    rows.append((doc, 0, b"", None, None, None, None))
+                if not len(h) or pd.isna(doc):
+                    rows.append((doc, len(h), None, None, None, None, None))
                     continue
                 keys, before, kinds = segment_keys(h, total, percent)
-                rows.append((doc, len(h), xxhash.xxh3_128_digest(h.tobytes()), odd_sketch(h), keys.view(np.int64), (before >> np.uint64(32)).astype(np.uint32).view(np.int32), kinds))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "set_hash", "sk", "ks", "before", "kinds"])
-
-    schema = "doc_id long, n long, set_hash binary, sk array<long>, ks array<long>, before array<int>, kinds array<boolean>"
-    made = docs.mapInPandas(features, schema)
-    # equal sets have equal sketches and keys: any of them will do
-    rep = made.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sk", "ks", "before", "kinds")])
-    rep = materialize(rep, "sets")
-    listed = docs.mapInPandas(lambda bs: _counted(bs, words), "doc_id long, n long, set_hash binary")
-    members = materialize(listed.join(rep.select("set_hash", "rep"), "set_hash", "left").select("doc_id", "n", "rep"), "members")
-
-    keys = rep.select("rep", F.explode(F.arrays_zip("ks", "before", "kinds")).alias("k")).select("rep", F.col("k.ks").alias("key"), F.col("k.before").alias("before"), F.col("k.kinds").alias("deletion"))
-    often = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = keys.join(often, "key").join(rep.select("rep", "n", "sk"), "rep")
-    shared = materialize(shared.select("key", "rep", "before", "deletion", "n", "sk", "size"), "shared")
-
-    # first round: neighbours in a random order of each key, large keys in salted parts
-    salt = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("size") / TOGETHER))
-    w = Window.partitionBy("key", salt).orderBy(F.xxhash64("key", "rep", F.lit(1)))
-    a = F.struct("rep", "n", "sk", "deletion")
-    few = shared.select(a.alias("x"), *[F.lag(a, d).over(w).alias(f"y{d}") for d in (1, 2, 3)])
-    some = None
-    for d in (1, 2, 3):
-        one = few.where(F.col(f"y{d}").isNotNull() & ~(F.col("x.deletion") & F.col(f"y{d}.deletion")) & _near("x", f"y{d}", percent)).select(F.least("x.rep", f"y{d}.rep").alias("u"), F.greatest("x.rep", f"y{d}.rep").alias("v"))
-        some = one if some is None else some.unionByName(one)
-    links = checkpoint(verify(docs, some.where("u < v"), words, percent))
+                rows.append((doc, len(h), set_id(h), odd_sketch(h), keys.view(np.int64), (before >> np.uint64(32)).astype(np.uint32).view(np.int32), kinds))
+            cols = dict(zip(("doc_id", "n", "set", "sk", "ks", "before", "kinds"), map(list, zip(*rows))))
+            yield pd.DataFrame(cols | {"doc_id": b["doc_id"], "set": pd.array(cols["set"], dtype="Int64")})  # not by way of floats
+
+    return docs.mapInPandas(run, "doc_id long, n long, set long, sk array<long>, ks array<long>, before array<int>, kinds array<boolean>")
+
+
+def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for every row.
+
+    Null text, and text without words, has no shingles and is linked with nothing. Rows of one doc_id count as linked, whatever their texts; rows
+    without an id are linked with nothing and have no component_id. A text of any length is read whole, ties do not arise, an empty table gives no
+    rows and extra columns, whatever their names, are ignored. Sets are told apart by 64 bits.
+    """
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    made = materialize(features_of(docs, float(documents.count()), words, percent), "features")
+    members = materialize(made.select("doc_id", "n", "set"), "members")
+    sets = materialize(made.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sk").alias("sk")), "sets")
+
+    # keys of two sets at least; the copies of a set all have its keys, so the least and the greatest set tell
+    keys = made.where("set is not null").select("set", F.explode(F.arrays_zip("ks", "before", "kinds")).alias("k")).select("set", F.col("k.ks").alias("key"), F.col("k.before").alias("before"), F.col("k.kinds").alias("deletion"))
+    often = keys.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi").select("key")
+    shared = keys.join(often, "key").groupBy("key", "set").agg(F.first("before").alias("before"), F.first("deletion").alias("deletion"))
+    shared = materialize(shared.join(sets.select("set", "n"), "set"), "shared")
+    discard(made)
+
+    # first round: neighbours in a random order of each key, large keys in salted parts; the order, and so the neighbours, is one of a few
+    hot = shared.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > TOGETHER)
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.coalesce("size", F.lit(1)) / TOGETHER))).cast("long")
+    by = F.xxhash64("set", F.pmod("key", F.lit(ORDERS)))
+    salted = shared.join(hot, "key", "left").withColumn("salt", F.pmod(by, F.greatest(parts, F.lit(1).cast("long"))))
+    w = Window.partitionBy("key", "salt").orderBy(by, "set")
+    a = F.struct("set", "n", "deletion")
+    few = salted.select(a.alias("x"), F.array(*[F.lag(a, d).over(w) for d in (1, 2, 3)]).alias("ys")).select("x", F.explode("ys").alias("y"))
+    alike = lambda x, y: (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & ~(F.col(f"{x}.deletion") & F.col(f"{y}.deletion"))
+    some = few.where(F.col("y").isNotNull() & alike("x", "y")).select(F.least("x.set", "y.set").alias("u"), F.greatest("x.set", "y.set").alias("v"))
+    links = verify(docs, sets, likely(some, sets, percent), words, percent)
     joined = components(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
 
     # second round: all pairs of a key that are not yet connected; of a run of shared segments only the first counts
-    cols = shared.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    cols = shared.join(joined.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     apart = cols.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    cols = materialize(cols.join(apart, "key"), "apart")
+    cols = materialize(cols.join(apart, "key").join(sets.select("set", "sk"), "set"), "apart")
+    discard(shared)
     x, y = cols.alias("x"), cols.alias("y")
     new_run = (F.col("x.before") != F.col("y.before")) | F.col("x.deletion") | F.col("y.deletion") | (F.col("x.before") == 0)
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & ~(F.col("x.deletion") & F.col("y.deletion")) & new_run & _near("x", "y", percent)
-    rest = x.join(y, on).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
-    links = links.unionByName(verify(docs, rest, words, percent))
-
-    # rows of one id are linked, and so are the sets they have
-    same = members.where("rep is not null and doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    edges = links.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(same)
-    final = components(edges)
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component")) & new_run & alike("x", "y") & _near("x.", "y.", percent)
+    rest = x.join(y, on).select(F.col("x.set").alias("u"), F.col("y.set").alias("v")).distinct()
+    links = links.unionByName(verify(docs, sets, rest, words, percent))
+
+    # from sets to documents: rows of one id are linked, and so are the sets they have
+    rep = sets.select("set", "rep")
+    far = links.join(rep.select(F.col("set").alias("u"), F.col("rep").alias("src")), "u").join(rep.select(F.col("set").alias("v"), F.col("rep").alias("dst")), "v").select("src", "dst")
+    own = members.join(rep, "set").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    final = components(far.unionByName(own))
+    discard(cols, sets)
     out = members.join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _counted(batches, words):
-    for b in batches:
-        sets = [shingles(t, words) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(h) for h in sets], "set_hash": [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else b"" for h in sets]})
-
-
 def keep_one(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of documents, all columns as they are, that are the smallest id of their group; rows without an id stay."""
+    """The rows of documents, all columns as they are, that are the smallest id of their group; rows without an id stay.
+
+    All rows of a kept id stay, equal or not. Nulls, empty and long texts, an empty table and clashing names are as in near_duplicates.
+    """
     kept = near_duplicates(documents, words, percent).where("doc_id = component_id").select("doc_id").distinct()
     return documents.join(kept, "doc_id", "left_semi").unionByName(documents.where("doc_id is null"))

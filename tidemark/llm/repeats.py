@@ -14,7 +14,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import materialize
@@ -23,6 +22,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 31) - 1)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -38,25 +38,19 @@ def words_of(text: str) -> list[bytes]:
 
 def word_units(text: str) -> np.ndarray:
     """A 64-bit hash for each word."""
-    return hashed_words(words_of(text))
+    return hashed_words(text.encode("utf-8"))
 
 
-class _Memo(dict):
-    """Hashes of words, each computed once; it starts anew when it has grown large."""
+def word_spans(raw: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of bytes that are not marked in `space` start and stop."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], space[raw], [True]]).view(np.int8)))
+    return edges[0::2], edges[1::2]
 
-    def __missing__(self, w: bytes) -> int:
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
 
-
-_memo = _Memo()
-
-
-def hashed_words(words: list[bytes]) -> np.ndarray:
-    if len(_memo) > 500_000:
-        _memo.clear()
-    memo = _memo
-    return np.array([memo[w] for w in words], dtype=np.uint64)
+def hashed_words(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text in UTF-8, all words in one pass."""
+    x = np.frombuffer(raw, dtype=np.uint8)
+    return Hashes(_BYTES[x]).of(*word_spans(x))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
