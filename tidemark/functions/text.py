@@ -24,10 +24,13 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, _FROM, _TO)
 
 
+#: Fixed value: an enumeration at the start of a label, bullet, number and what follows it.
+ENUMERATION = r"^\s*(?:[-–•+]\s*)?(?:(?:[ivxlcdm]+|[a-z]|\d+(?:\.\d+)*)\s*[.)\-–:/]\s*)?"
+
+
 def norm_label(c: Column) -> Column:
-    """Lower case, without an enumeration at the start, with single spaces."""
-    no_number = F.regexp_replace(F.lower(F.trim(c)), r"^(?:[ivx]+|[a-z]|\d+(?:\.\d+)*)[.)]\s*", "")
-    return F.trim(F.regexp_replace(no_number, r"\s+", " "))
+    """Lower case, without an enumeration at the start, with single spaces. Letters are expected in composed form."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), ENUMERATION, ""), r"\s+", " "))
 
 
 def period_key(label: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -19,15 +21,48 @@ def add(name, query, sql=None):
 
 T4 = "OVER (PARTITION BY symbol ORDER BY qi RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)"
 Y1 = "OVER (PARTITION BY symbol ORDER BY period_key RANGE BETWEEN 10 PRECEDING AND 10 PRECEDING)"
-_POSITIVE = ("cogs", "interest_expense", "depreciation", "income_tax", "capex")
-PREPARED = f"WITH {STATEMENTS_SQL}, q AS (SELECT *, (period_key//10)*4+period_key%10 AS qi, CASE WHEN short_term_debt IS NOT NULL OR long_term_debt IS NOT NULL THEN coalesce(short_term_debt,0)+coalesce(long_term_debt,0) END AS debt FROM fin), i AS (SELECT *, equity+debt-coalesce(cash,0) AS invested FROM q), t AS (SELECT *, " + ", ".join(f"CASE WHEN count({x}) {T4}=4 THEN sum({'abs(' + x + ')' if x in _POSITIVE else x}) {T4} END AS t_{x}" for x in ("revenue", "cogs", "operating_profit", "profit_before_tax", "income_tax", "net_income", "interest_expense", "depreciation", "cfo", "capex")) + ", " + ", ".join(f"({x}+first_value({x}) {Y1})/2 AS a_{x}" for x in ("equity", "total_assets", "inventory", "receivables", "invested")) + ", " + ", ".join(f"first_value({x}) {Y1} AS y_{x}" for x in ("revenue", "net_income", "equity", "total_assets")) + " FROM i), p AS (SELECT *, t_profit_before_tax+coalesce(t_interest_expense,0) AS ebit, coalesce(greatest(0,least(0.5::DOUBLE,t_income_tax/nullif(t_profit_before_tax,0))),0.2::DOUBLE) AS rate FROM t)"
+_POSITIVE = ("cogs", "interest_expense", "depreciation", "income_tax", "capex", "dividends_paid", "provision_expense")
+_SUMMED = ("revenue", "cogs", "gross_profit", "operating_profit", "profit_before_tax", "income_tax", "net_income", "net_income_parent", "interest_expense", "depreciation", "cfo", "capex", "dividends_paid", "provision_expense")
+#: Items that some queries add to the statements: (Spark, SQL).
+MORE = {
+    "payables": "short_term_debt * 0.4D", "dividends_paid": "net_income * -0.3D", "minority_interest": "equity * 0.05D", "short_term_investments": "cash * 0.1D", "net_income_parent": "case when period_key % 3 = 0 then net_income * 0.9D end",
+    "customer_deposits": "case when length(symbol) % 2 = 0 then equity * 0.8D end", "customer_loans": "case when length(symbol) % 2 = 0 then equity * 0.6D end", "provision_expense": "revenue * -0.02D", "total_liabilities": "case when period_key % 2 = 0 then total_assets * 0.45D end",
+}
+
+
+def more(wide):
+    return wide.withColumns({k: F.expr(v) for k, v in MORE.items()})
+
+
+def prepared_sql(head: str = STATEMENTS_SQL, source: str = "fin", extra: bool = False, yearly: bool = False) -> str:
+    """Common table expressions up to p, of which each row has what the ratios need; yearly rows take amounts as they are."""
+    lacking = [*MORE, "gross_profit", "net_interest_income", "charter_capital"]
+    items = ", ".join(f"{re.sub(r'([0-9])D', r'\1::DOUBLE', MORE[x])} AS {x}" if extra and x in MORE else f"NULL::DOUBLE AS {x}" for x in lacking)
+    raw = lambda x: f"abs({x})" if x in _POSITIVE else x
+    flows = ", ".join(f"{raw(x)} AS t_{x}" if yearly else f"CASE WHEN count({x}) {T4}=4 THEN sum({raw(x)}) {T4} END AS t_{x}" for x in _SUMMED)
+    means = ", ".join(f"({x}+first_value({x}) {Y1})/2 AS a_{x}" for x in ("equity", "equity_parent", "total_assets", "inventory", "receivables", "payables", "invested"))
+    ago = ", ".join(f"first_value({x}) {Y1} AS y_{x}" for x in ("revenue", "net_income", "equity", "total_assets", "eps_period"))
+    return f"""WITH {head}, x0 AS (SELECT *, {items} FROM {source}),
+q AS (SELECT *, (period_key//10)*4+period_key%10 AS qi, max(customer_deposits IS NOT NULL) OVER (PARTITION BY symbol) AS bank, CASE WHEN short_term_debt IS NOT NULL OR long_term_debt IS NOT NULL THEN coalesce(short_term_debt,0)+coalesce(long_term_debt,0) END AS debt,
+ coalesce(total_liabilities, total_assets-equity) AS liabilities, equity-coalesce(minority_interest,0) AS equity_parent, coalesce(cash,0)+coalesce(short_term_investments,0) AS liquid, CASE WHEN shares_outstanding>0 THEN shares_outstanding ELSE charter_capital/10000 END AS shares FROM x0),
+i AS (SELECT *, equity+debt-liquid AS invested, coalesce(net_income_parent, net_income)/nullif(shares,0) AS eps_period FROM q), t AS (SELECT *, {flows}, {means}, {ago} FROM i),
+p AS (SELECT * REPLACE (coalesce(t_gross_profit, t_revenue-t_cogs) AS t_gross_profit), coalesce(t_net_income_parent, t_net_income) AS ni_parent, coalesce(t_net_income, t_net_income_parent) AS ni, t_profit_before_tax+coalesce(t_interest_expense,0) AS ebit, t_profit_before_tax+coalesce(t_interest_expense,0)+t_depreciation AS ebitda,
+ coalesce(greatest(0,least(0.5::DOUBLE,t_income_tax/nullif(t_profit_before_tax,0))),0.2::DOUBLE) AS rate FROM t)"""
+
+
+PREPARED = prepared_sql()
+_IND, _BANK = "CASE WHEN NOT bank THEN {} END".format, "CASE WHEN bank THEN {} END".format
 RATIOS = {
-    "gross_margin": "(t_revenue-t_cogs)/nullif(t_revenue,0)*100", "operating_margin": "t_operating_profit/nullif(t_revenue,0)*100", "ebitda_margin": "(ebit+t_depreciation)/nullif(t_revenue,0)*100", "net_margin": "t_net_income/nullif(t_revenue,0)*100",
-    "roe": "t_net_income/nullif(a_equity,0)*100", "roa": "t_net_income/nullif(a_total_assets,0)*100", "roic": "ebit*(1-rate)/nullif(a_invested,0)*100", "current_ratio": "current_assets/nullif(current_liabilities,0)",
-    "quick_ratio": "(current_assets-coalesce(inventory,0))/nullif(current_liabilities,0)", "cash_ratio": "cash/nullif(current_liabilities,0)", "debt_equity": "debt/nullif(equity,0)", "liabilities_assets": "(total_assets-equity)/nullif(total_assets,0)*100",
-    "interest_cover": "ebit/nullif(t_interest_expense,0)", "asset_turnover": "t_revenue/nullif(a_total_assets,0)", "inventory_turnover": "t_cogs/nullif(a_inventory,0)", "dio": "365*a_inventory/nullif(t_cogs,0)", "dso": "365*a_receivables/nullif(t_revenue,0)",
-    "revenue_growth": "(revenue-y_revenue)/nullif(abs(y_revenue),0)*100", "net_income_growth": "(net_income-y_net_income)/nullif(abs(y_net_income),0)*100", "equity_growth": "(equity-y_equity)/nullif(abs(y_equity),0)*100", "total_assets_growth": "(total_assets-y_total_assets)/nullif(abs(y_total_assets),0)*100",
-    "fcf": "t_cfo-t_capex", "cfo_to_income": "t_cfo/nullif(t_net_income,0)", "fcf_margin": "(t_cfo-t_capex)/nullif(t_revenue,0)*100", "eps": "t_net_income/nullif(shares_outstanding,0)", "bvps": "equity/nullif(shares_outstanding,0)",
+    "gross_margin": _IND("t_gross_profit/nullif(t_revenue,0)*100"), "operating_margin": "t_operating_profit/nullif(t_revenue,0)*100", "ebitda_margin": _IND("ebitda/nullif(t_revenue,0)*100"), "net_margin": "ni/nullif(t_revenue,0)*100",
+    "roe": "ni_parent/nullif(a_equity_parent,0)*100", "roa": "ni/nullif(a_total_assets,0)*100", "roic": _IND("ebit*(1-rate)/nullif(a_invested,0)*100"), "current_ratio": "current_assets/nullif(current_liabilities,0)",
+    "quick_ratio": "(current_assets-coalesce(inventory,0))/nullif(current_liabilities,0)", "cash_ratio": "(cash+coalesce(short_term_investments,0))/nullif(current_liabilities,0)", "debt_equity": "debt/nullif(equity,0)", "liabilities_equity": "liabilities/nullif(equity,0)",
+    "liabilities_assets": "liabilities/nullif(total_assets,0)*100", "net_debt_ebitda": _IND("(debt-liquid)/nullif(ebitda,0)"), "interest_cover": _IND("ebit/nullif(t_interest_expense,0)"), "equity_multiplier": "a_total_assets/nullif(a_equity,0)",
+    "asset_turnover": "t_revenue/nullif(a_total_assets,0)", "inventory_turnover": "t_cogs/nullif(a_inventory,0)", "dio": "365*a_inventory/nullif(t_cogs,0)", "dso": "365*a_receivables/nullif(t_revenue,0)", "dpo": "365*a_payables/nullif(t_cogs,0)",
+    "ccc": "365*a_inventory/nullif(t_cogs,0)+365*a_receivables/nullif(t_revenue,0)-365*a_payables/nullif(t_cogs,0)",
+    "revenue_growth": "(revenue-y_revenue)/nullif(abs(y_revenue),0)*100", "net_income_growth": "(net_income-y_net_income)/nullif(abs(y_net_income),0)*100", "eps_growth": "(eps_period-y_eps_period)/nullif(abs(y_eps_period),0)*100", "equity_growth": "(equity-y_equity)/nullif(abs(y_equity),0)*100", "total_assets_growth": "(total_assets-y_total_assets)/nullif(abs(y_total_assets),0)*100",
+    "fcf": "t_cfo-t_capex", "cfo_to_income": "t_cfo/nullif(ni,0)", "fcf_margin": "(t_cfo-t_capex)/nullif(t_revenue,0)*100", "capex_revenue": "t_capex/nullif(t_revenue,0)*100", "payout": "t_dividends_paid/nullif(ni_parent,0)*100",
+    "eps": "ni_parent/nullif(shares,0)", "bvps": "equity_parent/nullif(shares,0)", "dps": "t_dividends_paid/nullif(shares,0)",
+    "loan_deposit": _BANK("customer_loans/nullif(customer_deposits,0)*100"), "equity_assets": _BANK("equity/nullif(total_assets,0)*100"), "provision_income": _BANK("t_provision_expense/nullif(t_revenue,0)*100"),
 }
 
 
@@ -35,13 +70,25 @@ def rounded(df, keys, digits=3):
     return df.select(*keys, *[F.round(c, 5 if c == "fcf" else digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
 
 
-add("FR_06_12_ratios", lambda s, d: rounded(fr.ratios(statements(s, d)), ["symbol", "period_key"]), f"{PREPARED} SELECT symbol, period_key, " + ", ".join(f"round({v},{5 if k == 'fcf' else 3}) AS {k}" for k, v in RATIOS.items()) + " FROM p")
+def ratio_sql(prepared: str) -> str:
+    return f"{prepared} SELECT symbol, period_key, " + ", ".join(f"round({v},{5 if k == 'fcf' else 3}) AS {k}" for k, v in RATIOS.items()) + " FROM p"
+
+
+add("FR_06_12_ratios", lambda s, d: rounded(fr.ratios(more(statements(s, d))), ["symbol", "period_key"]), ratio_sql(prepared_sql(extra=True)))
 add("FR_02_JN_09_year_ago", lambda s, d: (x := statements(s, d)).select("symbol", "period_key", F.round("revenue", 5).alias("revenue"), F.round(fr.year_ago(F.col("revenue")), 5).alias("year_ago")), f"WITH {STATEMENTS_SQL} SELECT symbol, period_key, round(revenue,5) AS revenue, round(first_value(revenue) {Y1},5) AS year_ago FROM fin")
 add("FR_03_ttm", lambda s, d: fr.with_quarters(statements(s, d)).select("symbol", "period_key", F.round(fr.ttm(F.col("revenue")), 5).alias("ttm")), f"WITH {STATEMENTS_SQL}, q AS (SELECT *, (period_key//10)*4+period_key%10 AS qi FROM fin) SELECT symbol, period_key, CASE WHEN count(revenue) {T4}=4 THEN round(sum(revenue) {T4},5) END AS ttm FROM q")
 add("FR_18_dupont", lambda s, d: rounded(fr.dupont(fr.ratios(statements(s, d))), ["symbol", "period_key"]), f"{PREPARED}, r AS (SELECT symbol, period_key, {RATIOS['net_margin']} AS nm, {RATIOS['asset_turnover']} AS turnover, {RATIOS['roe']} AS roe FROM p) SELECT symbol, period_key, round(nm,3) AS net_margin, round(turnover,3) AS asset_turnover, round(roe/nullif(nm*turnover,0),3) AS leverage, round(roe,3) AS roe FROM r")
 FLOWS = ("revenue", "cogs", "operating_profit", "profit_before_tax", "income_tax", "net_income", "interest_expense", "depreciation", "cfo", "capex")
 STOCKS = ("total_assets", "equity", "current_assets", "current_liabilities", "inventory", "receivables", "cash", "short_term_debt", "long_term_debt", "shares_outstanding")
 YEARS = f"WITH {STATEMENTS_SQL}, yr AS (SELECT symbol, period_key//10 AS year, " + ", ".join(f"sum({x}) AS {x}" for x in FLOWS) + ", " + ", ".join(f"max_by({x}, period_key) AS {x}" for x in STOCKS) + " FROM fin GROUP BY ALL HAVING count(*)=4)"
+YEARLY = f"{YEARS[5:]}, fy AS (SELECT * EXCLUDE (year), (year*10)::INT AS period_key FROM yr)"
+
+
+def yearly(s, d):
+    return fr.annual(statements(s, d), FLOWS).withColumn("period_key", (F.col("year") * 10).cast("int")).drop("year")
+
+
+add("FR_06_12_annual_ratios", lambda s, d: rounded(fr.ratios(more(yearly(s, d))), ["symbol", "period_key"]), ratio_sql(prepared_sql(YEARLY, "fy", True, True)))
 add("FR_19_f_score", lambda s, d: fr.f_score(fr.annual(statements(s, d), FLOWS)),
     f"""{YEARS}, a AS (SELECT *, net_income/nullif(total_assets,0) AS roa, long_term_debt/nullif(total_assets,0) AS lev, current_assets/nullif(current_liabilities,0) AS cur, (revenue-abs(cogs))/nullif(revenue,0) AS gm, revenue/nullif(total_assets,0) AS tn FROM yr),
  b AS (SELECT *, lag(roa) OVER w AS p1, lag(lev) OVER w AS p2, lag(cur) OVER w AS p3, lag(gm) OVER w AS p4, lag(tn) OVER w AS p5, lag(shares_outstanding) OVER w AS p6, row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS rn FROM a WINDOW w AS (PARTITION BY symbol ORDER BY year)),

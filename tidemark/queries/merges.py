@@ -96,7 +96,7 @@ k AS (SELECT symbol, median(n.close/nullif(o.close,0)) AS k FROM n JOIN o USING
 SELECT symbol, ts, {", ".join(f"round({c}*coalesce(f,1),4) AS {c}" for c in mg.PRICES)}, volume, f IS NOT NULL AS adjusted, round(f,4) AS factor FROM o LEFT JOIN f USING (symbol) WHERE st IS NULL OR ts < st
 UNION ALL SELECT symbol, ts, {", ".join(f"round({c},4) AS {c}" for c in mg.PRICES)}, volume, false, NULL FROM n""")
 add("JN_04_merge_cells", lambda s, d: mg.merge_cells(cells(s, d)).withColumn("value", F.round("value", 4)),
-    PREPARED.split(", q AS")[0] + """, u AS (SELECT symbol, period_key, unnest(['revenue','equity','receivables']) AS item, unnest([revenue, equity, receivables]) AS value FROM fin), c AS (SELECT *, item = 'receivables' OR (item = 'revenue' AND period_key % 2 = 0) AS b FROM u WHERE value IS NOT NULL)
+    PREPARED.split(", x0 AS")[0] + """, u AS (SELECT symbol, period_key, unnest(['revenue','equity','receivables']) AS item, unnest([revenue, equity, receivables]) AS value FROM fin), c AS (SELECT *, item = 'receivables' OR (item = 'revenue' AND period_key % 2 = 0) AS b FROM u WHERE value IS NOT NULL)
  SELECT symbol, period_key, item, round(CASE WHEN b THEN value*2 ELSE value END, 4) AS value, CASE WHEN b THEN 'B' ELSE 'A' END AS source FROM c""")
 add("AG_05_peer_medians", lambda s, d: sc.peer_medians(metrics(s, d)), f"{METRICS} SELECT * FROM peers")
 add("VA_02_relative_value", lambda s, d: sc.relative_value(valued(s, d)).select("symbol", *[F.round(c, 3).alias(c) for c in ("fair_pe", "fair_pb", "fair", "upside")]),
