@@ -161,3 +161,50 @@ def positions(held: DataFrame, prices: DataFrame) -> DataFrame:
     )
     whole = rows.groupBy("portfolio").agg(F.sum("current_value").alias("whole"))
     return rows.join(whole, "portfolio").withColumn("weight", F.coalesce(F.try_divide("current_value", "whole"), F.lit(0.0)) * 100).drop("whole")
+
+
+#: Ladders of the technical score and of the older market health.
+REL_VOLUME = ([(1.5, 10), (1, 7), (0.7, 3)], 0)
+MONEY_FLOW = ([(0.10, 5), (0, 3), (-0.10, 1)], 0)
+ADVANCE = ([(2.0, 30), (1.5, 22), (1.0, 15), (0.5, 8)], 2)
+
+
+def technical_score(ind: DataFrame) -> DataFrame:
+    """Adds technical_score and technical_max, the points that its indicators could give, to the columns of technical.all_indicators."""
+    c = F.col
+    above = [(F.when(c(f"sma_{p}").isNotNull() & c("close").isNotNull(), (c("close") > c(f"sma_{p}")).cast("int") * float(m)), m) for p, m in ((200, 10), (50, 8), (20, 7))]
+    r, hist, prev = c("rsi"), c("macd_hist"), F.coalesce("prev_hist", "macd_hist")
+    rsi = F.when(r.isNull(), None).when(r.between(50, 70), 15.0).when(((r >= 40) & (r < 50)) | ((r > 70) & (r <= 80)), 8.0).when((r > 80) | (r < 30), 0.0).otherwise(4.0)
+    macd = F.when(hist.isNull(), None).when((hist > 0) & (hist > prev), 15.0).when(hist > 0, 9.0).when(hist > prev, 6.0).otherwise(0.0)
+    band = F.when(c("bb_upper").isNull(), None).when((c("close") > c("bb_middle")) & (c("close") <= c("bb_upper")), 10.0).when(c("close") > c("bb_upper"), 4.0).when(c("close") > c("bb_lower"), 5.0).otherwise(0.0)
+    up = c("plus_di") > c("minus_di")
+    adx = F.when(c("adx").isNull(), None).when(c("adx") >= 25, F.when(up, 10.0).otherwise(0.0)).when(c("adx") >= 20, F.when(up, 6.0).otherwise(2.0)).otherwise(4.0)
+    m = c("mfi")
+    mfi = F.when(m.isNull(), None).when(m.between(50, 80), 5.0).when((m >= 40) & (m < 50), 3.0).when(m > 80, 2.0).otherwise(0.0)
+    obv = F.when(c("obv_sma").isNull(), None).when(c("obv") > c("obv_sma"), 5.0).when(c("obv") > c("obv_5"), 2.0).otherwise(0.0)
+    score, most = share([*above, (rsi, 15), (macd, 15), (ladder(c("rel_volume"), REL_VOLUME, ">"), 10), (band, 10), (adx, 10), (ladder(c("cmf"), MONEY_FLOW, ">"), 5), (mfi, 5), (obv, 5)])
+    return ind.withColumns({"technical_score": score, "technical_max": most})
+
+
+def market_health(df: DataFrame) -> DataFrame:
+    """Adds health and its label from an index's close, sma_20, sma_50, sma_200, rsi and ret_20, and a market's advancers, decliners and pct_above_ma20; parts without input drop out of the weights."""
+    c = F.col
+    held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
+    over = [F.when(c("close") > c(f"sma_{p}"), 100.0).when(c(f"sma_{p}").isNotNull(), 0.0) for p in (20, 50, 200)]
+    known = sum((x.isNotNull().cast("int") for x in over), F.lit(0))
+    trend = F.try_divide(sum((F.coalesce(x, F.lit(0.0)) for x in over), F.lit(0.0)), known)
+    advance = F.coalesce(F.try_divide(c("advancers") * 100.0, c("advancers") + c("decliners")), F.lit(50.0))
+    parts = [(trend, 35), (F.when(c("rsi").isNotNull(), held((c("rsi") - 30) / 40 * 100)), 20), ((advance + c("pct_above_ma20")) / 2, 30), (F.when(c("ret_20").isNotNull(), held(50 + 6 * c("ret_20"))), 15)]
+    got = sum((F.coalesce(p * w, F.lit(0.0)) for p, w in parts), F.lit(0.0))
+    have = sum((F.when(p.isNotNull(), w).otherwise(0) for p, w in parts), F.lit(0))
+    health = F.bround(F.try_divide(got, have), 0)
+    return df.withColumn("health", health).withColumn("health_label", F.when(c("health").isNull(), None).when(c("health") >= 65, "positive").when(c("health") >= 50, "fair").when(c("health") >= 35, "cautious").otherwise("weak"))
+
+
+def older_market_health(df: DataFrame) -> DataFrame:
+    """Adds health from ad_ratio, above_ma50, rsi and foreign_net; parts without input leave both sums."""
+    r, net = F.col("rsi"), F.col("foreign_net")
+    rsi = F.when(r.isNull(), None).when(r.between(50, 65), 25.0).when((r >= 40) & (r < 50), 15.0).when(r > 65, 10.0).otherwise(5.0)
+    foreign = F.when(net.isNull(), None).when(net > 0, 20.0).when(net > -100e9, 10.0).otherwise(3.0)
+    index = F.when(F.col("above_ma50").isNull(), None).when(F.col("above_ma50"), 25.0).otherwise(5.0)
+    return df.withColumn("health", share([(ladder(F.col("ad_ratio"), ADVANCE, ">"), 30), (index, 25), (rsi, 25), (foreign, 20)])[0])

@@ -126,3 +126,23 @@ def support_resistance(bars: DataFrame, window: int = 120) -> DataFrame:
     s = F.when(F.size(below) > 0, below).otherwise(F.col("bottoms"))
     at = lambda a, i: F.when(F.col("n") >= 20, F.get(a, F.lit(i)))
     return g.select("symbol", at(s, 0).alias("support_1"), at(s, 1).alias("support_2"), at(r, 0).alias("resistance_1"), at(r, 1).alias("resistance_2"))
+
+
+def all_indicators(bars: DataFrame) -> DataFrame:
+    """Every indicator of a bar, with what the signals and the score look back at."""
+    b = exponential(relative_volume(roc(cmf(obv(mfi(bollinger(sma(bars))))))))
+    return b.withColumns({"prev_hist": F.lag("macd_hist").over(by_ts()), "obv_sma": full(F.avg("obv").over(last(20)), "obv", 20), "obv_5": F.lag("obv", 5).over(by_ts())})
+
+
+def signals(ind: DataFrame) -> DataFrame:
+    """Words for each bar's indicators (see all_indicators); null where an indicator is."""
+    c = F.col
+    rsi = F.when(c("rsi") >= 70, "overbought").when(c("rsi") <= 30, "oversold").when(c("rsi") > 50, "positive").when(c("rsi").isNotNull(), "negative")
+    now, before = c("macd_hist"), F.coalesce("prev_hist", F.lit(0.0))
+    macd = F.when(now.isNull(), None).when((now > 0) & (before <= 0), "cross up").when((now < 0) & (before >= 0), "cross down").when(now > before, "rising").otherwise("falling")
+    band = F.when(c("bb_upper").isNull(), None).when(c("close") > c("bb_upper"), "above band").when(c("close") < c("bb_lower"), "below band").when(c("close") > c("bb_middle"), "upper half").otherwise("lower half")
+    volume = F.when(c("rel_volume") > 2, "spike").when(c("rel_volume") > 1.5, "high").when(c("rel_volume") < 0.5, "low").when(c("rel_volume").isNotNull(), "normal")
+    strength = F.when(c("adx") >= 25, "strong").when(c("adx") >= 20, "moderate").otherwise("weak")
+    adx = F.when(c("adx").isNotNull(), F.concat(F.when(c("plus_di") > c("minus_di"), "up ").otherwise("down "), strength))
+    position = F.bround((c("close") - c("bb_lower")) / F.greatest(c("bb_upper") - c("bb_lower"), F.lit(1.0)) * 100, 1)
+    return ind.select("symbol", "ts", rsi.alias("rsi_signal"), macd.alias("macd_signal"), band.alias("band_signal"), position.alias("band_position"), volume.alias("volume_signal"), adx.alias("adx_signal"), F.when(c("cmf") > 0, "inflow").when(c("cmf").isNotNull(), "outflow").alias("flow_signal"))

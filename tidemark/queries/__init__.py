@@ -1,9 +1,9 @@
 """Queries of the analytics engine over the driver's tables, with their SQL."""
 
-from tidemark.queries import books, ingest, market, merges, ratios, streams
+from tidemark.queries import books, desk, ingest, market, merges, ratios, streams
 
-QUERIES = {**market.QUERIES, **books.QUERIES, **ingest.QUERIES, **merges.QUERIES, **ratios.QUERIES, **streams.QUERIES}
-ORACLE = {**market.ORACLE, **books.ORACLE, **ingest.ORACLE, **merges.ORACLE, **ratios.ORACLE, **streams.ORACLE}
+QUERIES = {**market.QUERIES, **books.QUERIES, **desk.QUERIES, **ingest.QUERIES, **merges.QUERIES, **ratios.QUERIES, **streams.QUERIES}
+ORACLE = {**market.ORACLE, **books.ORACLE, **desk.ORACLE, **ingest.ORACLE, **merges.ORACLE, **ratios.ORACLE, **streams.ORACLE}
 
 
 def flagship(spark, sf_dir):

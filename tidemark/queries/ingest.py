@@ -68,9 +68,9 @@ LINES = [
 
 def raw_rows(s, d):
     """The lines of a statement for each customer; those with an even key lack the line with an id, and French ones carry accents."""
-    lines = s.createDataFrame(LINES, "row int, item_id string, label_en string, mark string")
+    one = [F.struct(F.lit(r).alias("row"), F.lit(i).cast("string").alias("item_id"), F.lit(e).alias("label_en")) for r, i, e, _ in LINES]
     c = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("symbol"), "c_custkey", "c_acctbal")
-    rows = c.join(F.broadcast(lines)).where("c_custkey % 2 = 1 or item_id is null")
+    rows = c.select("*", F.inline(F.array(*one))).where("c_custkey % 2 = 1 or item_id is null")
     french = F.when((F.col("c_custkey") % 3 == 0) & (F.col("row") == 6), "III – Capitaux Propres").when((F.col("c_custkey") % 4 == 0) & (F.col("row") == 2), "Chiffre d'Affaires")
     return rows.withColumn("label", french)
 
