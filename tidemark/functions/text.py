@@ -78,3 +78,50 @@ def sentiment(c: Column, positive: list[str], negative: list[str]) -> Column:
 
 def short_id(*parts: Column, n: int = 20) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, n)
+
+
+def document_class(title: Column, url: Column, year: Column) -> dict[str, Column]:
+    """doc_type, year (the latest named that is not after `year`), quarter, consolidated and period_key of a document by its title and address."""
+    t = F.regexp_replace(strip_accents(F.lower(F.concat_ws(" ", title, url))), "[_-]", " ")
+    statement = t.rlike(r"bao cao tai chinh|financial statement|\bbctc\b|\bfs\b")
+    kind = (
+        F.when(t.rlike(r"bao cao thuong nien|annual report|\bbctn\b"), "annual_report").when(statement & t.rlike("ban nien|soat xet|6 thang|semi|interim|giua nien do"), "fs_semiannual")
+        .when(statement & t.rlike(r"\bquy\s*[1-4]\b|\bq\s*[1-4]\b|quarter"), "fs_quarterly").when(statement, "fs_annual").otherwise("other")
+    )
+    named = F.transform(F.regexp_extract_all(t, F.lit(r"(?<!\d)((?:19|20)\d\d)(?!\d)"), 1), lambda y: y.cast("int"))
+    last = F.array_max(F.filter(named, lambda y: y <= year))
+    q = F.when(kind == "fs_quarterly", F.nullif(F.regexp_extract(t, r"(?:quy|q)\s*([1-4])\b", 1), F.lit("")).try_cast("int"))
+    whole = F.when(kind.isin("annual_report", "other"), None).otherwise(~t.rlike(r"\brieng\b|cong ty me|separate"))
+    key = F.when(q.isNotNull(), last * 10 + q).when(kind == "fs_semiannual", last * 10 + 2).otherwise(last * 10)
+    return {"doc_type": kind, "year": last, "quarter": q, "consolidated": whole, "period_key": key}
+
+
+def headline(title: Column, publishers: dict[str, str], unknown: str) -> tuple[Column, Column]:
+    """Title and publisher of a headline split at its last dash; a publisher that holds a known word takes the name that goes with it."""
+    parts = F.size(F.split(title, " - "))
+    source = F.when(parts > 1, F.trim(F.substring_index(title, " - ", -1))).otherwise(F.lit(unknown))
+    for word, name in reversed(publishers.items()):
+        source = F.when(F.contains(F.lower(source), F.lit(word)), name).otherwise(source)
+    head = F.when(parts > 1, F.trim(F.regexp_extract(title, r"(?s)^(.*) - ", 1))).otherwise(F.trim(title))
+    return head, source
+
+
+def unit_of(text: Column, units: dict[str, float]) -> Column:
+    """The factor of the first unit word that the text holds, else 1."""
+    out = F.lit(1.0)
+    for word, factor in reversed(units.items()):
+        out = F.when(F.contains(F.lower(text), F.lit(word)), factor).otherwise(out)
+    return out
+
+
+def links(html: Column, base: Column) -> Column:
+    """Titles and absolute addresses of the anchors of a page, as an array of structs."""
+    found = F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>.*?</a>'), 0)
+
+    def one(a):
+        href = F.regexp_extract(a, r'(?is)href="([^"]*)"', 1)
+        site = F.regexp_extract(base, r"^(https?://[^/]+)", 1)
+        whole = F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(site, F.lit("/"), href))
+        return F.struct(strip_tags(a).alias("title"), whole.alias("url"))
+
+    return F.transform(found, one)

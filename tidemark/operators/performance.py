@@ -75,8 +75,8 @@ def snapshot(bars: DataFrame) -> DataFrame:
         }
     )
     one = latest(b)
-    one = one.withColumn("newest", F.max("ts").over(Window.partitionBy(F.lit(1))))  # a row a symbol
-    return one.where(F.col("ts") >= F.col("newest") - F.make_dt_interval(F.lit(3))).drop("newest")
+    newest = bars.agg(F.max("ts").alias("_newest"))  # one row
+    return one.join(F.broadcast(newest), F.col("ts") >= F.col("_newest") - F.make_dt_interval(F.lit(3))).drop("_newest")
 
 
 def breadth(snap: DataFrame, flat: float = 0.0001) -> DataFrame:
@@ -110,18 +110,25 @@ LOWER_IS_BETTER = ("pe", "pb", "ev_ebitda", "debt_to_equity")
 MULTIPLES = ("pe", "pb", "ev_ebitda")
 
 
-def composite_rank(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+def composite_rank(df: DataFrame, weights: dict[str, float], ranges: int = 256) -> DataFrame:
     """score: weighted mean of percentile ranks with average ties, 0 to 100; a null criterion scores 0 with its full weight.
 
-    Each criterion is ranked from counts by value, so that only distinct values meet in the global window.
+    Each criterion is ranked from counts by value. Values fall into ranges cut at approximate quantiles, are numbered within their range and
+    take the counts of the ranges before; only the ranges' counts, as many rows as there are ranges, meet in one place.
     """
+    value = {c: F.when(F.col(c) > 0, F.col(c)) if c in MULTIPLES else F.col(c) for c in weights}
+    parts = [i / ranges for i in range(1, ranges)]
+    cuts = df.agg(*[F.percentile_approx(v.cast("double"), parts, 20 * ranges).alias(c) for c, v in value.items()]).first()
     out = df
-    for c in weights:
-        x = F.when(F.col(c) > 0, F.col(c)) if c in MULTIPLES else F.col(c)
+    for c, x in value.items():
+        at = F.size(F.filter(F.array(*[F.lit(q) for q in sorted(set(cuts[c] or [0.0]))]), lambda q: q <= F.col("x")))  # noqa: B023
         v = df.select(x.alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("k"))
-        w = Window.orderBy(F.desc("x") if c in LOWER_IS_BETTER else F.asc("x"))
-        v = v.select(F.col("x").alias(f"x_{c}"), ((F.sum("k").over(w) - F.col("k") + (F.col("k") + 1) / 2) / F.sum("k").over(Window.partitionBy(F.lit(1)))).alias("p"))
-        v = v.withColumnRenamed("p", f"p_{c}")
+        v = v.withColumn("range", -at if c in LOWER_IS_BETTER else at)
+        whole = v.groupBy("range").agg(F.sum("k").alias("t"))  # at most `ranges` rows
+        whole = whole.select("range", (F.sum("t").over(Window.orderBy("range")) - F.col("t")).alias("before"), F.sum("t").over(Window.partitionBy(F.lit(1))).alias("total"))
+        inside = Window.partitionBy("range").orderBy(F.desc("x") if c in LOWER_IS_BETTER else F.asc("x"))
+        v = v.withColumn("upto", F.sum("k").over(inside)).join(F.broadcast(whole), "range")
+        v = v.select(F.col("x").alias(f"x_{c}"), ((F.col("before") + F.col("upto") - F.col("k") + (F.col("k") + 1) / 2) / F.col("total")).alias(f"p_{c}"))
         out = out.withColumn(f"y_{c}", x).join(v, F.col(f"y_{c}") == F.col(f"x_{c}"), "left").drop(f"x_{c}", f"y_{c}")
     total = sum(weights.values())
     score = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"p_{c}"), F.lit(0.0)) * w for c, w in weights.items()]) / total * 100

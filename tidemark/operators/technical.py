@@ -68,36 +68,45 @@ def relative_volume(bars: DataFrame, n: int = 20) -> DataFrame:
     return bars.withColumn("rel_volume", full(ratio(F.col("volume"), F.avg("volume").over(last(n))), "volume", n))
 
 
-def exponential(bars: DataFrame) -> DataFrame:
-    """All recursive indicators in one grouped pass: EMA 12/26, RSI 14, MACD 12/26/9, ATR 14, ADX 14.
+#: The recursive indicators.
+RECURSIVE = ("ema_12", "ema_26", "rsi", "macd", "macd_signal", "macd_hist", "atr", "plus_di", "minus_di", "adx")
+
+
+def exponential(bars: DataFrame, names: tuple[str, ...] = RECURSIVE) -> DataFrame:
+    """Recursive indicators in one grouped pass, those named: EMA 12/26, RSI 14, MACD 12/26/9, ATR 14, ADX 14.
 
     A symbol's history is one group; it is bounded by the calendar (a few hundred bars a year), not by the number of symbols.
     """
-    names = ["ema_12", "ema_26", "rsi", "macd", "macd_signal", "macd_hist", "atr", "plus_di", "minus_di", "adx"]
+    wants = set(names)
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ts", ignore_index=True)
         c, h, low = g["close"], g["high"], g["low"]
         span = lambda s, n: s.ewm(span=n, adjust=False).mean()
         wilder = lambda s, n=14: s.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-        g["ema_12"], g["ema_26"] = span(c, 12), span(c, 26)
-        move = c.diff()
-        gain, loss = wilder(move.clip(lower=0)), wilder(-move.clip(upper=0))
-        rsi = 100 - 100 / (1 + gain / loss.where(loss != 0))
-        g["rsi"] = rsi.mask((loss == 0) & (gain > 0), 100.0).mask((loss == 0) & (gain == 0), 50.0)
-        g["macd"] = g["ema_12"] - g["ema_26"]
-        g["macd_signal"] = span(g["macd"], 9)
-        g["macd_hist"] = g["macd"] - g["macd_signal"]
-        before = c.shift()
-        true_range = pd.concat([h - low, (h - before).abs(), (low - before).abs()], axis=1).max(axis=1)
-        g["atr"] = wilder(true_range)
-        up, down = h.diff(), -low.diff()
-        plus, minus = up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)
-        atr = g["atr"].where(g["atr"] != 0)
-        g["plus_di"], g["minus_di"] = 100 * wilder(plus) / atr, 100 * wilder(minus) / atr
-        total = g["plus_di"] + g["minus_di"]
-        g["adx"] = wilder(100 * (g["plus_di"] - g["minus_di"]).abs() / total.where(total != 0))
-        return g
+        out = {}
+        if wants & {"ema_12", "ema_26", "macd", "macd_signal", "macd_hist"}:
+            out["ema_12"], out["ema_26"] = span(c, 12), span(c, 26)
+            out["macd"] = out["ema_12"] - out["ema_26"]
+            out["macd_signal"] = span(out["macd"], 9)
+            out["macd_hist"] = out["macd"] - out["macd_signal"]
+        if "rsi" in wants:
+            move = c.diff()
+            gain, loss = wilder(move.clip(lower=0)), wilder(-move.clip(upper=0))
+            rsi = 100 - 100 / (1 + gain / loss.where(loss != 0))
+            out["rsi"] = rsi.mask((loss == 0) & (gain > 0), 100.0).mask((loss == 0) & (gain == 0), 50.0)
+        if wants & {"atr", "plus_di", "minus_di", "adx"}:
+            before = c.shift()
+            true_range = pd.concat([h - low, (h - before).abs(), (low - before).abs()], axis=1).max(axis=1)
+            out["atr"] = wilder(true_range)
+            atr = out["atr"].where(out["atr"] != 0)
+        if wants & {"plus_di", "minus_di", "adx"}:
+            up, down = h.diff(), -low.diff()
+            plus, minus = up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)
+            out["plus_di"], out["minus_di"] = 100 * wilder(plus) / atr, 100 * wilder(minus) / atr
+            total = out["plus_di"] + out["minus_di"]
+            out["adx"] = wilder(100 * (out["plus_di"] - out["minus_di"]).abs() / total.where(total != 0))
+        return g.assign(**{n: out[n] for n in names})
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema)
     return bars.groupBy("symbol").applyInPandas(one, fields + "".join(f", {n} double" for n in names))
@@ -116,11 +125,11 @@ def trend(bars: DataFrame) -> DataFrame:
 
 def support_resistance(bars: DataFrame, window: int = 120) -> DataFrame:
     """The two nearest pivots below and above the last close, over the last 120 bars; pivots are extremes of 11 centred bars."""
-    b = bars.withColumns({"rn": F.row_number().over(by_symbol().orderBy(F.desc("ts"))), "now": F.last("close").over(by_ts().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).where(F.col("rn") <= window)
+    b = bars.withColumn("rn", F.row_number().over(by_symbol().orderBy(F.desc("ts")))).where(F.col("rn") <= window)
     mid = by_ts().rowsBetween(-5, 5)
     whole = F.count("*").over(mid) == 11
     b = b.withColumns({"top": F.when(whole & (F.col("high") == F.max("high").over(mid)), F.col("high")), "bottom": F.when(whole & (F.col("low") == F.min("low").over(mid)), F.col("low"))})
-    g = b.groupBy("symbol").agg(F.count("*").alias("n"), F.max("now").alias("now"), F.sort_array(F.collect_set("top")).alias("tops"), F.sort_array(F.collect_set("bottom")).alias("bottoms"))
+    g = b.groupBy("symbol").agg(F.count("*").alias("n"), F.max_by("close", "ts").alias("now"), F.sort_array(F.collect_set("top")).alias("tops"), F.sort_array(F.collect_set("bottom")).alias("bottoms"))
     above, below = F.filter("tops", lambda x: x > F.col("now")), F.reverse(F.filter("bottoms", lambda x: x < F.col("now")))
     r = F.when(F.size(above) > 0, above).otherwise(F.reverse("tops"))
     s = F.when(F.size(below) > 0, below).otherwise(F.col("bottoms"))

@@ -65,7 +65,7 @@ def market(s, d):
 
 N_SNAP = re.sub(r"\b(day0|day1|day2|bars)\b", r"n_\1", SNAP[SNAP.index("day0 AS") :].replace(", a AS", ", na AS").replace("FROM a ", "FROM na ").replace("(SELECT max(ts) FROM a", "(SELECT max(ts) FROM na"))
 HEALTH = f"""{IND}, {N_SNAP}, br AS (SELECT count(*) FILTER (change>0.0001) AS u, count(*) FILTER (change< -0.0001) AS dn, avg(above_ma20::INT)*100 AS pa FROM snap),
-h AS (SELECT list_avg([CASE WHEN close>s20 THEN 100.0 WHEN s20 IS NOT NULL THEN 0 END, CASE WHEN close>s50 THEN 100 WHEN s50 IS NOT NULL THEN 0 END, CASE WHEN close>s200 THEN 100 WHEN s200 IS NOT NULL THEN 0 END]) AS t, greatest(0,least(100,(rsi-30)/40*100)) AS r, (close/r20-1)*100 AS r20, (coalesce(u*100.0::DOUBLE/nullif(u+dn,0),50)+pa)/2 AS b FROM (SELECT *, lag(close,20) OVER (PARTITION BY symbol ORDER BY ts) AS r20 FROM al WHERE symbol='ASIA') q, br QUALIFY row_number() OVER (ORDER BY ts DESC) = 1),
+h AS (SELECT list_avg([CASE WHEN close>s20 THEN 100.0 WHEN s20 IS NOT NULL THEN 0 END, CASE WHEN close>s50 THEN 100 WHEN s50 IS NOT NULL THEN 0 END, CASE WHEN close>s200 THEN 100 WHEN s200 IS NOT NULL THEN 0 END]) AS t, greatest(0,least(100,(rsi-30)/40*100)) AS r, (close/r20-1)*100 AS r20, (coalesce(br.u*100.0::DOUBLE/nullif(br.u+br.dn,0),50)+pa)/2 AS b FROM (SELECT *, lag(close,20) OVER (PARTITION BY symbol ORDER BY ts) AS r20 FROM al WHERE symbol='ASIA') q, br QUALIFY row_number() OVER (ORDER BY ts DESC) = 1),
 z AS (SELECT round_even((coalesce(t*35,0)+coalesce(r*20,0)+coalesce(b*30,0)+coalesce(greatest(0,least(100,50+6*r20))*15,0))/((t IS NOT NULL)::INT*35+(r IS NOT NULL)::INT*20+(b IS NOT NULL)::INT*30+(r20 IS NOT NULL)::INT*15.0::DOUBLE),0) AS health FROM h)"""
 add("SC_07_market_health", lambda s, d: sc.market_health(market(s, d)).select("health", "health_label"), f"{HEALTH} SELECT health, CASE WHEN health>=65 THEN 'positive' WHEN health>=50 THEN 'fair' WHEN health>=35 THEN 'cautious' ELSE 'weak' END AS health_label FROM z")
 

@@ -56,15 +56,15 @@ EMAS = f"""WITH RECURSIVE {BARS}, b AS (SELECT *, row_number() OVER (PARTITION B
 e AS (SELECT symbol, rn, ts, close AS ema_12, close AS ema_26, 0.0::DOUBLE AS sig FROM b WHERE rn = 1
  UNION ALL SELECT b.symbol, b.rn, b.ts, e.ema_12*(1-2.0::DOUBLE/13)+b.close*2.0::DOUBLE/13, e.ema_26*(1-2.0::DOUBLE/27)+b.close*2.0::DOUBLE/27,
  e.sig*0.8::DOUBLE+0.2::DOUBLE*((e.ema_12*(1-2.0::DOUBLE/13)+b.close*2.0::DOUBLE/13)-(e.ema_26*(1-2.0::DOUBLE/27)+b.close*2.0::DOUBLE/27)) FROM e JOIN b ON b.symbol=e.symbol AND b.rn=e.rn+1)"""
-add("TA_02_ema", lambda s, d: rounded(ta.exponential(walk_bars(s, d)), "ema_12", "ema_26"), f"{EMAS} SELECT symbol, ts, round(ema_12,4) AS ema_12, round(ema_26,4) AS ema_26 FROM e")
-add("TA_04_macd", lambda s, d: rounded(ta.exponential(walk_bars(s, d)), "macd", "macd_signal", "macd_hist"), f"{EMAS} SELECT symbol, ts, round(ema_12-ema_26,4) AS macd, round(sig,4) AS macd_signal, round(ema_12-ema_26-sig,4) AS macd_hist FROM e")
+add("TA_02_ema", lambda s, d: rounded(ta.exponential(walk_bars(s, d), ("ema_12", "ema_26")), "ema_12", "ema_26"), f"{EMAS} SELECT symbol, ts, round(ema_12,4) AS ema_12, round(ema_26,4) AS ema_26 FROM e")
+add("TA_04_macd", lambda s, d: rounded(ta.exponential(walk_bars(s, d), ("macd", "macd_signal", "macd_hist")), "macd", "macd_signal", "macd_hist"), f"{EMAS} SELECT symbol, ts, round(ema_12-ema_26,4) AS macd, round(sig,4) AS macd_signal, round(ema_12-ema_26-sig,4) AS macd_hist FROM e")
 RSI = f"""WITH RECURSIVE {BARS}, b AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, greatest(close-lag(close) OVER (PARTITION BY symbol ORDER BY ts),0) AS g, greatest(lag(close) OVER (PARTITION BY symbol ORDER BY ts)-close,0) AS l FROM bars),
 e AS (SELECT symbol, ts, rn, g, l FROM b WHERE rn = 2 UNION ALL SELECT b.symbol, b.ts, b.rn, e.g*(1-1.0::DOUBLE/14)+b.g/14, e.l*(1-1.0::DOUBLE/14)+b.l/14 FROM e JOIN b ON b.symbol=e.symbol AND b.rn=e.rn+1)"""
-add("TA_03_rsi", lambda s, d: rounded(ta.exponential(walk_bars(s, d)), "rsi"),
+add("TA_03_rsi", lambda s, d: rounded(ta.exponential(walk_bars(s, d), ("rsi",)), "rsi"),
     f"{RSI} SELECT b.symbol, b.ts, CASE WHEN b.rn < 15 THEN NULL WHEN e.l=0 AND e.g>0 THEN 100.0::DOUBLE WHEN e.l=0 THEN 50.0::DOUBLE ELSE round(100-100/(1+e.g/e.l),4) END AS rsi FROM b LEFT JOIN e ON e.symbol=b.symbol AND e.rn=b.rn")
 ATR = f"""WITH RECURSIVE {BARS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM bars), b AS (SELECT *, greatest(high-low, abs(high-pc), abs(low-pc)) AS tr FROM a),
 e AS (SELECT symbol, ts, rn, tr AS v FROM b WHERE rn=1 UNION ALL SELECT b.symbol, b.ts, b.rn, e.v*(1-1.0::DOUBLE/14)+b.tr/14 FROM e JOIN b ON b.symbol=e.symbol AND b.rn=e.rn+1)"""
-add("TA_06_atr", lambda s, d: rounded(ta.exponential(walk_bars(s, d)), "atr"), f"{ATR} SELECT symbol, ts, CASE WHEN rn>=14 THEN round(v,4) END AS atr FROM e")
+add("TA_06_atr", lambda s, d: rounded(ta.exponential(walk_bars(s, d), ("atr",)), "atr"), f"{ATR} SELECT symbol, ts, CASE WHEN rn>=14 THEN round(v,4) END AS atr FROM e")
 add("TA_07_adx", lambda s, d: rounded(ta.exponential(walk_bars(s, d)), "plus_di", "minus_di", "adx"))
 add("TA_13_all_indicators", lambda s, d: ta.exponential(ta.relative_volume(ta.roc(ta.cmf(ta.obv(ta.mfi(ta.bollinger(ta.sma(walk_bars(s, d, "n_name")))))))))
     .select("symbol", "ts", *[F.round(c, 4).alias(c) for c in ("sma_20", "bb_upper", "mfi", "obv", "cmf", "roc", "rel_volume", "rsi", "macd_hist", "atr", "adx")]))
@@ -149,6 +149,6 @@ e AS (SELECT symbol, rn, ts, 1e8::DOUBLE AS cash, 0::BIGINT AS held, close FROM
  FROM (SELECT b.symbol, b.rn, b.ts, b.open, b.close, e.cash, e.held, b.open*(1+0.001::DOUBLE) AS bp, CASE WHEN b.act=1 AND e.held=0 THEN (floor(e.cash*0.95::DOUBLE/(b.open*(1+0.001::DOUBLE))/100)*100)::BIGINT ELSE 0 END AS q, b.act=-1 AND e.held>0 AS out FROM e JOIN b ON b.symbol=e.symbol AND b.rn=e.rn+1))"""
 add("BT_04_equity", lambda s, d: bt.equity(bt.ma_cross(walk_bars(s, d))).select("symbol", "ts", F.round("equity", 2).alias("equity"), "shares"), f"{FOLD} SELECT symbol, ts, round(cash+held*close,2) AS equity, held AS shares FROM e")
 add("BT_05_metrics", lambda s, d: (m := bt.metrics(bt.equity(bt.ma_cross(walk_bars(s, d))))).select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes]))
-add("BT_02_rsi_equity", lambda s, d: bt.equity(bt.rsi_reversion(ta.exponential(walk_bars(s, d)))).select("symbol", "ts", F.round("equity", 2).alias("equity"), "shares"))
+add("BT_02_rsi_equity", lambda s, d: bt.equity(bt.rsi_reversion(ta.exponential(walk_bars(s, d), ("rsi",)))).select("symbol", "ts", F.round("equity", 2).alias("equity"), "shares"))
 add("BT_06_buy_and_hold", lambda s, d: bt.buy_and_hold(walk_bars(s, d)).select("symbol", F.round("total_return", 4).alias("total_return"), F.round("max_drawdown", 4).alias("max_drawdown")),
     f"WITH {BARS}, a AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY ts) AS pk FROM bars) SELECT symbol, round((max_by(close,ts)/min_by(close,ts)-1)*100,4) AS total_return, round(min(close/pk-1)*100,4) AS max_drawdown FROM a GROUP BY symbol")

@@ -138,7 +138,7 @@ def held(s, d):
 
 
 add("AG_07_JN_10_portfolio", lambda s, d: sc.positions(held(s, d), walk_bars(s, d).groupBy("symbol").agg(F.max_by("close", "ts").alias("price")).where("symbol <> 'AFRICA'")).groupBy("portfolio").agg(F.count("*").alias("positions"), F.sum("current_value").alias("total_value"), F.round(F.sum("weight"), 4).alias("weights"), F.round(F.avg("pnl_pct"), 2).alias("mean_pct")),
-    f"WITH {BARS}, pr AS (SELECT symbol, max_by(close, ts) AS price FROM bars WHERE symbol <> 'AFRICA' GROUP BY symbol), h AS (SELECT o_orderpriority AS portfolio, r_name AS symbol, (o_orderkey % 90 + 10)::DOUBLE AS q, round(o_totalprice/300, 2) AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), x AS (SELECT portfolio, b*q*1.0015::DOUBLE AS cost, coalesce(price, 0)*q AS value FROM h LEFT JOIN pr USING (symbol)), y AS (SELECT portfolio, round_even(value, 0) AS cv, round_even((value-cost)/nullif(cost,0)*100, 2) AS pct FROM x) SELECT portfolio, count(*) AS positions, sum(cv) AS total_value, 100.0::DOUBLE AS weights, round(avg(pct), 2) AS mean_pct FROM y GROUP BY portfolio")
+    f"WITH {BARS}, pr AS (SELECT symbol, max_by(close, ts) AS price FROM bars WHERE symbol <> 'AFRICA' GROUP BY symbol), h AS (SELECT o_orderpriority AS portfolio, r_name AS symbol, (o_orderkey % 90 + 10)::DOUBLE AS q, round(o_totalprice/300, 2) AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), x AS (SELECT portfolio, b*q*1.0015::DOUBLE AS cost, coalesce(price, 0)*q AS value FROM h LEFT JOIN pr USING (symbol)), y AS (SELECT portfolio, round_even(value, 0) AS cv, sum(round_even(value, 0)) OVER (PARTITION BY portfolio) AS tot, round_even((value-cost)/nullif(cost,0)*100, 2) AS pct FROM x) SELECT portfolio, count(*) AS positions, sum(cv) AS total_value, round(sum(cv/tot*100), 4) AS weights, round(avg(pct), 2) AS mean_pct FROM y GROUP BY portfolio")
 
 
 def momentum(s, d):

@@ -57,3 +57,26 @@ def merge_cells(cells: DataFrame) -> DataFrame:
     """One value and its source for each (symbol, period_key, item): the first, by `priority`, that is not null. One aggregate, however many sources."""
     best = F.min(F.struct("priority", "source", "value")).alias("best")
     return cells.where("value is not null").groupBy("symbol", "period_key", "item").agg(best).select("symbol", "period_key", "item", "best.value", "best.source")
+
+
+def current_quote(intraday: DataFrame, daily: DataFrame) -> DataFrame:
+    """price, reference, change and change in percent of each symbol: its last intraday bar, else its last daily one, against the last daily close of an earlier day."""
+    last = lambda df, p: df.groupBy("symbol").agg(F.max(F.struct("ts", "close")).alias(p))
+    q = last(daily, "d").join(last(intraday, "i"), "symbol", "full").select("symbol", F.coalesce("i", "d").alias("q"))
+    before = daily.select("symbol", "ts", F.col("close").alias("c")).join(q, "symbol").where(F.col("ts") < F.date_trunc("day", "q.ts")).groupBy("symbol").agg(F.max_by("c", "ts").alias("reference"))
+    out = q.join(before, "symbol", "left").select("symbol", F.col("q.close").alias("price"), "reference")
+    return out.withColumn("change", F.col("price") - F.col("reference")).withColumn("change_pct", F.try_divide("change", "reference") * 100)
+
+
+def on_exchange(listing: DataFrame, exchange: str, synonyms: dict[str, str]) -> DataFrame:
+    """The listed symbols of an exchange, by any of its names."""
+    names = {exchange.upper(), *[b for a, b in synonyms.items() if a == exchange.upper()], *[a for a, b in synonyms.items() if b == exchange.upper()]}
+    return listing.where(F.upper("exchange").isin(sorted(names)))
+
+
+def statement_cells(payloads: DataFrame) -> DataFrame:
+    """(symbol, item, period, value) of JSON statements [periods, {group: [{Name, Value1, Value2, ...}]}], a period by its place; a payload that is none gives no rows."""
+    j = payloads.select("symbol", F.from_json(F.get_json_object("payload", "$[0]"), "array<string>").alias("periods"), F.from_json(F.get_json_object("payload", "$[1]"), "map<string, array<map<string, string>>>").alias("groups"))
+    rows = j.select("symbol", "periods", F.explode("groups").alias("group", "items")).select("symbol", "periods", F.explode("items").alias("x"))
+    at = rows.select("symbol", F.col("x")["Name"].alias("item"), "x", F.posexplode("periods").alias("pos", "period"))
+    return at.select("symbol", "item", "period", F.col("x")[F.concat(F.lit("Value"), (F.col("pos") + 1).cast("string"))].try_cast("double").alias("value"))
