@@ -189,3 +189,44 @@ def test_toxicity_and_quality(spark, empty):
     assert toxicity.score(empty, chain).count() == 0
     m = quality.fit_quality(d)
     assert quality.score(d, m).count() == 302 and quality.score(empty, quality.fit_quality(empty)).count() == 0
+
+
+def test_bpe_hard_texts(spark):
+    """Long pre-tokens, many chunks, special tokens, and characters that this Python does not know, against the library; then the byte machine."""
+    import unicodedata
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    new = [chr(i) for i in [0x558, 0x88F, 0xC5C, 0x1C89, 0x208F, 0xA7CF, 0x10D56] if unicodedata.category(chr(i)) == "Cn"]
+    texts = ["theintheresting" * 2500, "a" * 40_000, "é" * 20_000, "x y " * 60_000, "tail<|endoftext|>of<|startoftext|>text " * 3000, " ".join("ab" + c + "cd 1" + c + "2 !" + c + "?" for c in new) + " ΑΣ ΣΑΣ", "\u2003 \x85 e\u0301 " * 9000]
+    texts += ["".join(rng.choice("aéΣ '1!\n\t" + "".join(new)) for _ in range(400)) for _ in range(20)]
+    got = {r.doc_id: r for r in bpe.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for i, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), i
+        assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest(), i
+    d = spark.createDataFrame([(0, "Hello wörld, it's 42"), (1, None)], "doc_id long, text string")
+    back = {r.doc_id: r.text for r in bpe.decode_ids(bpe.encode_texts(d, path), path).collect()}
+    assert back[0].split() == ["hello", "wörld", ",", "it", "'s", "4", "2"] and back[1] == ""
+
+
+CLASH = ("key", "a", "b", "gone", "g", "c", "n", "id", "bucket", "component", "s", "set", "line", "place")
+
+
+def test_clashing_columns(spark):
+    """Stages that return the columns of documents leave those of any name alone; the others ignore them."""
+    import corpus_pipeline as cp
+
+    base = [(0, "one line that is long enough to be kept\nshared line of some words"), (1, "shared line of some words\nanother line, of other words"), (2, None), (2, None), (None, "no id here"), (5, ""), (6, "z" * 700), (7, "z" * 700)]
+    df = spark.createDataFrame(base, "doc_id long, text string").select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASH])
+    for stage in (cp.dedup_lines, cp.dedup_near, cp.cut_repeats):
+        out = stage(spark, df, "")
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"mine {c}" for r in rows for c in CLASH)
+    for op in (lines.dedup_lines, jaccard.near_duplicates, suffix_array.remove_repeats, substring.remove_repeats, fingerprint.fingerprint_with_neighbour):
+        assert op(df).count() == len(base)

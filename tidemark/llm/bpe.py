@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: The characters that count as white space for the normaliser.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-#: Pre-tokens that one worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Pre-tokens that one worker remembers before it starts anew; characters of a text, and pre-tokens of a digest, that it holds at a time.
+REMEMBERED, CHUNK, HELD = 300_000, 1 << 16, 1 << 13
 #: A merge is kept as one number: its rank, and the id it makes in the low bits.
 MASK, NONE = (1 << 20) - 1, 1 << 60
 
@@ -38,10 +39,32 @@ def byte_letters() -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _unassigned() -> regex.Pattern:
+    """Matches the code points that this Python holds unassigned; others may know them."""
+    runs, start = [], None
+    for i in range(sys.maxunicode + 2):
+        new = i <= sys.maxunicode and unicodedata.category(chr(i)) == "Cn"
+        if new and start is None:
+            start = i
+        elif not new and start is not None:
+            runs.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            start = None
+    return regex.compile("[" + "".join(runs) + "]")
+
+
+@lru_cache(maxsize=2)
+def _own_tables(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Vocabulary:
     """Ids, merges and special tokens of a byte-level BPE file with word ends."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -105,6 +128,7 @@ class Encoder:
         self.space = regex.compile(f"[{SPACE}]+")
         self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+")
         self.memo: dict[str, tuple[str, str, int]] = {}
+        self.unsettled, self.byte_of = _unassigned(), {c: b for b, c in enumerate(byte_letters())}
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply merges to a list of ids, lowest rank first and leftmost of equals."""
@@ -165,15 +189,30 @@ class Encoder:
         base = [self.v.inner[b] for b in raw[:-1]] + [self.v.last[raw[-1]]]
         return self.merge(base) if len(base) <= 4 * self.lookahead else list(self.stream(base))
 
+    def chunks(self, text: str) -> Iterator[str]:
+        """The text in pieces that begin with white space, at which neither pre-tokens nor composed characters nor special tokens go on."""
+        at = 0
+        while at < len(text):
+            gap = self.space.search(text, at + CHUNK) if len(text) - at > CHUNK else None
+            end = gap.start() if gap else len(text)
+            yield text[at:end]
+            at = end
+
     def words(self, text: str) -> Iterator[str | int]:
         """Pre-tokens of a text, or the id of a special token."""
-        parts = self.v.split_special.split(text) if self.v.split_special else [text]
-        for k, part in enumerate(parts):
-            if k % 2:
-                yield self.v.special[part]
-            elif part:
-                part = part if part.isascii() else unicodedata.normalize("NFC", part)
-                yield from self.word.findall(self.space.sub(" ", part).replace("Σ", "σ").lower())
+        for chunk in self.chunks(text):
+            parts = self.v.split_special.split(chunk) if self.v.split_special else [chunk]
+            for k, part in enumerate(parts):
+                if k % 2:
+                    yield self.v.special[part]
+                elif part.isascii():
+                    yield from self.word.findall(self.space.sub(" ", part).lower())
+                elif self.unsettled.search(part):
+                    # characters newer than this Python's tables: the vocabulary's own tables say how they are written and classed
+                    own = _own_tables(self.v.path)
+                    yield from (bytes(map(self.byte_of.__getitem__, w)).decode("utf-8") for w, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(part)))
+                else:
+                    yield from self.word.findall(self.space.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower())
 
     def pieces(self, text: str, decoder: Decoder) -> Iterator[tuple[str, str, int]]:
         """For each pre-token: its ids as text, its decoded text, their number."""
@@ -266,18 +305,35 @@ def decode_ids(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, in one narrow pass without a shuffle.
 
-    Null text counts as empty: no tokens, digests of the empty string. Extra columns are ignored.
+    Digests are fed as tokens come, a few thousand at a time, so that nothing but the text itself grows with it. Null text counts as empty: no
+    tokens, digests of the empty string. Repeated rows have equal results, an empty table gives no rows, ties do not arise and extra columns, whatever
+    their names, are ignored.
     """
     ahead = lookahead_of(vocabulary_path)
 
+    def one(enc, dec, text):
+        digests, n, lead, hits = (hashlib.sha256(), hashlib.sha256()), 0, "", []
+
+        def flush():
+            nonlocal lead
+            for digest, k in zip(digests, (0, 1)):
+                digest.update((lead + " ".join([h[k] for h in hits])).encode("utf-8"))
+            lead = " "
+            hits.clear()
+
+        for hit in enc.pieces(text, dec):
+            hits.append(hit)
+            n += hit[2]
+            if len(hits) >= HELD:
+                flush()
+        if hits:
+            flush()
+        return n, digests[0].hexdigest(), digests[1].hexdigest()
+
     def run(batches):
         enc, dec = _loaded(vocabulary_path, ahead)
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                hits = list(enc.pieces(text, dec))
-                ids, out = " ".join([h[0] for h in hits]), " ".join([h[1] for h in hits])
-                rows.append((doc, sum([h[2] for h in hits]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(out.encode("utf-8")).hexdigest()))
+            rows = [(doc, *one(enc, dec, text)) for doc, text in zip(b["doc_id"], b["text"])]
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     cols = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -89,7 +89,8 @@ def _in_buckets(docs: DataFrame, rows: int = 1000, most: int = 100_000) -> DataF
     ends = [*cuts[1:], high + 1]
     at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("id")))
     lo, hi = F.element_at(F.array(*map(F.lit, cuts)), at), F.element_at(F.array(*map(F.lit, ends)), at)
-    share = (F.col("id") - lo).cast("double") / (hi - lo).cast("double")
+    number = lambda c: c.cast("double")  # noqa: E731  differences of longs may be too large for one
+    share = (number(F.col("id")) - number(lo)) / (number(hi) - number(lo))
     return docs.withColumn("bucket", (at * fine + F.least(F.floor(share * fine), F.lit(fine - 1))).cast("long"))
 
 

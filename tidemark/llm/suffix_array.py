@@ -19,6 +19,8 @@ from tidemark.llm.common import materialize
 #: Bytes of a repeated string, bytes of a minimiser's gram, bytes of a shard, and the distinct runs of one minimiser
 #: beyond which its windows are counted by hash over all tasks, as a shard could not hold them.
 WIDTH, GRAM, SHARD, MOST_RUNS = 200, 40, 1 << 20, 2000
+#: Letters up to which a sweep takes a bucket at a time.
+FEW_LETTERS = 600
 
 
 def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
@@ -87,34 +89,49 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.
     return sa
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string over a large alphabet, by sorting ranks of doubled prefixes."""
-    n, rank, k = len(names), np.unique(names, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        second = np.zeros(n, dtype=np.int64)
-        second[: n - k] = rank[k:] + 1
-        pair = rank * (n + 2) + second
-        order = np.argsort(pair, kind="stable")
-        fresh = np.concatenate([[0], np.cumsum(pair[order][1:] != pair[order][:-1])])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1 or k >= n:
-            return order
-        k *= 2
+def _induce_many(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The same, one suffix at a time: for a string over so many letters that most buckets hold a few suffixes."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t, minlength=sigma))
+    letters, small, sa = t.tolist(), is_s.tolist(), [-1] * n
+    tail = ends.tolist()
+    for j in lms[::-1].tolist():  # the leftmost-smaller suffixes in order at the ends of their buckets
+        c = letters[j]
+        tail[c] -= 1
+        sa[tail[c]] = j
+    head = (ends - np.bincount(t, minlength=sigma)).tolist()
+    c = letters[n - 1]
+    first = n - 1  # the last suffix is a larger one that nothing induces: it comes first in its bucket
+    sa_left = sa
+    sa_left[head[c]] = first
+    head[c] += 1
+    for i in range(n):
+        j = sa_left[i] - 1
+        if j >= 0 and not small[j]:
+            c = letters[j]
+            sa_left[head[c]] = j
+            head[c] += 1
+    tail = ends.tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and small[j]:
+            c = letters[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    return np.array(sa, dtype=np.int64)
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array of a string of integers below sigma, by induced sorting.
 
     Suffixes are classified, the leftmost-smaller substrings are sorted by a first induction and named, and the string of
-    names is sorted recursively; a string over more letters than a few hundred is sorted by doubling instead, as it has too many
-    buckets for the sweeps to pay. The order of the leftmost-smaller suffixes then induces that of all.
+    names is sorted recursively. The order of the leftmost-smaller suffixes then induces that of all. Over a few hundred letters a sweep takes
+    a bucket at a time, over more (the strings of names) a suffix at a time.
     """
     n = len(t)
     if n < 2:
         return np.arange(n)
-    if sigma > 600:
-        return _by_doubling(t)
+    induce = _induce if sigma <= FEW_LETTERS else _induce_many
     # smaller: less than the next suffix; equal letters take the class of the next one
     up = np.concatenate([t[:-1] < t[1:], [False]])
     even = np.concatenate([t[:-1] == t[1:], [False]])
@@ -122,9 +139,9 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     is_s = up[known[np.searchsorted(known, np.arange(n))]]
     lms = np.flatnonzero(is_s & np.concatenate([[False], ~is_s[:-1]]))
     if not len(lms):
-        return _induce(t, is_s, lms, sigma)
+        return induce(t, is_s, lms, sigma)
     rough = lms[np.argsort(t[lms], kind="stable")]
-    sa = _induce(t, is_s, rough, sigma)
+    sa = induce(t, is_s, rough, sigma)
     place = np.zeros(n, dtype=bool)
     place[lms] = True
     order = sa[place[sa]]
@@ -146,7 +163,7 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
         reduced = np.empty(len(lms), dtype=np.int64)
         reduced[index[order]] = name
         order = lms[suffix_array(reduced, int(name[-1]) + 1)]
-    return _induce(t, is_s, order, sigma)
+    return induce(t, is_s, order, sigma)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,28 +262,28 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     return cols.mapInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_raw binary")
 
 
+#: Columns that keep_rest adds to a user's own.
+KEY, FROM, TO = "_repeat_key", "_repeat_from", "_repeat_to"
+
+
 def keep_rest(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """documents with the repeated bytes cut out of `text`, other columns as they are; n_chars, if there, follows the text.
 
-    A character of which only some bytes are covered goes as a whole. Documents left without text stay, as empty ones.
+    A character of which only some bytes are covered goes as a whole. Documents left without text stay, as empty ones. Null text counts as empty, equal
+    rows are copies of each other, texts of any length are read whole, an empty table gives no rows; extra columns may have any name but KEY, FROM and TO.
     """
-    spans = repeated_strings(documents, width, gram).where("a is not null").groupBy("key").agg(F.first("a").alias("a"), F.first("b").alias("b"))
-    docs = documents.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    both = docs.join(spans, "key", "left").drop("key")
-    count = "n_chars" in documents.columns
-
-    def apply(batches):
-        for b in batches:
-            texts = []
-            for text, lo, hi in zip(b["text"], b["a"], b["b"]):
-                if lo is not None:
-                    raw = text.encode("utf-8")
-                    text = np.frombuffer(raw, dtype=np.uint8)[~repeats.mask(len(raw), lo, hi, width)].tobytes().decode("utf-8", "ignore")
-                texts.append(text or "")
-            b["text"] = texts
-            if count:
-                b["n_chars"] = [len(t) for t in texts]
-            yield b[documents_columns]
-
-    documents_columns = documents.columns
-    return both.mapInPandas(apply, documents.schema)
+    spans = repeated_strings(documents, width, gram).where("a is not null").groupBy("key").agg(F.first("a").alias(FROM), F.first("b").alias(TO)).withColumnRenamed("key", KEY)
+    both = documents.withColumn(KEY, F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(spans, KEY, "left")
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        out = []
+        for text, a, b in zip(texts, lo, hi):
+            raw = text.encode("utf-8")
+            out.append(np.frombuffer(raw, dtype=np.uint8)[~repeats.mask(len(raw), a, b, width)].tobytes().decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    none = F.array().cast("array<int>")
+    text = F.when(F.col(FROM).isNull(), F.coalesce("text", F.lit(""))).otherwise(rest(F.coalesce("text", F.lit("")), F.coalesce(FROM, none), F.coalesce(TO, none)))
+    out = both.withColumn("text", text).select(*documents.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
