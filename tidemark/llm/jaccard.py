@@ -139,7 +139,7 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int = WORD
     cells = checkpoint(pairs.join(at("u", "i"), "u").join(at("v", "j"), "v").select("component", "i", "j", "u", "v"))
 
     def made(batches):
-        for b in batches:
+        for b in repeats.sliced(batches):
             rows = []
             for node, text, *place in zip(b["node"], b["text"], b["component"], b["large"], b["block"]):
                 h = shingles(text, words)
@@ -180,7 +180,7 @@ def features_of(docs: DataFrame, total: float, words: int = WORDS, percent: int
     """doc_id, size n and name of each document's set, its odd sketch and its keys; a document without shingles has n = 0 and nothing else."""
 
     def run(batches):
-        for b in filter(len, batches):
+        for b in repeats.sliced(batches):
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 h = shingles(text, words)
@@ -190,7 +190,7 @@ def features_of(docs: DataFrame, total: float, words: int = WORDS, percent: int
                 keys, before, kinds = segment_keys(h, total, percent)
                 rows.append((doc, len(h), set_id(h), odd_sketch(h), keys.view(np.int64), (before >> np.uint64(32)).astype(np.uint32).view(np.int32), kinds))
             cols = dict(zip(("doc_id", "n", "set", "sk", "ks", "before", "kinds"), map(list, zip(*rows))))
-            yield pd.DataFrame(cols | {"doc_id": b["doc_id"], "set": pd.array(cols["set"], dtype="Int64")})  # not by way of floats
+            yield pd.DataFrame(cols | {"doc_id": b["doc_id"].to_numpy(), "set": pd.array(cols["set"], dtype="Int64")})  # not by way of floats
 
     return docs.mapInPandas(run, "doc_id long, n long, set long, sk array<long>, ks array<long>, before array<int>, kinds array<boolean>")
 

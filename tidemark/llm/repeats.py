@@ -26,6 +26,13 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def sliced(batches, rows: int = 512):
+    """Frames of at most so many rows, so that what is made of them stays small."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i : i + rows]
+
+
 def byte_units(text: str) -> np.ndarray:
     """A 64-bit value for each UTF-8 byte."""
     return _BYTES[np.frombuffer(text.encode("utf-8"), dtype=np.uint8)]
