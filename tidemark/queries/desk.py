@@ -140,7 +140,7 @@ add("TK_02_newest_news", lambda s, d: desk.newest_news(news(s, d)).select("symbo
 add("TK_03_feed", lambda s, d: desk.feed(news(s, d), ["click", "view"], 100).select("news_id", "symbol"), f"WITH {NEWS} SELECT news_id, symbol FROM n WHERE symbol IN ('click','view') ORDER BY coalesce(p,f) DESC, news_id LIMIT 100")
 add("ST_01_union_all", lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("a")).unionByName(table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n")), allowMissingColumns=True), "SELECT c_custkey AS k, c_acctbal AS a, NULL AS n FROM customer UNION ALL SELECT s_suppkey, NULL, s_nationkey FROM supplier")
 add("ST_02_distinct_in_order", lambda s, d: desk.distinct_in_order(table(s, d, "orders").select(F.col("o_custkey").alias("symbol"), F.col("o_orderkey").alias("ordinal")), "symbol", "ordinal"), "SELECT o_custkey AS symbol, min(o_orderkey) AS ordinal FROM orders GROUP BY ALL")
-add("ST_03_intersect", lambda s, d: table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).intersect(table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("day"))), "SELECT o_orderdate::DATE AS day FROM orders INTERSECT SELECT l_shipdate::DATE FROM lineitem")
+add("ST_03_intersect", lambda s, d: table(s, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).intersect(table(s, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))), "SELECT o_orderdate::DATE::VARCHAR AS day FROM orders INTERSECT SELECT l_shipdate::DATE::VARCHAR FROM lineitem")
 add("ST_04_first_of", lambda s, d: desk.first_of(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], F.desc("o_totalprice"), F.col("o_orderkey")).select("o_custkey", "o_orderkey"), "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
 
 
@@ -165,6 +165,6 @@ def quoted(s, d):
     )
 
 
-add("VA_01_06_resolved_multiples", lambda s, d: desk.resolved_multiples(quoted(s, d)).select("c_custkey", "eps", "bvps", "pe", "pb"),
+add("VA_01_06_resolved_multiples", lambda s, d: desk.resolved_multiples(quoted(s, d)).select("c_custkey", "eps", "bvps", *[F.round(F.col(c) / 1000, 3).alias(f"{c}_thousands") for c in ("pe", "pb")]),
     """WITH x AS (SELECT c_custkey AS k, CASE WHEN abs(c_acctbal)+1<1000 THEN (abs(c_acctbal)+1)*1000 ELSE abs(c_acctbal)+1 END AS price, CASE WHEN c_custkey%2=0 THEN c_custkey*1e6::DOUBLE ELSE CASE WHEN c_custkey*2e7::DOUBLE<=1e7 THEN c_custkey*2e13::DOUBLE ELSE c_custkey*2e7::DOUBLE END END AS sh, c_acctbal*1e6::DOUBLE AS ni, c_custkey*3e9::DOUBLE AS eq, CASE WHEN c_custkey%7=0 THEN 500.0::DOUBLE END AS eg, CASE WHEN c_custkey%5=0 THEN 900.0::DOUBLE END AS bg, CASE WHEN c_custkey%3=0 AND c_acctbal>0 THEN c_acctbal/10 END AS ep, CASE WHEN c_custkey%4=0 THEN 1200.0::DOUBLE END AS bp, CASE WHEN c_custkey%6=1 THEN 11.0::DOUBLE END AS pp, CASE WHEN c_custkey%6=2 THEN 1.3::DOUBLE END AS bb FROM customer),
- y AS (SELECT *, coalesce(eg, ep, round_even(price/pp,1), CASE WHEN ni>0 THEN round_even(ni/sh,1) END) AS eps, coalesce(bg, bp, round_even(price/bb,1), round_even(eq/sh,1)) AS bvps FROM x) SELECT k AS c_custkey, eps, bvps, coalesce(round_even(price/eg,2), pp, CASE WHEN eps>0 THEN round_even(price/eps,2) END) AS pe, coalesce(round_even(price/bg,2), bb, CASE WHEN bvps>0 THEN round_even(price/bvps,2) END) AS pb FROM y""")
+ y AS (SELECT *, coalesce(eg, ep, round_even(price/pp,1), CASE WHEN ni>0 THEN round_even(ni/sh,1) END) AS eps, coalesce(bg, bp, round_even(price/bb,1), round_even(eq/sh,1)) AS bvps FROM x) SELECT k AS c_custkey, eps, bvps, round(coalesce(round_even(price/eg,2), pp, CASE WHEN eps>0 THEN round_even(price/eps,2) END)/1000,3) AS pe_thousands, round(coalesce(round_even(price/bg,2), bb, CASE WHEN bvps>0 THEN round_even(price/bvps,2) END)/1000,3) AS pb_thousands FROM y""")

@@ -35,8 +35,8 @@ def mixed_kinds(s, d):
 
 add("FR_04_kinds", lambda s, d: fr.kinds(mixed_kinds(s, d)),
     f"WITH {STATEMENTS_SQL} SELECT DISTINCT symbol, CASE WHEN symbol > 'F' THEN 'quarter' ELSE 'year' END AS period, length(symbol) % 2 = 0 AS is_bank FROM fin WHERE symbol > 'F' OR symbol IN (SELECT symbol FROM fin GROUP BY symbol, period_key//10 HAVING count(*) = 4)")
-add("FR_05_shares", lambda s, d: statements(s, d).withColumn("charter_capital", F.col("equity") / 3).withColumn("shares_outstanding", F.expr("case when period_key % 2 = 0 then shares_outstanding end")).select("symbol", "period_key", F.round(fr.shares(), 4).alias("shares")),
-    f"WITH {STATEMENTS_SQL} SELECT symbol, period_key, round(CASE WHEN period_key % 2 = 0 AND shares_outstanding > 0 THEN shares_outstanding ELSE equity/3/10000 END, 4) AS shares FROM fin")
+add("FR_05_shares", lambda s, d: statements(s, d).withColumn("charter_capital", F.col("equity") / 3).withColumn("shares_outstanding", F.expr("case when period_key % 2 = 0 then shares_outstanding end")).select("symbol", "period_key", F.round(fr.shares(), 2).alias("shares")),
+    f"WITH {STATEMENTS_SQL} SELECT symbol, period_key, round(CASE WHEN period_key % 2 = 0 AND shares_outstanding > 0 THEN shares_outstanding ELSE equity/3/10000 END, 2) AS shares FROM fin")
 add("FR_13_bank_ratios", lambda s, d: rounded(fr.ratios(more(statements(s, d)).drop("revenue").withColumn("total_operating_income", F.col("net_income") * 4)).select("symbol", "period_key", "net_margin", "gross_margin", "loan_deposit", "equity_assets"), ["symbol", "period_key"]),
     f"WITH {STATEMENTS_SQL}, x AS (SELECT *, length(symbol) % 2 = 0 AS bank, CASE WHEN length(symbol) % 2 = 0 THEN net_income*4 END AS rev FROM fin), y AS (SELECT *, (period_key//10)*4+period_key%10 AS qi FROM x) SELECT symbol, period_key, round(CASE WHEN count(rev) {T4}=4 AND count(net_income) {T4}=4 THEN sum(net_income) {T4}/nullif(sum(rev) {T4},0)*100 END, 3) AS net_margin, NULL::DOUBLE AS gross_margin, round(CASE WHEN bank THEN 75.0::DOUBLE END, 3) AS loan_deposit, round(CASE WHEN bank THEN equity/total_assets*100 END, 3) AS equity_assets FROM y")
 TABLE = ("net_margin", "roe", "current_ratio", "debt_equity")
