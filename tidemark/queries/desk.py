@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as bt, desk, performance as px, scoring as sc, technical as ta
 from tidemark.plans.bars import STATEMENTS_SQL, bars_sql, statements, table, walk_bars
-from tidemark.queries.market import BARS, FOLD, NATION_BARS, SNAP, w
-from tidemark.queries.merges import METRICS, case, metrics, share_sql
+from tidemark.queries.market import BARS, FOLD, NATION_BARS, SNAP, STEPS, w
+from tidemark.queries.merges import METRICS, MOM_PARTS, case, metrics, share_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -168,3 +168,19 @@ def quoted(s, d):
 add("VA_01_06_resolved_multiples", lambda s, d: desk.resolved_multiples(quoted(s, d)).select("c_custkey", "eps", "bvps", *[F.round(F.col(c) / 1000, 3).alias(f"{c}_thousands") for c in ("pe", "pb")]),
     """WITH x AS (SELECT c_custkey AS k, CASE WHEN abs(c_acctbal)+1<1000 THEN (abs(c_acctbal)+1)*1000 ELSE abs(c_acctbal)+1 END AS price, CASE WHEN c_custkey%2=0 THEN c_custkey*1e6::DOUBLE ELSE CASE WHEN c_custkey*2e7::DOUBLE<=1e7 THEN c_custkey*2e13::DOUBLE ELSE c_custkey*2e7::DOUBLE END END AS sh, c_acctbal*1e6::DOUBLE AS ni, c_custkey*3e9::DOUBLE AS eq, CASE WHEN c_custkey%7=0 THEN 500.0::DOUBLE END AS eg, CASE WHEN c_custkey%5=0 THEN 900.0::DOUBLE END AS bg, CASE WHEN c_custkey%3=0 AND c_acctbal>0 THEN c_acctbal/10 END AS ep, CASE WHEN c_custkey%4=0 THEN 1200.0::DOUBLE END AS bp, CASE WHEN c_custkey%6=1 THEN 11.0::DOUBLE END AS pp, CASE WHEN c_custkey%6=2 THEN 1.3::DOUBLE END AS bb FROM customer),
  y AS (SELECT *, coalesce(eg, ep, round_even(price/pp,1), CASE WHEN ni>0 THEN round_even(ni/sh,1) END) AS eps, coalesce(bg, bp, round_even(price/bb,1), round_even(eq/sh,1)) AS bvps FROM x) SELECT k AS c_custkey, eps, bvps, round(coalesce(round_even(price/eg,2), pp, CASE WHEN eps>0 THEN round_even(price/eps,2) END)/1000,3) AS pe_thousands, round(coalesce(round_even(price/bg,2), bb, CASE WHEN bvps>0 THEN round_even(price/bvps,2) END)/1000,3) AS pb_thousands FROM y""")
+
+
+def momentum_inputs(s, d):
+    bars = walk_bars(s, d)
+    strength = px.relative_strength(bars, bars.where("symbol = 'ASIA'")).select("symbol", "difference")
+    rsi = px.latest(ta.exponential(bars, ("rsi",))).select("symbol", "rsi")
+    return px.bar_returns(bars, STEPS).join(strength, "symbol", "left").join(rsi, "symbol", "left")
+
+
+RSI_MOM = "CASE WHEN rsi IS NULL THEN NULL WHEN rsi BETWEEN 50 AND 70 THEN 15 WHEN (rsi>=40 AND rsi<50) OR (rsi>70 AND rsi<=80) THEN 8 WHEN rsi>80 OR rsi<30 THEN 2 ELSE 5 END"
+add("SC_02_momentum_score_with_rsi", lambda s, d: sc.momentum_score(momentum_inputs(s, d)).select("symbol", F.round("rsi", 4).alias("rsi"), "momentum_score"),
+    f"{IND}, mo AS (SELECT symbol, {', '.join(f'(close/nullif(lag(close,{n}) OVER (PARTITION BY symbol ORDER BY ts),0)-1)*100 AS {k}' for k, n in STEPS.items())} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), ix AS (SELECT ts, close AS mk FROM bars WHERE symbol = 'ASIA'), j AS (SELECT b.symbol, ts, b.close, mk, row_number() OVER (PARTITION BY b.symbol ORDER BY ts DESC) AS k FROM bars b JOIN ix USING (ts)), rs AS (SELECT symbol, (max_by(close,ts)/min_by(close,ts)-max_by(mk,ts)/min_by(mk,ts))*100 AS difference FROM j WHERE k <= 60 GROUP BY symbol), lr AS (SELECT symbol, rsi FROM al QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1) SELECT symbol, round(rsi,4) AS rsi, {share_sql([*MOM_PARTS, (RSI_MOM, 15)])[0]} AS momentum_score FROM mo LEFT JOIN rs USING (symbol) LEFT JOIN lr USING (symbol)")
+ORACLE["BT_02_rsi_equity"] = f"""{IND}, sg AS (SELECT symbol, rn, ts, open, close, lag(CASE WHEN rsi<30 THEN 1 WHEN rsi>70 THEN -1 ELSE 0 END,1,0) OVER (PARTITION BY symbol ORDER BY ts) AS act FROM al),
+fo AS (SELECT symbol, rn, ts, 1e8::DOUBLE AS cash, 0::BIGINT AS held, close FROM sg WHERE rn=1
+ UNION ALL SELECT symbol, rn, ts, CASE WHEN q>0 THEN cash - q*bp*(1+0.0015::DOUBLE) WHEN out THEN cash + held*(open*(1-0.001::DOUBLE))*(1-0.0015::DOUBLE) ELSE cash END, CASE WHEN q>0 THEN q WHEN out THEN 0 ELSE held END, close
+ FROM (SELECT b.symbol, b.rn, b.ts, b.open, b.close, e.cash, e.held, b.open*(1+0.001::DOUBLE) AS bp, CASE WHEN b.act=1 AND e.held=0 THEN (floor(e.cash*0.95::DOUBLE/(b.open*(1+0.001::DOUBLE))/100)*100)::BIGINT ELSE 0 END AS q, b.act=-1 AND e.held>0 AS out FROM fo e JOIN sg b ON b.symbol=e.symbol AND b.rn=e.rn+1)) SELECT symbol, ts, round(cash+held*close,2) AS equity, held AS shares FROM fo"""
