@@ -3,7 +3,7 @@
 Two sets link when 100 * |intersection| >= P * |union|, that is when they differ in at most D = (s + t) * (100 - P) // (100 + P) elements, s and t
 being their sizes and P the percentage, 90 if nothing else is asked for: D = (s + t) // 19. In each band of sizes the universe of shingle hashes is cut into segments, so many that a linking pair must agree on a whole
 segment, or differ there by one element: an equal segment uses up one difference, a segment with its one-deletion neighbourhood two. How
-many segments get deletion neighbourhoods is decided by cost, from the number of sets in the band. Keys of segments are joined, pairs that an odd sketch of
+many segments get deletion neighbourhoods is decided by cost, from the number of sets, and so are the segments to spare, for which sets leave out keys of empty segments. Keys of segments are joined, pairs that an odd sketch of
 512 bits proves too far apart are left out, and the rest is verified on the whole sets.
 
 Equal sets are one class from the start. Links inside a group of near copies grow with its square, components don't: a first round verifies a few
@@ -12,6 +12,8 @@ random pairs of each key, and a second one all remaining pairs of one key that t
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -26,8 +28,9 @@ WORDS, GROWTH, TOGETHER, BLOCK = 3, 1.3, 512, 256
 ORDERS, FEW = 2, 500_000
 #: The least percentage of the union that linked sets share.
 PERCENT = 90
-#: The cost of meeting a set by chance, in keys.
-CHANCE = 0.01
+#: The cost of meeting a set by chance, in keys; the share of sets that a shingle of a set is in; the share of meetings in empty segments that are
+#: left where only sets beyond the slack have keys for them.
+CHANCE, COMMON, RARE = 0.01, 1e-4, 1e-5
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -55,27 +58,48 @@ def bands(most: int = 1 << 40) -> list[int]:
 _BANDS = np.array(bands())
 
 
-def allot(band: int, sets: float, percent: int = PERCENT) -> tuple[int, int]:
-    """Segments of a band, and how many of them get deletion neighbourhoods, at least cost for so many sets.
+def allot(band: int, sets: float, percent: int = PERCENT) -> tuple[int, int, int]:
+    """Segments of a band, how many of them get deletion neighbourhoods, and its slack, at least cost for so many sets.
 
-    Needed are units for one difference more than a pair of the band can have. A set's cost is its keys, and the sets that agree
-    with it by chance because their segments are empty.
+    Needed are units for one difference more than a pair of the band can have. The slack is units beyond those: a set that finds no more units than
+    that in segments left empty needs no keys for them (see segment_keys); a slack of -1 gives every set all keys. A set's cost is its keys, and
+    the sets that agree with it by chance, because a segment is empty or holds one shingle that many sets have.
     """
-    top = int(_BANDS[band + 1]) - 1
-    units = (top + top * 100 // percent) * (100 - percent) // (100 + percent) + 1
-    size = (int(_BANDS[band]) + top) / 2
+    low, top = int(_BANDS[band]), int(_BANDS[band + 1]) - 1
+    needed = (top + top * 100 // percent) * (100 - percent) // (100 + percent) + 1
     best = None
-    for deletions in sorted({0, units // 4, units // 2}):
-        segments = units - deletions
-        each = size / segments
-        cost = segments + deletions * each + CHANCE * segments * sets * float(np.exp(-each))
-        if best is None or cost < best[0]:
-            best = (cost, segments, deletions)
-    return best[1], best[2]
+    for share in (0, 4, 2):
+        for slack in (-1, 0):
+            while slack <= needed:
+                units = needed + max(slack, 0)
+                deletions = units // share if share else 0
+                segments = units - deletions
+                none = float(np.exp(-low / segments))  # the share of a small set's segments that are empty, and that hold one
+                one = none * low / segments
+                lost = (segments - deletions) * none + 2 * deletions * (none + one)
+                if slack < 0 or slack >= lost + 3 * lost**0.5:
+                    break
+                slack += 1
+            if slack > needed:
+                continue
+            each = (low + top) / 2 / segments
+            alone = segments * one + deletions * none * (low / segments) ** 2
+            cost = segments + deletions * each + CHANCE * sets * (segments * none * (1 if slack < 0 else RARE) + COMMON * alone)
+            if best is None or cost < best[0]:
+                best = (cost, segments, deletions, slack)
+    return best[1], best[2], best[3]
+
+
+_allot = lru_cache(None)(allot)
 
 
 def segment_keys(h: np.ndarray, sets: float, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a set in the bands where it may meet others, the key of the segment before each, and whether a key is a deletion's."""
+    """Keys of a set in the bands where it may meet others, the key of the segment before each, and whether a key is a deletion's.
+
+    A pair without a common key differs by as many elements as the band has units, but for segments that neither set tells by a key: those empty in
+    both, and those with deletions that hold one element at most in both. If these make no more units than the slack in one of the two sets, the
+    pair is still too far apart to link. So a set within the slack leaves out the keys of nothing, and one beyond it has them all.
+    """
     n = len(h)
     own = int(np.searchsorted(_BANDS, n, side="right")) - 1
     keys, before, kinds = [], [], []
@@ -83,21 +107,26 @@ def segment_keys(h: np.ndarray, sets: float, percent: int = PERCENT) -> tuple[np
     while low > 0 and percent * n < 100 * int(_BANDS[low]):
         low -= 1
     for band in range(own, low - 1, -1):
-        m, deletions = allot(band, sets, percent)
+        m, deletions, slack = _allot(band, sets, percent)
         seg = (repeats.mixed(h ^ _C) % np.uint64(m)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
         value = repeats.mixed(h[order] * _A + _B)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(value)])
-        stop = np.cumsum(np.bincount(seg, minlength=m))
-        total = sums[stop] - sums[np.concatenate([[0], stop[:-1]])]
+        held = np.bincount(seg, minlength=m)
+        stop = np.cumsum(held)
+        total = sums[stop] - sums[stop - held]
         salt = np.arange(m, dtype=np.uint64) * _B + np.array([band], dtype=np.uint64) * _A
         base = repeats.mixed(total ^ salt)
-        keys.append(base)
-        before.append(np.concatenate([[np.uint64(0)], base[:-1]]))
-        kinds.append(np.zeros(m, dtype=bool))
+        lean = int((held[deletions:] == 0).sum() + 2 * (held[:deletions] <= 1).sum()) <= slack
+        use = held > 0 if lean else np.ones(m, dtype=bool)
+        # a segment after one without a key begins a run
+        keys.append(base[use])
+        before.append(np.concatenate([[np.uint64(0)], np.where(use[:-1], base[:-1], np.uint64(0))])[use])
+        kinds.append(np.zeros(len(keys[-1]), dtype=bool))
         if deletions:
-            at = np.flatnonzero(seg[order] < deletions)
-            s = seg[order][at]
+            s = seg[order]
+            at = np.flatnonzero((s < deletions) & (held[s] > 1) if lean else s < deletions)
+            s = s[at]
             keys.append(repeats.mixed((total[s] - value[at]) ^ salt[s]))
             before.append(np.zeros(len(at), dtype=np.uint64))
             kinds.append(np.ones(len(at), dtype=bool))
@@ -177,9 +206,13 @@ def set_id(h: np.ndarray) -> int:
 
 
 def features_of(docs: DataFrame, total: float, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, size n and name of each document's set, its odd sketch and its keys; a document without shingles has n = 0 and nothing else."""
+    """doc_id, size n and name of each document's set, its odd sketch and its keys; a document without shingles has n = 0 and nothing else.
+
+    Of the copies of a set that one task sees, the first alone gets keys, so a large group of copies doesn't crowd its keys.
+    """
 
     def run(batches):
+        seen = set()  # names of the sets of one partition's documents
         for b in repeats.sliced(batches):
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
@@ -187,8 +220,13 @@ def features_of(docs: DataFrame, total: float, words: int = WORDS, percent: int
                 if not len(h) or pd.isna(doc):
                     rows.append((doc, len(h), None, None, None, None, None))
                     continue
+                name = set_id(h)
+                if name in seen:
+                    rows.append((doc, len(h), name, None, None, None, None))
+                    continue
+                seen.add(name)
                 keys, before, kinds = segment_keys(h, total, percent)
-                rows.append((doc, len(h), set_id(h), odd_sketch(h), keys.view(np.int64), (before >> np.uint64(32)).astype(np.uint32).view(np.int32), kinds))
+                rows.append((doc, len(h), name, odd_sketch(h), keys.view(np.int64), (before >> np.uint64(32)).astype(np.uint32).view(np.int32), kinds))
             cols = dict(zip(("doc_id", "n", "set", "sk", "ks", "before", "kinds"), map(list, zip(*rows))))
             yield pd.DataFrame(cols | {"doc_id": b["doc_id"].to_numpy(), "set": pd.array(cols["set"], dtype="Int64")})  # not by way of floats
 
@@ -205,20 +243,19 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     made = materialize(features_of(docs, float(documents.count()), words, percent), "features")
     members = materialize(made.select("doc_id", "n", "set"), "members")
-    sets = materialize(made.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sk").alias("sk")), "sets")
+    sets = materialize(made.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sk", ignorenulls=True).alias("sk")), "sets")
 
-    # keys of two sets at least; the copies of a set all have its keys, so the least and the greatest set tell
-    keys = made.where("set is not null").select("set", F.explode(F.arrays_zip("ks", "before", "kinds")).alias("k")).select("set", F.col("k.ks").alias("key"), F.col("k.before").alias("before"), F.col("k.kinds").alias("deletion"))
-    often = keys.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi").select("key")
-    shared = keys.join(often, "key").groupBy("key", "set").agg(F.first("before").alias("before"), F.first("deletion").alias("deletion"))
+    # keys of two sets at least: one shuffle by key, in which copies fall together before a key's sets are counted
+    keys = made.where("ks is not null").select("set", F.explode(F.arrays_zip("ks", "before", "kinds")).alias("k")).select("set", F.col("k.ks").alias("key"), F.col("k.before").alias("before"), F.col("k.kinds").alias("deletion"))
+    keys = keys.repartition("key").groupBy("key", "set").agg(F.first("before").alias("before"), F.first("deletion").alias("deletion"))
+    shared = keys.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
     shared = materialize(shared.join(sets.select("set", "n"), "set"), "shared")
     discard(made)
 
     # first round: neighbours in a random order of each key, large keys in salted parts; the order, and so the neighbours, is one of a few
-    hot = shared.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > TOGETHER)
-    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.coalesce("size", F.lit(1)) / TOGETHER))).cast("long")
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size") / TOGETHER))).cast("long")
     by = F.xxhash64("set", F.pmod("key", F.lit(ORDERS)))
-    salted = shared.join(hot, "key", "left").withColumn("salt", F.pmod(by, F.greatest(parts, F.lit(1).cast("long"))))
+    salted = shared.withColumn("salt", F.pmod(by, F.greatest(parts, F.lit(1).cast("long"))))
     w = Window.partitionBy("key", "salt").orderBy(by, "set")
     a = F.struct("set", "n", "deletion")
     few = salted.select(a.alias("x"), F.array(*[F.lag(a, d).over(w) for d in (1, 2, 3)]).alias("ys")).select("x", F.explode("ys").alias("y"))
@@ -228,7 +265,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     joined = components(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
 
     # second round: all pairs of a key that are not yet connected; of a run of shared segments only the first counts
-    cols = shared.join(joined.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    cols = shared.drop("size").join(joined.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     apart = cols.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     cols = materialize(cols.join(apart, "key").join(sets.select("set", "sk"), "set"), "apart")
     discard(shared)
