@@ -3,7 +3,7 @@
 Two sets link when 100 * |intersection| >= P * |union|, that is when they differ in at most D = (s + t) * (100 - P) // (100 + P) elements, s and t
 being their sizes and P the percentage, 90 if nothing else is asked for: D = (s + t) // 19. In each band of sizes the universe of shingle hashes is cut into segments, so many that a linking pair must agree on a whole
 segment, or differ there by one element: an equal segment uses up one difference, a segment with its one-deletion neighbourhood two. How
-many segments get deletion neighbourhoods is decided by cost, from the number of sets, and so are the segments to spare, for which sets leave out keys of empty segments. Keys of segments are joined, pairs that an odd sketch of
+many segments get deletion neighbourhoods is decided by cost, from the number of sets, and so are the segments to spare, for those that a set leaves empty and passes over. Keys of segments are joined, pairs that an odd sketch of
 512 bits proves too far apart are left out, and the rest is verified on the whole sets.
 
 Equal sets are one class from the start. Links inside a group of near copies grow with its square, components don't: a first round verifies a few
@@ -23,13 +23,13 @@ from tidemark.llm import repeats
 from tidemark.llm.common import checkpoint, components, discard, materialize
 
 #: Words of a shingle; the growth of a size band; rows of a key that a window of the first round sees; sets of a verified block.
-WORDS, GROWTH, TOGETHER, BLOCK = 3, 1.3, 512, 256
+WORDS, GROWTH, TOGETHER, BLOCK = 3, 1.6, 512, 256
 #: Orders that the keys of the first round go by, so that sets that share many keys meet few others; sets whose places are broadcast at most.
 ORDERS, FEW = 2, 500_000
 #: The least percentage of the union that linked sets share.
 PERCENT = 90
 #: The cost of meeting a set by chance, in keys; the share of sets that a shingle of a set is in; the share of meetings in empty segments that are
-#: left where only sets beyond the slack have keys for them.
+#: left where few sets have keys for them.
 CHANCE, COMMON, RARE = 0.01, 1e-4, 1e-5
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -58,36 +58,37 @@ def bands(most: int = 1 << 40) -> list[int]:
 _BANDS = np.array(bands())
 
 
-def allot(band: int, sets: float, percent: int = PERCENT) -> tuple[int, int, int]:
-    """Segments of a band, how many of them get deletion neighbourhoods, and its slack, at least cost for so many sets.
+def allot(band: int, sets: float, percent: int = PERCENT) -> tuple[int, int]:
+    """Segments of a band, and how many of them get deletion neighbourhoods, at least cost for so many sets.
 
-    Needed are units for one difference more than a pair of the band can have. The slack is units beyond those: a set that finds no more units than
-    that in segments left empty needs no keys for them (see segment_keys); a slack of -1 gives every set all keys. A set's cost is its keys, and
-    the sets that agree with it by chance, because a segment is empty or holds one shingle that many sets have.
+    Needed are units for one difference more than a pair of the band can have; more of them let sets pass over the segments that they leave empty
+    (see segment_keys). A set's cost is its keys, and the sets that agree with it by chance, because a segment is empty or holds one shingle that
+    many sets have.
     """
     low, top = int(_BANDS[band]), int(_BANDS[band + 1]) - 1
     needed = (top + top * 100 // percent) * (100 - percent) // (100 + percent) + 1
     best = None
     for share in (0, 4, 2):
-        for slack in (-1, 0):
-            while slack <= needed:
-                units = needed + max(slack, 0)
+        for extra in (-1, 0):  # without units to spare, or with as many as a small set passes over
+            while extra <= needed:
+                units = needed + max(extra, 0)
                 deletions = units // share if share else 0
                 segments = units - deletions
                 none = float(np.exp(-low / segments))  # the share of a small set's segments that are empty, and that hold one
                 one = none * low / segments
                 lost = (segments - deletions) * none + 2 * deletions * (none + one)
-                if slack < 0 or slack >= lost + 3 * lost**0.5:
+                if extra < 0 or extra >= lost + 3 * lost**0.5:
                     break
-                slack += 1
-            if slack > needed:
+                extra += 1
+            if extra > needed:
                 continue
+            used = needed / units if extra >= 0 else 1.0
             each = (low + top) / 2 / segments
             alone = segments * one + deletions * none * (low / segments) ** 2
-            cost = segments + deletions * each + CHANCE * sets * (segments * none * (1 if slack < 0 else RARE) + COMMON * alone)
+            cost = used * (segments + deletions * each) + CHANCE * sets * (segments * none * (1 if extra < 0 else RARE) + COMMON * used * alone)
             if best is None or cost < best[0]:
-                best = (cost, segments, deletions, slack)
-    return best[1], best[2], best[3]
+                best = (cost, segments, deletions)
+    return best[1], best[2]
 
 
 _allot = lru_cache(None)(allot)
@@ -96,9 +97,10 @@ _allot = lru_cache(None)(allot)
 def segment_keys(h: np.ndarray, sets: float, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a set in the bands where it may meet others, the key of the segment before each, and whether a key is a deletion's.
 
-    A pair without a common key differs by as many elements as the band has units, but for segments that neither set tells by a key: those empty in
-    both, and those with deletions that hold one element at most in both. If these make no more units than the slack in one of the two sets, the
-    pair is still too far apart to link. So a set within the slack leaves out the keys of nothing, and one beyond it has them all.
+    A segment without an equal key in another set tells of a difference, one with its one-deletion neighbourhood of two; but one that is empty, or has
+    deletions and holds one element at most, may tell of none. So a set takes segments in order until those that tell make one difference more than any of
+    its links can have, and leaves out keys of nothing: whichever of two linking sets takes fewer shares one of its keys with the other. A set that
+    does not come so far has all keys of all segments, those of nothing too.
     """
     n = len(h)
     own = int(np.searchsorted(_BANDS, n, side="right")) - 1
@@ -107,7 +109,9 @@ def segment_keys(h: np.ndarray, sets: float, percent: int = PERCENT) -> tuple[np
     while low > 0 and percent * n < 100 * int(_BANDS[low]):
         low -= 1
     for band in range(own, low - 1, -1):
-        m, deletions, slack = _allot(band, sets, percent)
+        m, deletions = _allot(band, sets, percent)
+        partner = n * 100 // percent if band == own else int(_BANDS[band + 1]) - 1
+        most = (n + partner) * (100 - percent) // (100 + percent)
         seg = (repeats.mixed(h ^ _C) % np.uint64(m)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
         value = repeats.mixed(h[order] * _A + _B)
@@ -117,15 +121,18 @@ def segment_keys(h: np.ndarray, sets: float, percent: int = PERCENT) -> tuple[np
         total = sums[stop] - sums[stop - held]
         salt = np.arange(m, dtype=np.uint64) * _B + np.array([band], dtype=np.uint64) * _A
         base = repeats.mixed(total ^ salt)
-        lean = int((held[deletions:] == 0).sum() + 2 * (held[:deletions] <= 1).sum()) <= slack
-        use = held > 0 if lean else np.ones(m, dtype=bool)
+        first = np.arange(m) < deletions
+        told = np.cumsum(np.where(first, 2 * (held > 1), held > 0))
+        whole = told[-1] <= most
+        taken = m if whole else int(np.searchsorted(told, most + 1)) + 1
+        use = (held > 0) & (np.arange(m) < taken) | whole
         # a segment after one without a key begins a run
         keys.append(base[use])
         before.append(np.concatenate([[np.uint64(0)], np.where(use[:-1], base[:-1], np.uint64(0))])[use])
         kinds.append(np.zeros(len(keys[-1]), dtype=bool))
         if deletions:
             s = seg[order]
-            at = np.flatnonzero((s < deletions) & (held[s] > 1) if lean else s < deletions)
+            at = np.flatnonzero((s < min(deletions, taken)) & ((held[s] > 1) | whole))
             s = s[at]
             keys.append(repeats.mixed((total[s] - value[at]) ^ salt[s]))
             before.append(np.zeros(len(at), dtype=np.uint64))
