@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.annulus import annulus_sql
+from tidemark.llm.decontaminate import contamination_sql
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -89,6 +92,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_quality(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_chain, op2_best_fit_packing, op3_suffix_array_dedup, op4_document_fingerprints, op5_line_dedup, op6_substring_dedup, op7_ngram_jaccard_join, op8_nearest_neighbours, op9_bpe_round_trip, op10_quality_classifier)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.annulus import cluster
+
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.periods import periodic_runs
+
+    return periodic_runs(_documents(spark, sf_dir))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import contamination
+
+    return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_NUMBERED = (
+    op1_toxicity_chain, op2_best_fit_packing, op3_suffix_array_dedup, op4_document_fingerprints, op5_line_dedup, op6_substring_dedup, op7_ngram_jaccard_join, op8_nearest_neighbours,
+    op9_bpe_round_trip, op10_quality_classifier, op11_centroid_clustering, op12_periodic_runs, op13_benchmark_decontamination,
+)
+QUERIES = {f.__name__: f for f in _NUMBERED}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_centroid_clustering": annulus_sql("embeddings"), "op13_benchmark_decontamination": contamination_sql("documents", "benchmark")}
