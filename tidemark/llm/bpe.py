@@ -21,6 +21,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.common import map_rows
+
 #: The characters that count as white space for the normaliser.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 #: Pre-tokens that one worker remembers before it starts anew; characters of a text, and pre-tokens of a digest, that it holds at a time.
@@ -273,8 +275,16 @@ def lookahead_of(path: str) -> int:
     return sufficient_lookahead(v.order, v.end)
 
 
+def _by_id(df: DataFrame, run, id_col: str, made: str) -> DataFrame:
+    """mapInPandas over (id, ...), the id of any type travelling as text where it is a number."""
+    kind = df.schema["id"].dataType.simpleString()
+    through = df.withColumn("id", F.col("id").cast("string")) if kind in ("bigint", "int", "smallint", "tinyint") else df
+    out = through.mapInPandas(run, f"id {through.schema['id'].dataType.simpleString()}, {made}")
+    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+
+
 def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every whole text: (id, ids array<int>). Null text counts as empty; an empty table gives an empty one."""
+    """Ids of every whole text: (id, ids array<int>). Null text counts as empty; a null id is kept; texts of any length; an empty table gives an empty one; other columns are ignored."""
     ahead = lookahead_of(vocabulary_path)
 
     def run(batches):
@@ -282,12 +292,11 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "ids": [enc.encode(t) for t in b["text"]]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInPandas(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return _by_id(docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")), run, id_col, "ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Text of id lists through the byte machine: (id, text). Null lists give empty text."""
+    """Text of id lists through the byte machine: (id, text). Null lists give empty text; a null id is kept; an empty table gives an empty one; other columns are ignored."""
 
     def run(batches):
         v = Vocabulary(vocabulary_path)
@@ -298,8 +307,7 @@ def decode_ids(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 out.append("".join([d.feed(int(i)) for i in (ids if ids is not None else [])]) + d.finish())
             yield pd.DataFrame({"id": b["id"], "text": out})
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return _by_id(encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), run, id_col, "text string")
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -337,4 +345,4 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     cols = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return cols.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(cols, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

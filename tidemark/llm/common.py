@@ -55,6 +55,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
+    """mapInPandas for rows with a doc_id, which goes through Python as text: pandas would turn a column of longs beside a null into floats.
+
+    `schema` begins with `doc_id long`; make() passes the ids on as they come.
+    """
+    assert schema.startswith("doc_id long, ")
+    out = df.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(make, schema.replace("doc_id long", "doc_id string", 1))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def text_column(name: str = "text"):
     """The text with null as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import checkpoint, components, discard, materialize
+from tidemark.llm.common import checkpoint, components, discard, map_rows, materialize
 
 #: Words of a shingle; the growth of a size band; rows of a key that a window of the first round sees; sets of a verified block.
 WORDS, GROWTH, TOGETHER, BLOCK = 3, 1.6, 512, 256
@@ -237,7 +237,7 @@ def features_of(docs: DataFrame, total: float, words: int = WORDS, percent: int
             cols = dict(zip(("doc_id", "n", "set", "sk", "ks", "before", "kinds"), map(list, zip(*rows))))
             yield pd.DataFrame(cols | {"doc_id": b["doc_id"].to_numpy(), "set": pd.array(cols["set"], dtype="Int64")})  # not by way of floats
 
-    return docs.mapInPandas(run, "doc_id long, n long, set long, sk array<long>, ks array<long>, before array<int>, kinds array<boolean>")
+    return map_rows(docs, run, "doc_id long, n long, set long, sk array<long>, ks array<long>, before array<int>, kinds array<boolean>")
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

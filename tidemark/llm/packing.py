@@ -19,9 +19,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import tiktoken
+from tokenizers import Tokenizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import map_rows, materialize
 
 #: The id after each document, and the tokens of a sequence.
 END, SIZE = 2, 1024
@@ -34,6 +35,14 @@ def _encoding(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
+@lru_cache(maxsize=2)
+def _library(path: str) -> Tokenizer:
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
 def patterns(size: int) -> np.ndarray:
     """All multisets of one to three lengths that sum to size: rows of three lengths, zero where unused."""
     out = [np.array([[size, 0, 0]])]
@@ -130,32 +139,45 @@ def plan(counts: dict[int, int], size: int = SIZE) -> tuple[pd.DataFrame, int]:
     return pd.DataFrame(rows, columns=["length", "lo", "hi", "base", "offset"], dtype="int64"), made
 
 
-def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], size: int = SIZE, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every whole text with the end id, in one narrow pass. Null text: empty."""
+def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], size: int = SIZE, end: int = END, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every whole text with the end id, in one narrow pass. Null text: empty.
+
+    Texts that the fast encoder's pattern gives up on (runs of white space of about a million) are encoded by the tokenizers library with the file `tokenizer`.
+    """
     names = tuple(special.items())
 
     def run(batches):
         enc = _encoding(ranks_path, pattern, names)
+
+        def encoded(text):
+            try:
+                return enc.encode(text, allowed_special="all")
+            except ValueError:  # its pattern's stack is full
+                if tokenizer is None:
+                    raise
+                return _library(tokenizer).encode(text, add_special_tokens=False).ids
+
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
-                ids = np.array([*enc.encode(text, allowed_special="all"), end], dtype="<u4")
+                ids = np.array([*encoded(text), end], dtype="<u4")
                 cuts = [0, *range((len(ids) - 1) % size + 1, len(ids) + 1, size)]
                 rows += [(doc, k, i, j - i, zlib.crc32(ids[i:j].tobytes())) for k, (i, j) in enumerate(zip(cuts, cuts[1:]))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     cols = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return cols.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_rows(cols, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], size: int = SIZE, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], size: int = SIZE, end: int = END, tokenizer: str | None = None) -> DataFrame:
     """Pack every document: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Null text counts as empty (a piece of the end id alone), an empty table gives no rows, equal rows of the same
-    doc_id are each packed, extra columns are ignored.
+    doc_id are each packed, as are rows without one; pieces of equal length tie by id, piece and content and then take any order; texts
+    of any length are encoded whole; extra columns, whatever their names, are ignored.
     """
     keys = ("doc_id", "piece", "ids_crc32")
-    pieces = materialize(token_pieces(docs, ranks_path, pattern, special, size, end), "pieces")
+    pieces = materialize(token_pieces(docs, ranks_path, pattern, special, size, end, tokenizer), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     where, _ = plan(counts, size)
 
@@ -180,4 +202,4 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int]
             yield b.drop(columns=["rank"])
 
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*cols, "rank").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_rows(ranked.select(*cols, "rank"), run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

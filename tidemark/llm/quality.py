@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import map_rows, materialize
 from tidemark.llm.linear import SPACE, Scorer, fit, text_features
 from tidemark.llm.toxicity import _pack, _unpack
 
@@ -100,7 +100,7 @@ def fit_quality(docs: DataFrame, most_rows: int = MOST_ROWS) -> QualityModel:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "pattern": [_coded(t) for t in b["text"]]})
 
-    labelled = materialize(cols.mapInPandas(label, "doc_id long, pattern int"), "votes")
+    labelled = materialize(map_rows(cols, label, "doc_id long, pattern int"), "votes")
     seen = labelled.groupBy("pattern").count().toPandas().sort_values("pattern")  # at most 3 to the number of labellers rows
     n = len(votes(""))
     codes = seen["pattern"].to_numpy(dtype=np.int64)
@@ -128,7 +128,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, quality_score (the linear scorer's), weak_label (the votes' posterior) and `good`, for every whole text.
 
     A document is good when the mean of the two, in log-odds, is over one half. Null text counts as empty, an empty
-    table gives no rows, repeated rows are scored alike and extra columns are ignored.
+    table gives no rows, repeated rows are scored alike, a null doc_id is kept, texts of any length are read whole and extra columns, whatever their names, are ignored.
     """
 
     def run(batches):
@@ -138,4 +138,4 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             w = np.array([model.posterior.get(_coded(t), model.share) for t in b["text"]])
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality_score": s, "weak_label": w, "good": logit(s) + logit(w) > 0})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, quality_score double, weak_label double, good boolean")
+    return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, quality_score double, weak_label double, good boolean")

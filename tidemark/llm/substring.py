@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import materialize
+from tidemark.llm.common import map_rows, materialize
 
 #: Words of a window, and of a minimiser's gram.
 WIDTH, GRAM = 35, 8
@@ -35,7 +35,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every document.
 
     Null text has no words. Windows never cross documents, overlaps and repeats within a document count, equal rows are copies of each
-    other, an empty table gives no rows and extra columns are ignored.
+    other, a null doc_id is kept, texts of any length are read whole, an empty table gives no rows and extra columns, whatever their names, are ignored.
     """
 
     def apply(batches):
@@ -49,4 +49,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     cols = repeated_paths(docs, width, gram).select("doc_id", "text", "a", "b")
-    return cols.mapInPandas(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return map_rows(cols, apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import materialize
+from tidemark.llm.common import map_rows, materialize
 
 #: Bytes of a repeated string, bytes of a minimiser's gram, bytes of a shard, and the distinct runs of one minimiser
 #: beyond which its windows are counted by hash over all tasks, as a shard could not hold them.
@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_raw of every document.
 
     Null text counts as empty. Strings never cross documents, overlaps and repeats within a document count, equal rows are copies of each
-    other, an empty table gives no rows and extra columns are ignored.
+    other, a null doc_id is kept, texts of any length are read whole, an empty table gives no rows and extra columns, whatever their names, are ignored.
     """
 
     def apply(batches):
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_raw"])
 
     cols = repeated_strings(docs, width, gram).select("doc_id", "text", "a", "b")
-    return cols.mapInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_raw binary")
+    return map_rows(cols, apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_raw binary")
 
 
 #: Columns that keep_rest adds to a user's own.

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import map_rows, materialize
 from tidemark.llm.linear import SPACE, Scorer, fit, text_features
 
 #: Labelled documents that a chain is fitted on at most (those with the smallest hashed ids), and folds.
@@ -105,7 +105,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], most_ro
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """doc_id, a probability p_<category> for each link and `rejected`, for every whole text in one narrow pass. Null text: empty."""
+    """doc_id, a probability p_<category> for each link and `rejected`, for every whole text in one narrow pass.
+
+    Null text counts as empty, repeated rows are scored alike, a null doc_id is kept, texts of any length are read whole, an empty table gives no rows
+    and extra columns, whatever their names, are ignored.
+    """
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches):
@@ -114,15 +118,17 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], **{n: p[:, i] for i, n in enumerate(names)}, "rejected": p[:, -1] >= chain.threshold})
 
     schema = "doc_id long, " + "".join(f"{n} double, " for n in names) + "rejected boolean"
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
 def keep_clean(docs: DataFrame, chain: Chain) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text the chain does not reject. Null text counts as empty."""
+    """The rows of docs, all columns as they are, whose text the chain does not reject.
 
-    def run(batches):
-        for b in batches:
-            keep = [chain.probabilities(t or "")[-1] < chain.threshold for t in b["text"]]
-            yield b[np.array(keep, dtype=bool)]
+    Only the text goes through Python. Null text counts as empty, repeated rows go or stay together, an empty table stays empty and columns may have any name.
+    """
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([chain.probabilities(t)[-1] < chain.threshold for t in texts], dtype=bool)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.where(clean(F.coalesce("text", F.lit(""))))
