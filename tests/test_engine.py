@@ -68,3 +68,64 @@ def test_oracle(spark, db, name):
     for c in cols:
         if np.issubdtype(a[c].dtype, np.number):
             assert np.allclose(a[c].astype(float), b[c].astype(float), rtol=1e-6, atol=1e-4, equal_nan=True), c
+
+
+HAND = {
+    "revenue": (1000, 1200), "cogs": (-600, -700), "gross_profit": (400, 500), "operating_profit": (150, 200), "profit_before_tax": (140, 190), "interest_expense": (-10, -10), "income_tax": (28, 38), "net_income": (112, 152),
+    "net_income_parent": (100, 140), "depreciation": (50, 60), "cfo": (130, 180), "capex": (-40, -60), "dividends_paid": (-30, -50), "total_assets": (2000, 2400), "equity": (1000, 1200), "total_liabilities": (1000, 1200),
+    "current_assets": (800, 1000), "current_liabilities": (500, 550), "inventory": (200, 240), "receivables": (150, 180), "payables": (100, 120), "cash": (100, 150), "short_term_debt": (200, 220), "long_term_debt": (300, 280),
+    "minority_interest": (50, 60), "retained_earnings": (300, 380), "shares_outstanding": (10, 10),
+}
+
+
+def hand(spark, symbol="A", keys=(20240, 20250), **other):
+    items = {**HAND, **other}
+    rows = [(symbol, k, *[None if v[i] is None else float(v[i]) for v in items.values()]) for i, k in enumerate(keys)]
+    return spark.createDataFrame(rows, "symbol string, period_key int, " + ", ".join(f"{x} double" for x in items))
+
+
+def test_ratios_and_valuation_of_hand_data(spark):
+    r = fr.ratios(hand(spark)).where("period_key = 20250").first()
+    want = {"roe": 140 / 1045 * 100, "roa": 152 / 2200 * 100, "gross_margin": 500 / 1200 * 100, "interest_cover": 20, "current_ratio": 1000 / 550, "debt_equity": 500 / 1200, "revenue_growth": 20, "eps": 14, "bvps": 114, "fcf": 120}
+    assert all(r[k] == pytest.approx(v) for k, v in want.items())
+    v = fr.valuation(hand(spark), spark.createDataFrame([("A", 200.0)], "symbol string, price double")).first()
+    assert (v.pe, v.pb, v.enterprise_value) == pytest.approx((200 / 14, 200 / 114, 2000 + 500 - 150 + 60))
+
+
+def test_z_score_of_hand_data(spark):
+    base = 3.25 + 6.56 * 450 / 2400 + 6.72 * 200 / 2400
+    z = fr.z_score(hand(spark)).first()
+    assert z.z == pytest.approx(base + 3.26 * 380 / 2400 + 1.05) and z.zone == "safe"
+    assert fr.z_score(hand(spark, total_liabilities=(0, 800))).first().z == pytest.approx(base + 3.26 * 380 / 2400 + 1.05 * 1.5)
+    for other in ({"retained_earnings": (300, None)}, {"customer_deposits": (5, None)}, {"total_assets": (2000, 0)}):
+        assert fr.z_score(hand(spark, **other)).first().z is None
+    assert fr.z_score(hand(spark, keys=(20251, 20252))).first().period_key == 20252
+
+
+def test_f_score_of_hand_data(spark):
+    get = lambda **other: fr.f_score(hand(spark, **other)).first()[2:4]
+    assert get() == (8, 9)  # turnover stays at 0.5
+    assert get(keys=(20241, 20250)) == (None, 0)
+    assert get(gross_profit=(None, None)) == (8, 9) and get(customer_deposits=(1, 1)) == (7, 8)
+    assert get(shares_outstanding=(None, None), charter_capital=(100_000, 200_000)) == (7, 9) and get(cfo=(130, None)) == (6, 7)
+
+
+def test_growth_over_years_by_row(spark):
+    rows = [("A", 20200, 8.0), ("A", 20210, None), ("A", 20214, 1.0), ("A", 20220, 20.0), ("A", 20230, 30.0), ("A", 20240, 64.0), ("A", 20250, None), ("B", 20240, 3.0), ("C", 20190, -1.0), ("C", 20200, 1.0), ("C", 20210, 1.0), ("C", 20220, 8.0)]
+    got = {r.symbol: r.cagr for r in fr.cagr(spark.createDataFrame(rows, "symbol string, period_key int, x double"), "x").collect()}
+    assert got["A"] == pytest.approx(100) and got["B"] is None and got["C"] is None
+
+
+def test_warnings_of_canonical_rows(spark):
+    get = lambda **other: fr.warnings(hand(spark, **other)).first()
+    assert get().warnings == "" and get().revenue_growth == pytest.approx(20) and get().net_income_growth == pytest.approx(40)
+    assert get(net_income_parent=(100, 80)).warnings == "profit falls" and get(net_income_parent=(None, None), net_income=(100, 80)).warnings == "profit falls"
+    assert get(net_income=(112, -50), net_income_parent=(100, -40)).warnings == "profit falls"  # a loss with cash coming in is no outflow
+    assert get(cfo=(130, -1)).warnings == "cash outflow" and get(cfo=(-130, None)).warnings == "cash outflow"
+    assert get(short_term_debt=(None, None), long_term_debt=(None, None), total_liabilities=(1000, 2500)).warnings == "high debt"
+
+
+def test_growth_goldens(spark):
+    q = lambda rows: fr.growth_vs_prior(spark.createDataFrame([("A", k, float(v)) for k, v in rows], "symbol string, period_key int, x double"), "x").first()
+    assert (lambda r: (r.period_key, r.growth, r.basis))(q([(20242, 100), (20243, 110), (20244, 120), (20251, 125), (20252, 130)])) == (20252, pytest.approx(30), "year")
+    assert q([(20244, 200), (20251, 110), (20241, 90)]).growth == pytest.approx((110 - 90) / 90 * 100)

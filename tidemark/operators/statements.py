@@ -16,7 +16,7 @@ def _ord():
 ITEMS = (
     "revenue", "cogs", "gross_profit", "operating_profit", "profit_before_tax", "income_tax", "net_income", "net_income_parent", "interest_expense", "total_operating_income", "provision_expense",
     "net_interest_income", "cash", "short_term_investments", "receivables", "inventory", "current_assets", "total_assets", "current_liabilities", "payables", "short_term_debt", "long_term_debt",
-    "total_liabilities", "equity", "minority_interest", "charter_capital", "customer_loans", "customer_deposits", "depreciation", "cfo", "capex", "dividends_paid", "shares_outstanding",
+    "total_liabilities", "equity", "minority_interest", "charter_capital", "retained_earnings", "customer_loans", "customer_deposits", "depreciation", "cfo", "capex", "dividends_paid", "shares_outstanding",
 )
 PAR = 10_000
 
@@ -139,17 +139,27 @@ def growth_vs_prior(wide: DataFrame, item: str) -> DataFrame:
     return d.select("symbol", "period_key", (div(F.col("v") - prior, F.abs(prior)) * 100).alias("growth"), basis.alias("basis"))
 
 
-def warnings(r: DataFrame) -> DataFrame:
-    """Each symbol's last ratios with what is odd about them, joined by commas: profit falls while revenue grows, high debt, cash outflow."""
-    last = newest(r)
+def warnings(wide: DataFrame) -> DataFrame:
+    """Each symbol's last ratios with what is odd about them, joined by commas: profit falls while revenue grows, high debt, cash outflow.
+
+    Growth is that of growth_vs_prior(), of parent's net income where a symbol has any and of operating income where it has no revenue. Debt to equity falls
+    back on liabilities to equity. Cash flow is the last that is known, an amount of its own period.
+    """
+    c, d = F.col, with_items(wide)
+    first_known = lambda x, y: F.when(F.max(c(x).isNotNull()).over(Window.partitionBy("symbol")), c(x)).otherwise(c(y))
+    d = d.withColumns({"_sales": first_known("revenue", "total_operating_income"), "_profit": first_known("net_income_parent", "net_income")})
+    grown = lambda x, name: growth_vs_prior(d, x).select("symbol", F.col("growth").alias(name))
+    last = newest(ratios(wide)).select("symbol", "period_key", F.coalesce("debt_equity", "liabilities_equity").alias("debt_equity"))
+    cash = newest(d.where("cfo is not null")).select("symbol", c("cfo").alias("last_cfo"))
+    both = last.join(grown("_sales", "revenue_growth"), "symbol", "left").join(grown("_profit", "net_income_growth"), "symbol", "left").join(cash, "symbol", "left")
     odd = F.array_compact(F.array(
-        F.when((F.col("revenue_growth") > 5) & (F.col("net_income_growth") < -5), F.lit("profit falls")), F.when(F.col("debt_equity") > 2, F.lit("high debt")), F.when(F.col("cfo_to_income") < 0, F.lit("cash outflow")),
+        F.when((c("revenue_growth") > 5) & (c("net_income_growth") < -5), F.lit("profit falls")), F.when(c("debt_equity") > 2, F.lit("high debt")), F.when(c("last_cfo") < 0, F.lit("cash outflow")),
     ))
-    return last.select("symbol", "period_key", "revenue_growth", "net_income_growth", "debt_equity", F.array_join(odd, ",").alias("warnings"))
+    return both.select("symbol", "period_key", "revenue_growth", "net_income_growth", "debt_equity", "last_cfo", F.array_join(odd, ",").alias("warnings"))
 
 
 def summary(wide: DataFrame, prices: DataFrame, years: DataFrame) -> DataFrame:
-    """One row a symbol: last ratios, multiples, F-score, Z-score and growth of revenue over three years."""
+    """One row a symbol: last ratios, multiples and, of its yearly rows, F-score, Z-score and growth of revenue over three years."""
     r = newest(ratios(wide)).select("symbol", "roe", "net_margin", "debt_equity")
     v = valuation(wide, prices).select("symbol", "pe", "pb")
     return r.join(v, "symbol", "left").join(f_score(years).select("symbol", "f_score"), "symbol", "left").join(z_score(years).select("symbol", "zone"), "symbol", "left").join(cagr(years, "revenue"), "symbol", "left")
@@ -193,30 +203,42 @@ def annual(wide: DataFrame, flows: tuple[str, ...]) -> DataFrame:
     return g.where("n = 4").drop("n")
 
 
-def f_score(years: DataFrame) -> DataFrame:
-    """Nine-test score of the last year against the one before; a test without its inputs counts neither as passed nor in the maximum."""
-    w = Window.partitionBy("symbol").orderBy("year")
-    c = F.col
-    per = {"roa": div(c("net_income"), c("total_assets")), "lev": div(c("long_term_debt"), c("total_assets")), "cur": div(c("current_assets"), c("current_liabilities")), "gm": div(c("revenue") - F.abs(c("cogs")), c("revenue")), "turn": div(c("revenue"), c("total_assets"))}
-    d = years.withColumns(per)
-    d = d.withColumns({f"p_{x}": F.lag(x).over(w) for x in ("roa", "lev", "cur", "gm", "turn", "shares_outstanding")}).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("year")))).where("rn = 1")
-    tests = [c("roa") > 0, c("cfo") > 0, c("roa") > c("p_roa"), c("cfo") > c("net_income"), c("lev") <= c("p_lev"), c("cur") > c("p_cur"), c("shares_outstanding") <= c("p_shares_outstanding") * 1.001, c("gm") > c("p_gm"), c("turn") > c("p_turn")]
+def yearly_rows(wide: DataFrame) -> DataFrame:
+    return wide.where(F.col("period_key") % 10 == 0)
+
+
+def f_score(wide: DataFrame) -> DataFrame:
+    """Nine-test score of the last yearly row against the one before; a test without its inputs counts neither as passed nor in the maximum.
+
+    A symbol with one year has no score and a maximum of 0. Gross margin is gross profit, or revenue less costs, over revenue, and no bank's; shares are as in shares().
+    """
+    c, w = F.col, _key()
+    d = yearly_rows(with_items(wide)).withColumns({"sh": shares(), "gp": F.when(~c("is_bank"), F.coalesce("gross_profit", c("revenue") - F.abs("cogs")))})
+    d = d.withColumns({"roa": div(c("net_income"), c("total_assets")), "lev": div(c("long_term_debt"), c("total_assets")), "cur": div(c("current_assets"), c("current_liabilities")), "gm": div(c("gp"), c("revenue")), "turn": div(F.nullif(c("revenue"), F.lit(0.0)), c("total_assets"))})
+    d = d.withColumns({f"p_{x}": F.lag(x).over(w) for x in ("roa", "lev", "cur", "gm", "turn", "sh")} | {"rows": F.count("*").over(Window.partitionBy("symbol"))})
+    d = newest(d)
+    tests = [c("roa") > 0, c("cfo") > 0, c("roa") > c("p_roa"), c("cfo") > c("net_income"), c("lev") <= c("p_lev"), c("cur") > c("p_cur"), c("sh") <= c("p_sh") * 1.001, c("gm") > c("p_gm"), c("turn") > c("p_turn")]
     passed, known = sum((F.coalesce(t.cast("int"), F.lit(0)) for t in tests), F.lit(0)), sum((t.isNotNull().cast("int") for t in tests), F.lit(0))
-    return d.select("symbol", "year", passed.alias("f_score"), known.alias("f_max"), F.when(passed >= 7, "strong").when(passed >= 4, "average").otherwise("weak").alias("label"))
+    d = d.select("symbol", "period_key", passed.alias("passed"), F.when(c("rows") >= 2, known).otherwise(0).alias("f_max"))
+    score = F.when(c("f_max") > 0, c("passed"))
+    return d.select("symbol", "period_key", score.alias("f_score"), "f_max", F.when(score >= 7, "strong").when(score >= 4, "average").when(score.isNotNull(), "weak").alias("label"))
 
 
-def z_score(years: DataFrame) -> DataFrame:
-    """Altman's Z'' for emerging markets, on the last year."""
+def z_score(wide: DataFrame) -> DataFrame:
+    """Altman's Z'' for emerging markets, on the last yearly row, or the last row of a symbol without years; null for banks and where an input is missing."""
     c = F.col
-    d = years.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("year")))).where("rn = 1")
-    ta, tl = c("total_assets"), c("total_assets") - c("equity")
+    d = with_items(wide).withColumn("years", F.max(c("period_key") % 10 == 0).over(Window.partitionBy("symbol")))
+    d = newest(d.where(~c("years") | (c("period_key") % 10 == 0)))
+    ta = F.nullif(c("total_assets"), F.lit(0.0))
+    tl = F.coalesce(F.nullif(c("total_liabilities"), F.lit(0.0)), ta - c("equity"))
     ebit = c("profit_before_tax") + F.coalesce(F.abs(c("interest_expense")), F.lit(0.0))
-    z = 3.25 + 6.56 * div(c("current_assets") - c("current_liabilities"), ta) + 3.26 * div(c("net_income"), ta) + 6.72 * div(ebit, ta) + 1.05 * div(c("equity"), tl)
-    return d.select("symbol", "year", z.alias("z"), F.when(z > 5.85, "safe").when(z >= 4.35, "grey").otherwise("distress").alias("zone"))
+    z = 3.25 + 6.56 * (c("current_assets") - c("current_liabilities")) / ta + 3.26 * c("retained_earnings") / ta + 6.72 * ebit / ta + 1.05 * div(c("equity"), tl)
+    z = F.when(~c("is_bank"), z)
+    return d.select("symbol", "period_key", z.alias("z"), F.when(z > 5.85, "safe").when(z >= 4.35, "grey").when(z.isNotNull(), "distress").alias("zone"))
 
 
-def cagr(years: DataFrame, item: str, n: int = 3) -> DataFrame:
-    """Compound growth over n annual rows back, both ends positive."""
-    w = Window.partitionBy("symbol").orderBy("year")
-    d = years.withColumns({"old": F.lag(item, n).over(w), "rn": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("year")))}).where("rn = 1")
-    return d.select("symbol", F.when((F.col("old") > 0) & (F.col(item) > 0), (F.pow(F.col(item) / F.col("old"), F.lit(1.0 / n)) - 1) * 100).alias("cagr"))
+def cagr(wide: DataFrame, item: str, n: int = 3) -> DataFrame:
+    """Compound growth of a symbol's last yearly value over that n values back, nulls left out before they are counted; null unless both are positive."""
+    d = yearly_rows(wide).where(F.col(item).isNotNull()).withColumn("old", F.lag(item, n).over(_key()))
+    d = newest(d).select("symbol", F.when((F.col("old") > 0) & (F.col(item) > 0), (F.pow(F.col(item) / F.col("old"), F.lit(1.0 / n)) - 1) * 100).alias("cagr"))
+    return wide.select("symbol").distinct().join(d, "symbol", "left")

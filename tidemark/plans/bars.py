@@ -45,6 +45,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(p * d).alias("inventory"), F.sum(F.when(F.col("l_linestatus") == "O", p)).alias("receivables"), (F.sum(p) * 0.3).alias("cash"),
         F.sum(p * 0.5).alias("short_term_debt"), F.sum(F.when(F.col("l_returnflag") == "R", p)).alias("long_term_debt"),
         F.sum(p * (0.28 - d)).alias("cfo"), (-F.sum(p * 0.04)).alias("capex"), F.sum("l_quantity").alias("shares_outstanding"),
+        F.sum(p * (F.lit(0.6) - d * 5)).alias("retained_earnings"),
     )
 
 
@@ -64,7 +65,8 @@ fin AS (SELECT n_name AS symbol, (year(l_shipdate)*10 + quarter(l_shipdate))::IN
  sum(l_extendedprice)*4 + max(l_extendedprice) AS total_assets, sum(l_extendedprice)*2 + sum(l_quantity) AS equity, sum(l_extendedprice)*1.5::DOUBLE + sum(l_quantity)*10 AS current_assets,
  sum(l_extendedprice)*0.9::DOUBLE AS current_liabilities, sum(l_extendedprice*l_discount) AS inventory, sum(l_extendedprice) FILTER (l_linestatus='O') AS receivables,
  sum(l_extendedprice)*0.3::DOUBLE AS cash, sum(l_extendedprice*0.5::DOUBLE) AS short_term_debt, sum(l_extendedprice) FILTER (l_returnflag='R') AS long_term_debt,
- sum(l_extendedprice*(0.28::DOUBLE-l_discount)) AS cfo, -sum(l_extendedprice*0.04::DOUBLE) AS capex, sum(l_quantity) AS shares_outstanding FROM trades GROUP BY ALL)"""
+ sum(l_extendedprice*(0.28::DOUBLE-l_discount)) AS cfo, -sum(l_extendedprice*0.04::DOUBLE) AS capex, sum(l_quantity) AS shares_outstanding,
+ sum(l_extendedprice*(0.6::DOUBLE-l_discount*5)) AS retained_earnings FROM trades GROUP BY ALL)"""
 
 
 def bars_sql(symbol: str = "r_name") -> str:

@@ -79,7 +79,7 @@ add("FR_02_JN_09_year_ago", lambda s, d: (x := statements(s, d)).select("symbol"
 add("FR_03_ttm", lambda s, d: fr.with_quarters(statements(s, d)).select("symbol", "period_key", F.round(fr.ttm(F.col("revenue")), 5).alias("ttm")), f"WITH {STATEMENTS_SQL}, q AS (SELECT *, (period_key//10)*4+period_key%10 AS qi FROM fin) SELECT symbol, period_key, CASE WHEN count(revenue) {T4}=4 THEN round(sum(revenue) {T4},5) END AS ttm FROM q")
 add("FR_18_dupont", lambda s, d: rounded(fr.dupont(fr.ratios(statements(s, d))), ["symbol", "period_key"]), f"{PREPARED}, r AS (SELECT symbol, period_key, {RATIOS['net_margin']} AS nm, {RATIOS['asset_turnover']} AS turnover, {RATIOS['roe']} AS roe FROM p) SELECT symbol, period_key, round(nm,3) AS net_margin, round(turnover,3) AS asset_turnover, round(roe/nullif(nm*turnover,0),3) AS leverage, round(roe,3) AS roe FROM r")
 FLOWS = ("revenue", "cogs", "operating_profit", "profit_before_tax", "income_tax", "net_income", "interest_expense", "depreciation", "cfo", "capex")
-STOCKS = ("total_assets", "equity", "current_assets", "current_liabilities", "inventory", "receivables", "cash", "short_term_debt", "long_term_debt", "shares_outstanding")
+STOCKS = ("total_assets", "equity", "current_assets", "current_liabilities", "inventory", "receivables", "cash", "short_term_debt", "long_term_debt", "shares_outstanding", "retained_earnings")
 YEARS = f"WITH {STATEMENTS_SQL}, yr AS (SELECT symbol, period_key//10 AS year, " + ", ".join(f"sum({x}) AS {x}" for x in FLOWS) + ", " + ", ".join(f"max_by({x}, period_key) AS {x}" for x in STOCKS) + " FROM fin GROUP BY ALL HAVING count(*)=4)"
 YEARLY = f"{YEARS[5:]}, fy AS (SELECT * EXCLUDE (year), (year*10)::INT AS period_key FROM yr)"
 
@@ -89,15 +89,26 @@ def yearly(s, d):
 
 
 add("FR_06_12_annual_ratios", lambda s, d: rounded(fr.ratios(more(yearly(s, d))), ["symbol", "period_key"]), ratio_sql(prepared_sql(YEARLY, "fy", True, True)))
-add("FR_19_f_score", lambda s, d: fr.f_score(fr.annual(statements(s, d), FLOWS)),
-    f"""{YEARS}, a AS (SELECT *, net_income/nullif(total_assets,0) AS roa, long_term_debt/nullif(total_assets,0) AS lev, current_assets/nullif(current_liabilities,0) AS cur, (revenue-abs(cogs))/nullif(revenue,0) AS gm, revenue/nullif(total_assets,0) AS tn FROM yr),
- b AS (SELECT *, lag(roa) OVER w AS p1, lag(lev) OVER w AS p2, lag(cur) OVER w AS p3, lag(gm) OVER w AS p4, lag(tn) OVER w AS p5, lag(shares_outstanding) OVER w AS p6, row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS rn FROM a WINDOW w AS (PARTITION BY symbol ORDER BY year)),
- c AS (SELECT symbol, year, [roa>0, cfo>0, roa>p1, cfo>net_income, lev<=p2, cur>p3, shares_outstanding<=p6*1.001::DOUBLE, gm>p4, tn>p5] AS t FROM b WHERE rn=1), e AS (SELECT symbol, year, len(list_filter(t, lambda x: x))::INT AS f_score, len(list_filter(t, lambda x: x IS NOT NULL))::INT AS f_max FROM c)
- SELECT symbol, year::BIGINT AS year, f_score, f_max, CASE WHEN f_score>=7 THEN 'strong' WHEN f_score>=4 THEN 'average' ELSE 'weak' END AS label FROM e""")
-add("FR_20_z_score", lambda s, d: rounded(fr.z_score(fr.annual(statements(s, d), FLOWS)), ["symbol", "year"]),
-    f"{YEARS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS rn FROM yr), z AS (SELECT symbol, year, 3.25::DOUBLE+6.56::DOUBLE*(current_assets-current_liabilities)/total_assets+3.26::DOUBLE*net_income/total_assets+6.72::DOUBLE*(profit_before_tax+coalesce(abs(interest_expense),0))/total_assets+1.05::DOUBLE*equity/(total_assets-equity) AS z FROM a WHERE rn=1) SELECT symbol, year::BIGINT AS year, round(z,3) AS z, CASE WHEN z>5.85 THEN 'safe' WHEN z>=4.35 THEN 'grey' ELSE 'distress' END AS zone FROM z")
-add("FR_16_cagr", lambda s, d: rounded(fr.cagr(fr.annual(statements(s, d), FLOWS), "revenue"), ["symbol"]),
-    f"{YEARS}, a AS (SELECT *, lag(revenue,3) OVER (PARTITION BY symbol ORDER BY year) AS old, row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS rn FROM yr) SELECT symbol, CASE WHEN old>0 AND revenue>0 THEN round((pow(revenue/old,1.0::DOUBLE/3)-1)*100,3) END AS cagr FROM a WHERE rn=1")
+#: The scores of yearly rows fy, whose gross profit, liabilities and bank marks x0 has.
+F_TESTS = "[roa>0, cfo>0, roa>p1, cfo>net_income, lev<=p2, cur>p3, sh<=p6*1.001::DOUBLE, gm>p4, tn>p5]"
+SCORES = f"""fa AS (SELECT *, CASE WHEN shares_outstanding>0 THEN shares_outstanding ELSE charter_capital/10000 END AS sh, net_income/nullif(total_assets,0) AS roa, long_term_debt/nullif(total_assets,0) AS lev, current_assets/nullif(current_liabilities,0) AS cur, revenue/nullif(total_assets,0) AS tn,
+ CASE WHEN NOT max(customer_deposits IS NOT NULL) OVER (PARTITION BY symbol) THEN coalesce(gross_profit, revenue-abs(cogs))/nullif(revenue,0) END AS gm FROM x0),
+ fb AS (SELECT *, lag(roa) OVER w AS p1, lag(lev) OVER w AS p2, lag(cur) OVER w AS p3, lag(gm) OVER w AS p4, lag(tn) OVER w AS p5, lag(sh) OVER w AS p6, count(*) OVER (PARTITION BY symbol) AS n FROM fa WINDOW w AS (PARTITION BY symbol ORDER BY period_key) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY period_key DESC) = 1),
+ fs AS (SELECT symbol, period_key, CASE WHEN n>1 THEN len(list_filter({F_TESTS}, lambda x: x))::INT END AS f_score, CASE WHEN n>1 THEN len(list_filter({F_TESTS}, lambda x: x IS NOT NULL))::INT ELSE 0 END AS f_max,
+ CASE WHEN customer_deposits IS NULL THEN 3.25::DOUBLE+6.56::DOUBLE*(current_assets-current_liabilities)/total_assets+3.26::DOUBLE*retained_earnings/total_assets+6.72::DOUBLE*(profit_before_tax+coalesce(abs(interest_expense),0))/total_assets+1.05::DOUBLE*equity/coalesce(nullif(total_liabilities,0), total_assets-equity) END AS z FROM fb)"""
+SCORED = prepared_sql(YEARLY, "fy", True, True).split(",\nq AS")[0]
+ZONE = "CASE WHEN z>5.85 THEN 'safe' WHEN z>=4.35 THEN 'grey' WHEN z IS NOT NULL THEN 'distress' END AS zone"
+
+
+def odd_revenue(s, d):
+    """Yearly rows, revenue null in every fourth year and, of some symbols, negative in the others before 1996."""
+    return yearly(s, d).withColumn("revenue", F.expr("case when period_key % 40 = 0 then null when length(symbol) = 5 and period_key < 19960 then -revenue else revenue end"))
+
+
+add("FR_19_f_score", lambda s, d: fr.f_score(more(yearly(s, d))), f"{SCORED}, {SCORES} SELECT symbol, period_key, f_score, f_max, CASE WHEN f_score>=7 THEN 'strong' WHEN f_score>=4 THEN 'average' WHEN f_score IS NOT NULL THEN 'weak' END AS label FROM fs")
+add("FR_20_z_score", lambda s, d: rounded(fr.z_score(more(yearly(s, d))), ["symbol", "period_key"]), f"{SCORED}, {SCORES} SELECT symbol, period_key, round(z,3) AS z, {ZONE} FROM fs")
+add("FR_16_cagr", lambda s, d: rounded(fr.cagr(odd_revenue(s, d), "revenue"), ["symbol"]),
+    f"WITH {YEARLY}, o AS (SELECT symbol, period_key, CASE WHEN period_key % 40 = 0 THEN NULL WHEN length(symbol) = 5 AND period_key < 19960 THEN -revenue ELSE revenue END AS v FROM fy), a AS (SELECT symbol, period_key, v, lag(v,3) OVER (PARTITION BY symbol ORDER BY period_key) AS old FROM o WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY period_key DESC) = 1) SELECT symbol, CASE WHEN old>0 AND v>0 THEN round((pow(v/old,1.0::DOUBLE/3)-1)*100,3) END AS cagr FROM (SELECT DISTINCT symbol FROM fy) LEFT JOIN a USING (symbol)")
 add("PR_05_06_periods", lambda s, d: table(s, d, "orders").select("o_orderkey", F.concat(F.year("o_orderdate"), F.lit("-Q"), F.quarter("o_orderdate")).alias("label")).select("o_orderkey", tx.period_key(F.col("label")).alias("key"), tx.period_label(tx.period_key(F.col("label"))).alias("shown")),
     "SELECT o_orderkey, year(o_orderdate)::INT*10+quarter(o_orderdate)::INT AS key, 'Q'||quarter(o_orderdate)||'/'||year(o_orderdate) AS shown FROM orders")
 add("PR_12_unpivot_pivot", lambda s, d: statements(s, d).unpivot(["symbol", "period_key"], ["revenue", "net_income", "equity", "long_term_debt"], "item", "value").where("value is not null").select("symbol", "period_key", "item", F.round("value", 5).alias("value")),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import statements as fr
 from tidemark.plans.bars import STATEMENTS_SQL, statements, walk_bars
-from tidemark.queries.books import FLOWS, RATIOS, T4, Y1, YEARS, more, prepared_sql, rounded, yearly
+from tidemark.queries.books import RATIOS, SCORED, SCORES, T4, Y1, YEARS, ZONE, more, prepared_sql, rounded, yearly
 from tidemark.queries.market import NATION_BARS
 
 QUERIES, ORACLE = {}, {}
@@ -48,14 +48,27 @@ add("FR_17_valuation", lambda s, d: fr.valuation(more(statements(s, d)), prices(
  SELECT symbol, period_key, round(price,4) AS price, round(mc,4) AS market_cap, round(ev,4) AS enterprise_value, round(CASE WHEN r_eps>0 THEN price/r_eps END,4) AS pe, round(CASE WHEN r_bvps>0 THEN price/r_bvps END,4) AS pb, round(CASE WHEN t_revenue>0 THEN mc/t_revenue END,4) AS ps, round(CASE WHEN ebitda>0 THEN ev/ebitda END,4) AS ev_ebitda, round(r_eps/price*100,4) AS earnings_yield, round(CASE WHEN r_dps>0 THEN r_dps/price*100 END,4) AS dividend_yield FROM w""")
 add("FR_22_growth_vs_prior", lambda s, d: fr.growth_vs_prior(statements(s, d).where("symbol > 'J' or period_key % 10 > 2"), "revenue").withColumn("growth", F.round("growth", 4)),
     f"WITH {STATEMENTS_SQL}, x AS (SELECT symbol, period_key, revenue, first_value(revenue) {Y1} AS y, lag(revenue) OVER (PARTITION BY symbol ORDER BY period_key) AS l FROM fin WHERE symbol > 'J' OR period_key % 10 > 2), z AS (SELECT *, coalesce(y, l) AS b FROM x {LAST}) SELECT symbol, period_key, round((revenue-b)/nullif(abs(b),0)*100,4) AS growth, CASE WHEN y IS NOT NULL THEN 'year' WHEN l IS NOT NULL THEN 'period' END AS basis FROM z")
-add("FR_24_warnings", lambda s, d: fr.warnings(fr.ratios(more(statements(s, d)))).select("symbol", "period_key", *[F.round(c, 3).alias(c) for c in ("revenue_growth", "net_income_growth", "debt_equity")], "warnings"),
-    f"{EXTRA}, l AS (SELECT *, {R} FROM p), z AS (SELECT * FROM l {LAST}) SELECT symbol, period_key, round(r_revenue_growth,3) AS revenue_growth, round(r_net_income_growth,3) AS net_income_growth, round(r_debt_equity,3) AS debt_equity, array_to_string(list_filter([CASE WHEN r_revenue_growth>5 AND r_net_income_growth < -5 THEN 'profit falls' END, CASE WHEN r_debt_equity>2 THEN 'high debt' END, CASE WHEN r_cfo_to_income<0 THEN 'cash outflow' END], lambda x: x IS NOT NULL), ',') AS warnings FROM z")
-add("FR_21_summary", lambda s, d: (x := fr.summary(more(statements(s, d)), prices(s, d), fr.annual(statements(s, d), FLOWS))).select("symbol", *[F.round(c, 3).alias(c) for c in ("roe", "net_margin", "debt_equity", "pe", "pb", "cagr")], "f_score", "zone"),
-    f"""{PRICED}, l AS (SELECT *, {R} FROM p), z AS (SELECT * FROM l {LAST}), v AS (SELECT l.symbol, r_eps, r_bvps, price FROM l JOIN pr USING (symbol) WHERE (r_eps IS NOT NULL OR r_bvps IS NOT NULL) AND shares IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l.symbol ORDER BY period_key DESC) = 1),
- {YEARS[YEARS.index("yr AS"):]}, a AS (SELECT *, net_income/nullif(total_assets,0) AS roa, long_term_debt/nullif(total_assets,0) AS lev, current_assets/nullif(current_liabilities,0) AS cur, (revenue-abs(cogs))/nullif(revenue,0) AS gm, revenue/nullif(total_assets,0) AS tn FROM yr),
- b AS (SELECT *, lag(roa) OVER w AS p1, lag(lev) OVER w AS p2, lag(cur) OVER w AS p3, lag(gm) OVER w AS p4, lag(tn) OVER w AS p5, lag(shares_outstanding) OVER w AS p6, lag(revenue,3) OVER w AS old FROM a WINDOW w AS (PARTITION BY symbol ORDER BY year) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY year DESC) = 1),
- c AS (SELECT symbol, len(list_filter([roa>0, cfo>0, roa>p1, cfo>net_income, lev<=p2, cur>p3, shares_outstanding<=p6*1.001::DOUBLE, gm>p4, tn>p5], lambda x: x))::INT AS f_score, CASE WHEN old>0 AND revenue>0 THEN (pow(revenue/old,1.0::DOUBLE/3)-1)*100 END AS cagr, 3.25::DOUBLE+6.56::DOUBLE*(current_assets-current_liabilities)/total_assets+3.26::DOUBLE*net_income/total_assets+6.72::DOUBLE*(profit_before_tax+coalesce(abs(interest_expense),0))/total_assets+1.05::DOUBLE*equity/(total_assets-equity) AS zz FROM b)
- SELECT z.symbol, round(r_roe,3) AS roe, round(r_net_margin,3) AS net_margin, round(r_debt_equity,3) AS debt_equity, round(CASE WHEN v.r_eps>0 THEN price/v.r_eps END,3) AS pe, round(CASE WHEN v.r_bvps>0 THEN price/v.r_bvps END,3) AS pb, round(cagr,3) AS cagr, f_score, CASE WHEN zz IS NULL THEN NULL WHEN zz>5.85 THEN 'safe' WHEN zz>=4.35 THEN 'grey' ELSE 'distress' END AS zone FROM z LEFT JOIN v USING (symbol) LEFT JOIN c USING (symbol)""")
+def some_without(s, d):
+    """Statements with losses and outflows; some symbols lack debt, or the parent's share of profit."""
+    return more(statements(s, d)).withColumns({
+        "cfo": F.expr("case when length(symbol) % 3 = 0 then -cfo when period_key % 10 < 4 then cfo end"), "net_income_parent": F.expr("case when length(symbol) > 6 then net_income * 0.9D - case when period_key % 10 > 2 then revenue * 0.4D else 0D end end"),
+        "short_term_debt": F.expr("case when length(symbol) % 2 = 0 then short_term_debt * 9D end"), "long_term_debt": F.expr("case when length(symbol) % 2 = 0 then long_term_debt end"), "equity": F.expr("case when length(symbol) = 7 then equity / 4 else equity end"),
+    })
+
+
+WITHOUT = f"""{STATEMENTS_SQL}, sm AS (SELECT * REPLACE (CASE WHEN length(symbol) % 3 = 0 THEN -cfo WHEN period_key % 10 < 4 THEN cfo END AS cfo, CASE WHEN length(symbol) % 2 = 0 THEN short_term_debt * 9 END AS short_term_debt, CASE WHEN length(symbol) % 2 = 0 THEN long_term_debt END AS long_term_debt, CASE WHEN length(symbol) = 7 THEN equity / 4 ELSE equity END AS equity),
+ CASE WHEN length(symbol) > 6 THEN net_income * 0.9::DOUBLE - CASE WHEN period_key % 10 > 2 THEN revenue * 0.4::DOUBLE ELSE 0 END END AS parent, CASE WHEN period_key % 2 = 0 THEN total_assets * 0.45::DOUBLE END AS total_liabilities FROM fin)"""
+GROWN = "(SELECT symbol, (v - coalesce(y, l)) / nullif(abs(coalesce(y, l)), 0) * 100 AS growth FROM (SELECT symbol, period_key, v, first_value(v) {y1} AS y, lag(v) OVER (PARTITION BY symbol ORDER BY period_key) AS l FROM (SELECT symbol, period_key, {item} AS v FROM sm) WHERE v IS NOT NULL {last}))"
+add("FR_24_warnings", lambda s, d: fr.warnings(some_without(s, d)).select("symbol", "period_key", *[F.round(c, 3).alias(c) for c in ("revenue_growth", "net_income_growth", "debt_equity")], F.round("last_cfo", 2).alias("last_cfo"), "warnings"),
+    f"""WITH {WITHOUT}, a AS {GROWN.format(y1=Y1, last=LAST, item="revenue")}, b AS {GROWN.format(y1=Y1, last=LAST, item="CASE WHEN length(symbol) > 6 THEN parent ELSE net_income END")}, c AS (SELECT symbol, cfo AS last_cfo FROM sm WHERE cfo IS NOT NULL {LAST}),
+ e AS (SELECT symbol, period_key, coalesce((coalesce(short_term_debt,0)+coalesce(long_term_debt,0))*CASE WHEN short_term_debt IS NOT NULL OR long_term_debt IS NOT NULL THEN 1 END/nullif(equity,0), coalesce(total_liabilities, total_assets-equity)/nullif(equity,0)) AS de FROM sm {LAST})
+ SELECT symbol, period_key, round(a.growth,3) AS revenue_growth, round(b.growth,3) AS net_income_growth, round(de,3) AS debt_equity, round(last_cfo,2) AS last_cfo, array_to_string(list_filter([CASE WHEN a.growth>5 AND b.growth < -5 THEN 'profit falls' END, CASE WHEN de>2 THEN 'high debt' END, CASE WHEN last_cfo<0 THEN 'cash outflow' END], lambda x: x IS NOT NULL), ',') AS warnings FROM e LEFT JOIN a USING (symbol) LEFT JOIN b USING (symbol) LEFT JOIN c USING (symbol)""")
+add("FR_21_summary", lambda s, d: (x := fr.summary(more(statements(s, d)), prices(s, d), more(yearly(s, d)))).select("symbol", *[F.round(c, 3).alias(c) for c in ("roe", "net_margin", "debt_equity", "pe", "pb", "cagr")], "f_score", "zone"),
+    f"""{PRICED}, l AS (SELECT *, {R} FROM p), z0 AS (SELECT * FROM l {LAST}), v AS (SELECT l.symbol, r_eps, r_bvps, price FROM l JOIN pr USING (symbol) WHERE (r_eps IS NOT NULL OR r_bvps IS NOT NULL) AND shares IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l.symbol ORDER BY period_key DESC) = 1),
+ sc AS ({SCORED}, {SCORES} SELECT symbol, f_score, {ZONE} FROM fs),
+ {YEARS[YEARS.index("yr AS"):]}, b AS (SELECT symbol, revenue, lag(revenue,3) OVER (PARTITION BY symbol ORDER BY year) AS old FROM yr QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY year DESC) = 1),
+ c AS (SELECT symbol, CASE WHEN old>0 AND revenue>0 THEN (pow(revenue/old,1.0::DOUBLE/3)-1)*100 END AS cagr FROM b)
+ SELECT z0.symbol, round(r_roe,3) AS roe, round(r_net_margin,3) AS net_margin, round(r_debt_equity,3) AS debt_equity, round(CASE WHEN v.r_eps>0 THEN price/v.r_eps END,3) AS pe, round(CASE WHEN v.r_bvps>0 THEN price/v.r_bvps END,3) AS pb, round(cagr,3) AS cagr, f_score, zone FROM z0 LEFT JOIN v USING (symbol) LEFT JOIN c USING (symbol) LEFT JOIN sc USING (symbol)""")
 add("FR_26_income_table", lambda s, d: fr.table_by_period(statements(s, d).withColumn("margin", F.try_divide(F.col("net_income"), F.col("revenue")) * 100), ["revenue", "net_income", "margin"]).select("symbol", "item", "rank", F.round(F.col("value") / 1000, 3).alias("value")),
     f"WITH {STATEMENTS_SQL}, u AS (SELECT * FROM (SELECT symbol, period_key, revenue, net_income, net_income/nullif(revenue,0)*100 AS margin FROM fin) UNPIVOT (value FOR item IN (revenue, net_income, margin))), k AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY period_key DESC)::INT AS rank FROM u) SELECT symbol, item, rank, round(value/1000,3) AS value FROM k WHERE rank <= 6")
 add("PR_14_trim", lambda s, d: fr.trim(mixed_kinds(s, d), 2).select("symbol", "period_key"),
