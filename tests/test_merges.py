@@ -78,11 +78,14 @@ def test_stream_equals_batch(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, symbol string, value double").repartition(3).write.parquet(str(tmp_path / "in"))
     batch = spark.read.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
-    alerts = spark.createDataFrame([(1, "A", True, 11.0), (2, "B", False, 1.0), (3, "A", True, 1e9)], "alert_id long, symbol string, above boolean, threshold double")
-    for name, f in (("fired", lambda e: jobs.fired(e, alerts)), ("sessions", lambda e: jobs.sessions(e, "10 hours"))):
-        q = f(stream).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    for name, f in (("bars", jobs.daily_bars), ("snapshots", lambda e: jobs.sliding_snapshots(e, 4)), ("sessions", lambda e: jobs.sessions(e, "10 hours"))):
+        q = f(stream).writeStream.format("memory").queryName(name).outputMode("append" if name == "snapshots" else "complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
-        assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, f(batch).collect()))
+        got, want = sorted(map(tuple, spark.table(name).collect())), sorted(map(tuple, f(batch).collect()))
+        if name == "snapshots":  # windows that the watermark has closed: with two chained aggregates, those that ended two days before the last event's day
+            want = [r for r in want if r[1] + dt.timedelta(days=4) <= rows[-1][1] - dt.timedelta(days=2)]
+            got = [r for r in got if r[:2] in {w[:2] for w in want}]
+        assert got == want and want, name
     q = jobs.land(jobs.first_by_id(stream, "event_id"), str(tmp_path / "out"), str(tmp_path / "log"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40 and spark.read.parquet(str(tmp_path / "log")).agg(F.sum("rows")).first()[0] == 40

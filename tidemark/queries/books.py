@@ -139,9 +139,10 @@ add("AG_10_rollup", lambda s, d: table(s, d, "customer").join(F.broadcast(table(
 
 
 def daily_bars(s, d):
-    """Bars of a day from ticks; first and last by time, then id."""
-    e = table(s, d, "events").withColumn("at", F.struct("ts", "event_id"))
-    return e.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.min_by("value", "at").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "at").alias("close"), F.count("*").alias("volume"))
+    from tidemark.streaming import jobs
+
+    e = table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), "value")
+    return jobs.daily_bars(e).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 add("SS_01_daily_bars", daily_bars, "SELECT event_type AS symbol, date_trunc('day',ts)::TIMESTAMP AS ts, min_by(value,(ts,event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value,(ts,event_id)) AS close, count(*) AS volume FROM events GROUP BY ALL")

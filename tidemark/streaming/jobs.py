@@ -5,13 +5,52 @@ Events have (event_id, ts, symbol, value) and ts is a timestamp (not of the type
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share; a local session that has none set gets one of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(at)
+    return f"{at}/{label}-{uuid.uuid4().hex}"
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream: the files of its folder, or the one file that it is."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    files = table.inputFiles()
+    source = spark.readStream.schema(table.schema)
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
+        return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return source.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there and read what it wrote."""
+    at = shared_folder(stream.sparkSession, label)
+    q = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
 def watermarked(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late) if events.isStreaming else events
 
 
+def daily_bars(events: DataFrame) -> DataFrame:
+    """symbol, ts (the day), open, high, low, close and volume (rows) of each day's events; first and last by time, then id; nulls are not looked at."""
+    e = watermarked(events).where("value is not null").withColumn("at", F.struct("ts", "event_id"))
+    day = e.groupBy("symbol", F.window("ts", "1 day").alias("day")).agg(F.min_by("value", "at").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "at").alias("close"), F.count("*").alias("volume"))
+    return day.select("symbol", F.col("day.start").alias("ts"), "open", "high", "low", "close", "volume")
+
+
 def sliding_snapshots(events: DataFrame, days: int = 20) -> DataFrame:
     """high, low, value and rows of each symbol over windows of so many days that start every day; days are summed up first, so that each event is shuffled once."""
     day = watermarked(events).groupBy("symbol", F.window("ts", "1 day").alias("day")).agg(F.max("value").alias("high"), F.min("value").alias("low"), F.sum("value").alias("total"), F.count("*").alias("n"))
@@ -25,17 +64,6 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return runs.select("symbol", F.col("w.start").alias("start"), "n", "total")
 
 
-def fired(events: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Each alert that has come true, with the time and value that did it first; it fires once, as its earliest event stays its state.
-
-    `alerts` has (alert_id, symbol, above, threshold). Events without a value are not evaluated. On a stream, use update or complete mode.
-    """
-    v, t = F.col("value"), F.col("threshold")
-    true = F.when(F.col("above"), v >= t).otherwise(v <= t)
-    hits = watermarked(events).join(alerts, "symbol").where(true)
-    return hits.groupBy("alert_id").agg(F.min(F.struct("ts", "event_id", "value")).alias("f")).select("alert_id", F.col("f.ts").alias("fired_at"), F.col("f.event_id").alias("event_id"), F.col("f.value").alias("value"))
-
-
 def first_by_id(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     """The first row of each key: the earliest in a batch, the first to arrive within the watermark on a stream."""
     if events.isStreaming:
