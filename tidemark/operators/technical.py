@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.plans.store import kept
+
+
 def by_ts():
     return Window.partitionBy("symbol").orderBy("ts")
 
@@ -68,14 +72,16 @@ def relative_volume(bars: DataFrame, n: int = 20) -> DataFrame:
     return bars.withColumn("rel_volume", full(ratio(F.col("volume"), F.avg("volume").over(last(n))), "volume", n))
 
 
-#: The recursive indicators.
+#: The recursive indicators, and the bars that a symbol needs to have any of them.
 RECURSIVE = ("ema_12", "ema_26", "rsi", "macd", "macd_signal", "macd_hist", "atr", "plus_di", "minus_di", "adx")
+NEEDED = {"ema_12": 30, "ema_26": 30, "rsi": 15, "macd": 35, "macd_signal": 35, "macd_hist": 35, "atr": 14, "plus_di": 28, "minus_di": 28, "adx": 28}
 
 
 def exponential(bars: DataFrame, names: tuple[str, ...] = RECURSIVE) -> DataFrame:
-    """Recursive indicators in one grouped pass, those named: EMA 12/26, RSI 14, MACD 12/26/9, ATR 14, ADX 14.
+    """Recursive indicators in one grouped pass, those named: EMA 12/26, RSI 14, MACD 12/26/9, ATR 14, ADX 14; null for symbols that are too short (NEEDED).
 
-    A symbol's history is one group; it is bounded by the calendar (a few hundred bars a year), not by the number of symbols.
+    A symbol's history is one group; of daily bars it is bounded by the calendar (a few hundred bars a year). For ticks, or where few symbols
+    have long histories, exponential_by_chunk() gives the same over many tasks a symbol.
     """
     wants = set(names)
 
@@ -106,12 +112,116 @@ def exponential(bars: DataFrame, names: tuple[str, ...] = RECURSIVE) -> DataFram
             out["plus_di"], out["minus_di"] = 100 * wilder(plus) / atr, 100 * wilder(minus) / atr
             total = out["plus_di"] + out["minus_di"]
             out["adx"] = wilder(100 * (out["plus_di"] - out["minus_di"]).abs() / total.where(total != 0))
-        return g.assign(**{n: out[n] for n in names})
+        return g.assign(**{n: out[n] if len(g) >= NEEDED[n] else None for n in names})
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema)
     return bars.groupBy("symbol").applyInPandas(one, fields + "".join(f", {n} double" for n in names))
 
 
+def _in_chunk():
+    return Window.partitionBy("symbol", "_chunk").orderBy("ts")
+
+
+def _by_chunk():
+    return Window.partitionBy("symbol").orderBy("_chunk")
+
+
+def smoothed(df: DataFrame, series: dict[str, tuple[str, float, int]]) -> DataFrame:
+    """df with an exponential average a name: series has (column, weight of the newest value, least number of values).
+
+    df has symbol, ts and _chunk, which rises with ts. A row takes the average before it to c * average + d; such maps compose to maps of the
+    same form. Within a chunk they compose by a running sum; a chunk is one map, two numbers an average, and only
+    these are gathered by symbol, to be applied in order. So no task holds more bars than those of a chunk at a time. A gap of k nulls lets the average before it count as
+    often decayed as rows went by; the first value starts the average.
+    """
+    c, w = F.col, _in_chunk()
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = df.withColumn("_rn", F.row_number().over(w))
+    # what came before each chunk: its rows, and of each column the values and the place of the last one
+    columns = sorted({x for x, _, _ in series.values()})
+    ends = d.groupBy("symbol", "_chunk").agg(F.count("*").alias("_rows"), *[F.count(x).alias(f"_n_{x}") for x in columns], *[F.max(F.when(c(x).isNotNull(), c("_rn"))).alias(f"_at_{x}") for x in columns])
+    past = _by_chunk().rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_base", F.coalesce(F.sum("_rows").over(past), F.lit(0)))
+    ends = ends.select("symbol", "_chunk", "_base", *[F.coalesce(F.sum(f"_n_{x}").over(past), F.lit(0)).alias(f"_n_{x}") for x in columns], *[F.last(c("_base") + c(f"_at_{x}"), ignorenulls=True).over(past).alias(f"_at_{x}") for x in columns])
+    d = d.join(ends, ["symbol", "_chunk"]).withColumn("_place", c("_base") + c("_rn"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"_last_{x}": F.coalesce(F.last(F.when(c(x).isNotNull(), c("_place")), ignorenulls=True).over(before), c(f"_at_{x}")) for x in columns})
+    d = d.withColumns({f"_seen_{x}": c(f"_n_{x}") + F.count(x).over(upto) for x in columns})
+    maps = {}
+    for name, (x, weight, _) in series.items():
+        decayed = F.pow(F.lit(1 - weight), c("_place") - c(f"_last_{x}"))
+        maps[f"_c_{name}"] = F.when(c(x).isNotNull() & c(f"_last_{x}").isNotNull(), decayed / (decayed + weight)).otherwise(1.0)
+        maps[f"_d_{name}"] = F.when(c(x).isNull(), 0.0).when(c(f"_last_{x}").isNull(), c(x)).otherwise(weight * c(x) / (decayed + weight))
+    d = d.withColumns(maps)
+    d = d.withColumns({f"_p_{n}": F.exp(F.sum(F.ln(f"_c_{n}")).over(upto)) for n in series})
+    d = d.withColumns({f"_y_{n}": c(f"_p_{n}") * F.sum(c(f"_d_{n}") / c(f"_p_{n}")).over(upto) for n in series})
+    columns = [x for x in df.columns if x not in ("symbol", "_chunk")]
+    d = kept(d.select("symbol", "_chunk", *columns, *[f"_{k}_{n}" for n in series for k in "py"], *[f"_seen_{x}" for x in {x for x, _, _ in series.values()}]), "smoothed")
+    # the maps of whole chunks, applied one after the other: what each chunk starts from
+    tail = F.max_by(F.struct(*[c(f"_{k}_{n}") for n in series for k in "py"]), "ts").alias("_tail")
+    tails = d.groupBy("symbol", "_chunk").agg(tail).select("symbol", "_chunk", "_tail.*")
+    names = list(series)
+
+    def join_chunks(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_chunk", ignore_index=True)
+        p, y = (g[[f"_{k}_{n}" for n in names]].to_numpy(dtype=float) for k in "py")
+        into = np.zeros_like(y)
+        for k in range(1, len(g)):
+            into[k] = p[k - 1] * into[k - 1] + y[k - 1]
+        return pd.concat([g[["symbol", "_chunk"]], pd.DataFrame(into, columns=[f"_in_{n}" for n in names])], axis=1)
+
+    kinds = dict(tails.dtypes)
+    tails = tails.groupBy("symbol").applyInPandas(join_chunks, f"symbol {kinds['symbol']}, _chunk {kinds['_chunk']}, " + ", ".join(f"_in_{n} double" for n in names))
+    d = d.join(tails, ["symbol", "_chunk"])
+    return d.select(*df.columns, *[F.when(c(f"_seen_{x}") >= F.greatest(F.lit(least), F.lit(1)), c(f"_p_{n}") * c(f"_in_{n}") + c(f"_y_{n}")).alias(n) for n, (x, _, least) in series.items()])
+
+
+def exponential_by_chunk(bars: DataFrame, names: tuple[str, ...] = RECURSIVE, chunk: Column | None = None) -> DataFrame:
+    """exponential() for histories of any length: a symbol's bars are dealt to tasks by `chunk`, which rises with ts (a quarter, if not given).
+
+    A chunk should have some dozens to some hundreds of bars. Bars have no null close, high or low.
+    The bars, and the averages of each level (those of prices, and those of averages), are written once to the shared folder.
+    """
+    wants, c = set(names), F.col
+    d = kept(bars.withColumn("_chunk", F.date_trunc("quarter", "ts") if chunk is None else chunk), "bars")
+    ends = d.groupBy("symbol", "_chunk").agg(F.max_by(F.struct("close", "high", "low"), "ts").alias("_end"), F.count("*").alias("_rows"))
+    ends = ends.select("symbol", "_chunk", F.lag("_end").over(_by_chunk()).alias("_end"), F.sum("_rows").over(Window.partitionBy("symbol")).alias("_bars"))
+    d = d.join(ends, ["symbol", "_chunk"])
+    before = {x: F.coalesce(F.lag(x).over(_in_chunk()), c(f"_end.{x}")) for x in ("close", "high", "low")}
+    d = d.withColumns({f"_b_{x}": v for x, v in before.items()}).drop("_end")
+    series, averages = {}, wants & {"ema_12", "ema_26", "macd", "macd_signal", "macd_hist"}
+    if averages:
+        series |= {"_fast": ("close", 2 / 13, 1), "_slow": ("close", 2 / 27, 1)}
+    if "rsi" in wants:
+        move = c("close") - c("_b_close")
+        d = d.withColumns({"_up": F.greatest(move, F.lit(0.0)), "_down": F.greatest(-move, F.lit(0.0))}).withColumns({x: F.when(c("_b_close").isNotNull(), c(x)) for x in ("_up", "_down")})
+        series |= {"_gain": ("_up", 1 / 14, 14), "_loss": ("_down", 1 / 14, 14)}
+    directed = wants & {"plus_di", "minus_di", "adx"}
+    if directed or "atr" in wants:
+        d = d.withColumn("_range", F.greatest(c("high") - c("low"), F.abs(c("high") - c("_b_close")), F.abs(c("low") - c("_b_close"))))
+        series["_atr"] = ("_range", 1 / 14, 14)
+    if directed:
+        up, down = c("high") - c("_b_high"), c("_b_low") - c("low")
+        d = d.withColumns({"_plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "_minus": F.when((down > up) & (down > 0), down).otherwise(0.0)})
+        series |= {"_pdm": ("_plus", 1 / 14, 14), "_mdm": ("_minus", 1 / 14, 14)}
+    d, second = smoothed(d, series), {}
+    if averages:
+        d = d.withColumn("_macd", c("_fast") - c("_slow"))
+        if wants & {"macd_signal", "macd_hist"}:
+            second["_signal"] = ("_macd", 0.2, 1)
+    if directed:
+        d = d.withColumns({"_pdi": 100 * ratio(c("_pdm"), c("_atr")), "_mdi": 100 * ratio(c("_mdm"), c("_atr"))})
+        if "adx" in wants:
+            d = d.withColumn("_dx", 100 * ratio(F.abs(c("_pdi") - c("_mdi")), c("_pdi") + c("_mdi")))
+            second["_adx"] = ("_dx", 1 / 14, 14)
+    d = smoothed(d, second) if second else d
+    made = {
+        "ema_12": lambda: c("_fast"), "ema_26": lambda: c("_slow"), "macd": lambda: c("_macd"), "macd_signal": lambda: c("_signal"), "macd_hist": lambda: c("_macd") - c("_signal"), "atr": lambda: c("_atr"),
+        "rsi": lambda: F.when(c("_loss") == 0, F.when(c("_gain") > 0, 100.0).otherwise(50.0)).otherwise(100 - 100 / (1 + ratio(c("_gain"), c("_loss")))), "plus_di": lambda: c("_pdi"), "minus_di": lambda: c("_mdi"), "adx": lambda: c("_adx"),
+    }
+    return d.select(*bars.columns, *[F.when(c("_bars") >= NEEDED[n], made[n]()).alias(n) for n in names])
+
+
 def trend(bars: DataFrame) -> DataFrame:
     """Score of the last bar against its averages, place within the last 20 closes, and a label."""
     b = sma(bars, (20, 50, 200)).withColumns({"hi20": F.max("close").over(last(20)), "lo20": F.min("close").over(last(20)), "rn": F.row_number().over(by_symbol().orderBy(F.desc("ts")))})

@@ -40,6 +40,7 @@ al AS (SELECT w1.*, e12, e26, sig, e12-e26-sig AS macd_hist, CASE WHEN rn>=14 TH
 IND, NATION_IND = f"WITH RECURSIVE {BARS}, {INDICATORS}", f"WITH RECURSIVE {NATION_BARS}, {INDICATORS}"
 ORACLE["TA_07_adx"] = f"{IND} SELECT symbol, ts, round(pdi,4) AS plus_di, round(mdi,4) AS minus_di, round(adx,4) AS adx FROM al"
 ORACLE["TA_13_all_indicators"] = f"{NATION_IND} SELECT symbol, ts, round(s20,4) AS sma_20, round(bu,4) AS bb_upper, round(mfi,4) AS mfi, round(obv,4) AS obv, round(cmf,4) AS cmf, round(roc,4) AS roc, round(rel_volume,4) AS rel_volume, round(rsi,4) AS rsi, round(macd_hist,4) AS macd_hist, round(atr,4) AS atr, round(adx,4) AS adx FROM al"
+ORACLE["TA_02_07_by_chunk"] = f"{NATION_IND} SELECT symbol, ts, round(e12,4) AS ema_12, round(e26,4) AS ema_26, round(rsi,4) AS rsi, round(e12-e26,4) AS macd, round(sig,4) AS macd_signal, round(macd_hist,4) AS macd_hist, round(atr,4) AS atr, round(pdi,4) AS plus_di, round(mdi,4) AS minus_di, round(adx,4) AS adx FROM al"
 add("TA_16_signals", lambda s, d: ta.signals(ta.all_indicators(nations(s, d))).drop("band_position"),
     f"""{NATION_IND} SELECT symbol, ts, CASE WHEN rsi>=70 THEN 'overbought' WHEN rsi<=30 THEN 'oversold' WHEN rsi>50 THEN 'positive' WHEN rsi IS NOT NULL THEN 'negative' END AS rsi_signal, CASE WHEN macd_hist>0 AND coalesce(prev_hist,0)<=0 THEN 'cross up' WHEN macd_hist<0 AND coalesce(prev_hist,0)>=0 THEN 'cross down' WHEN macd_hist>coalesce(prev_hist,0) THEN 'rising' ELSE 'falling' END AS macd_signal,
  CASE WHEN bu IS NULL THEN NULL WHEN close>bu THEN 'above band' WHEN close<bl THEN 'below band' WHEN close>bm THEN 'upper half' ELSE 'lower half' END AS band_signal, CASE WHEN rel_volume>2 THEN 'spike' WHEN rel_volume>1.5::DOUBLE THEN 'high' WHEN rel_volume<0.5::DOUBLE THEN 'low' WHEN rel_volume IS NOT NULL THEN 'normal' END AS volume_signal,
@@ -78,19 +79,19 @@ def boards(s, d):
 OLDER = [(case("ad", sc.ADVANCE, ">"), 30), ("CASE k%3 WHEN 1 THEN 25 WHEN 2 THEN 5 END", 25), ("CASE WHEN k%90 BETWEEN 50 AND 65 THEN 25 WHEN k%90>=40 AND k%90<50 THEN 15 WHEN k%90>65 THEN 10 ELSE 5 END", 25), ("CASE WHEN k%5=0 THEN NULL WHEN f>0 THEN 20 WHEN f>-1e11 THEN 10 ELSE 3 END", 20)]
 add("SC_06_older_market_health", lambda s, d: sc.older_market_health(boards(s, d)).select("c_custkey", "health"), f"WITH x AS (SELECT c_custkey, c_custkey AS k, c_acctbal/4000 AS ad, c_acctbal*1e8::DOUBLE-2e11::DOUBLE AS f FROM customer) SELECT c_custkey, {share_sql(OLDER)[0]} AS health FROM x")
 
-add("PX_03_last_rsi", lambda s, d: px.latest(ta.exponential(nations(s, d))).select("symbol", F.round("rsi", 4).alias("rsi")), f"{NATION_IND} SELECT symbol, round(rsi,4) AS rsi FROM al QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")
+add("PX_03_last_rsi", lambda s, d: px.latest(ta.exponential(nations(s, d), ("rsi",))).select("symbol", F.round("rsi", 4).alias("rsi")), f"{NATION_IND} SELECT symbol, round(rsi,4) AS rsi FROM al QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")
 add("PX_06_report_returns", lambda s, d: desk.report_returns(nations(s, d)).select("symbol", *[F.round(c, 4).alias(c) for c in ("ret_21", "ret_63", "ret_year")]),
     f"WITH {NATION_BARS} SELECT symbol, round((close/lag(close,21) OVER s-1)*100,4) AS ret_21, round((close/lag(close,63) OVER s-1)*100,4) AS ret_63, CASE WHEN count(*) OVER (PARTITION BY symbol)>200 THEN round((close/first_value(close) OVER s-1)*100,4) END AS ret_year FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY ts) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")
 add("PX_07_excess_return", lambda s, d: desk.excess_return(walk_bars(s, d), walk_bars(s, d).where("symbol = 'ASIA'")).select("symbol", *[F.round(c, 4).alias(c) for c in ("ret", "index_ret", "excess")]),
     f"WITH {BARS}, x AS (SELECT symbol, (close/lag(close,120) OVER (PARTITION BY symbol ORDER BY ts)-1)*100 AS r FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1) SELECT x.symbol, round(x.r,4) AS ret, round(i.r,4) AS index_ret, round(x.r-i.r,4) AS excess FROM x, x i WHERE i.symbol = 'ASIA'")
-add("PX_08_stop_and_upside", lambda s, d: desk.stop_and_upside(px.latest(ta.exponential(nations(s, d))).select("symbol", F.col("close").alias("price"), "atr", (F.col("close") * 1.2 - 50).alias("fair"))).select("symbol", F.round("stop", 4).alias("stop"), F.round("upside", 4).alias("upside")),
+add("PX_08_stop_and_upside", lambda s, d: desk.stop_and_upside(px.latest(ta.exponential(nations(s, d), ("atr",))).select("symbol", F.col("close").alias("price"), "atr", (F.col("close") * 1.2 - 50).alias("fair"))).select("symbol", F.round("stop", 4).alias("stop"), F.round("upside", 4).alias("upside")),
     f"{NATION_IND} SELECT symbol, round(greatest(0, close-2*atr),4) AS stop, round((close*1.2::DOUBLE-50-close)/nullif(close,0),4) AS upside FROM al QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")
 add("TA_17_index_overlay", lambda s, d: ta.sma(walk_bars(s, d).where("symbol = 'ASIA'"), (20, 50)).select("ts", F.round("sma_20", 4).alias("sma_20"), F.round("sma_50", 4).alias("sma_50"), (F.col("close") >= F.col("open")).alias("rising")),
     f"WITH {BARS} SELECT ts, CASE WHEN count(*) OVER (PARTITION BY symbol)>=30 AND count(close) OVER {w(20)}=20 THEN round(avg(close) OVER {w(20)},4) END AS sma_20, CASE WHEN count(*) OVER (PARTITION BY symbol)>=30 AND count(close) OVER {w(50)}=50 THEN round(avg(close) OVER {w(50)},4) END AS sma_50, close>=open AS rising FROM bars WHERE symbol='ASIA'")
 
 
 def ruled(s, d):
-    b = ta.exponential(ta.sma(walk_bars(s, d), (20, 50))).withColumn("mean_volume", ta.full(F.avg("volume").over(ta.last(20)), "volume", 20))
+    b = ta.exponential(ta.sma(walk_bars(s, d), (20, 50)), ("rsi",)).withColumn("mean_volume", ta.full(F.avg("volume").over(ta.last(20)), "volume", 20))
     c = F.col
     return bt.rules(b, (c("close") > c("sma_50")) & (c("sma_20") > c("sma_50")) & c("rsi").between(40, 70) & (c("volume") > c("mean_volume")), (c("close") < c("sma_50")) | (c("rsi") > 80))
 

@@ -65,8 +65,9 @@ add("TA_03_rsi", lambda s, d: rounded(ta.exponential(walk_bars(s, d), ("rsi",)),
 ATR = f"""WITH RECURSIVE {BARS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM bars), b AS (SELECT *, greatest(high-low, abs(high-pc), abs(low-pc)) AS tr FROM a),
 e AS (SELECT symbol, ts, rn, tr AS v FROM b WHERE rn=1 UNION ALL SELECT b.symbol, b.ts, b.rn, e.v*(1-1.0::DOUBLE/14)+b.tr/14 FROM e JOIN b ON b.symbol=e.symbol AND b.rn=e.rn+1)"""
 add("TA_06_atr", lambda s, d: rounded(ta.exponential(walk_bars(s, d), ("atr",)), "atr"), f"{ATR} SELECT symbol, ts, CASE WHEN rn>=14 THEN round(v,4) END AS atr FROM e")
-add("TA_07_adx", lambda s, d: rounded(ta.exponential(walk_bars(s, d)), "plus_di", "minus_di", "adx"))
-add("TA_13_all_indicators", lambda s, d: ta.exponential(ta.relative_volume(ta.roc(ta.cmf(ta.obv(ta.mfi(ta.bollinger(ta.sma(walk_bars(s, d, "n_name")))))))))
+add("TA_07_adx", lambda s, d: rounded(ta.exponential(walk_bars(s, d), ("plus_di", "minus_di", "adx")), "plus_di", "minus_di", "adx"))
+add("TA_02_07_by_chunk", lambda s, d: rounded(ta.exponential_by_chunk(walk_bars(s, d, "n_name")), *ta.RECURSIVE, digits=4))
+add("TA_13_all_indicators", lambda s, d: ta.exponential(ta.relative_volume(ta.roc(ta.cmf(ta.obv(ta.mfi(ta.bollinger(ta.sma(walk_bars(s, d, "n_name"), (20,)))))))), ("rsi", "macd_hist", "atr", "adx"))
     .select("symbol", "ts", *[F.round(c, 4).alias(c) for c in ("sma_20", "bb_upper", "mfi", "obv", "cmf", "roc", "rel_volume", "rsi", "macd_hist", "atr", "adx")]))
 add("TA_14_trend", lambda s, d: ta.trend(walk_bars(s, d, "n_name")).select("symbol", F.col("score").cast("long").alias("score"), "label", F.round("from_high", 4).alias("from_high"), F.round("from_low", 4).alias("from_low")),
     f"WITH {NATION_BARS}, s AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, " + ", ".join(f"CASE WHEN count(*) OVER (PARTITION BY symbol)>=30 AND count(close) OVER {w(p)}={p} THEN avg(close) OVER {w(p)} END AS m{p}" for p in (20, 50, 200)) + f", max(close) OVER {w(20)} AS hi, min(close) OVER {w(20)} AS lo, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars), t AS (SELECT *, (CASE WHEN m20 IS NULL THEN 0 WHEN close>m20 THEN 1 ELSE -1 END + CASE WHEN m50 IS NULL THEN 0 WHEN close>m50 THEN 2 ELSE -2 END + CASE WHEN m200 IS NULL THEN 0 WHEN close>m200 THEN 3 ELSE -3 END + CASE WHEN m20 IS NULL OR m50 IS NULL THEN 0 WHEN m20>m50 THEN 1 ELSE -1 END)::BIGINT AS score FROM s WHERE rn=1) SELECT symbol, score, CASE WHEN score>=3 THEN 'strong_up' WHEN score>0 THEN 'up' WHEN score=0 THEN 'flat' WHEN score>-3 THEN 'down' ELSE 'strong_down' END AS label, round((close-hi)/hi*100,4) AS from_high, round((close-lo)/lo*100,4) AS from_low FROM t")

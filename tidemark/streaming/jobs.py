@@ -5,21 +5,9 @@ Events have (event_id, ts, symbol, value) and ts is a timestamp (not of the type
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors share; a local session that has none set gets one of its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(at)
-    return f"{at}/{label}-{uuid.uuid4().hex}"
+from tidemark.plans.store import shared_folder
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
