@@ -105,6 +105,15 @@ def feed(news: DataFrame, symbols: list[str], k: int) -> DataFrame:
     return news.where(F.col("symbol").isin(symbols)).withColumn("at", F.coalesce("published_at", "fetched_at")).orderBy(F.desc_nulls_last("at"), "news_id").limit(k)
 
 
+def news_window(news: DataFrame, as_of: Column, days: int, symbols: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """News of the last days up to as_of by published, else fetched, time, newest first, ties by id; of some symbols, and the first `limit`, if asked for."""
+    at = F.coalesce("published_at", "fetched_at")
+    d = news.where(at.between(as_of - F.make_dt_interval(F.lit(days)), as_of))
+    d = d if symbols is None else d.where(F.col("symbol").isin(symbols))
+    d = d.orderBy(F.desc(at), "news_id")
+    return d if limit is None else d.limit(limit)
+
+
 def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key by a total order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

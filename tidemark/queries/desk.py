@@ -11,6 +11,10 @@ from tidemark.plans.bars import STATEMENTS_SQL, bars_sql, statements, table, wal
 from tidemark.queries.market import BARS, FOLD, NATION_BARS, SNAP, STEPS, w
 from tidemark.queries.merges import METRICS, MOM_PARTS, case, metrics, share_sql
 
+from tidemark.plans.store import shared_folder
+from tidemark.sources import sinks
+from tidemark.streaming.jobs import stream_of
+
 QUERIES, ORACLE = {}, {}
 
 
@@ -150,11 +154,72 @@ def late_cells(s, d):
     return f, f.where("period_key % 10 = 4").withColumns({"value": F.col("value") * 2, "fetched": F.lit(2)})
 
 
-add("SNK_02_upsert_cells", lambda s, d: desk.upsert(*late_cells(s, d), ["symbol", "period_key", "item"], "fetched").withColumn("value", F.round("value", 4)), f"WITH {STATEMENTS_SQL} SELECT symbol, period_key, 'revenue' AS item, round(CASE WHEN period_key%10=4 THEN revenue*2 ELSE revenue END,4) AS value, CASE WHEN period_key%10=4 THEN 2 ELSE 1 END AS fetched FROM fin")
-add("SNK_03_insert_new", lambda s, d: desk.insert_new((n := news(s, d).select("news_id", "symbol", "value")).where("news_id % 3 = 0"), n.withColumn("value", F.col("value") + 1).unionByName(n), "news_id", F.desc("value")).withColumn("value", F.round("value", 4)), f"WITH {NEWS} SELECT news_id, symbol, round(CASE WHEN news_id%3=0 THEN value ELSE value+1 END,4) AS value FROM n")
-add("SNK_04_delete", lambda s, d: desk.delete(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def written(s, label, how, first, *changes):
+    """A table in the shared folder, made of `first` and changed; each change runs twice, as after a failure."""
+    path = shared_folder(s, label)
+    sinks.create(s, path, first.schema, how)
+    sinks.upsert(first, path, how, "first")
+    for k, (change, rows) in enumerate(changes):
+        for _ in range(2):
+            change(rows, path, how, f"change-{k}")
+    return path
+
+
+def cells_written(s, d):
+    how = sinks.Table(("symbol", "period_key", "item"), "fetched", buckets=4)
+    first, late = late_cells(s, d)
+    return sinks.read(s, written(s, "cells", how, first, (sinks.upsert, late)), how).select("symbol", "period_key", "item", F.round("value", 4).alias("value"), "fetched")
+
+
+def news_written(s, d):
+    how, n = sinks.Table(("news_id",), "fetched_at", by="symbol"), news(s, d).select("news_id", "symbol", "value", F.lit(1).alias("fetched_at"))
+    late = n.withColumns({"value": F.col("value") + 1, "fetched_at": F.lit(2)}).unionByName(n.withColumns({"value": F.col("value") + 2, "fetched_at": F.lit(3)}))
+    return sinks.read(s, written(s, "news", how, n.where("news_id % 3 = 0"), (sinks.insert_new, late)), how).select("news_id", "symbol", F.round("value", 4).alias("value"))
+
+
+def customers_left(s, d):
+    how, c = sinks.Table(("c_custkey",), "at", buckets=4), table(s, d, "customer").select("c_custkey", "c_name", F.lit(1).alias("at"))
+    gone = table(s, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return sinks.read(s, written(s, "customers", how, c, (sinks.delete, gone)), how).select("c_custkey", "c_name")
+
+
+def bars_written(s, d):
+    """Bars by year of which those of 1996 are fetched again, with another close and no volume, and some days more."""
+    how, b = sinks.Table(("symbol", "ts"), "fetched", by="year"), walk_bars(s, d).withColumns({"fetched": F.lit(1), "year": F.year("ts")})
+    again = b.where("year = 1996").drop("volume").withColumns({"close": F.col("close") * 2, "fetched": F.lit(2)})
+    more = again.where("month(ts) = 2").withColumns({"ts": F.expr("ts - interval 20 years"), "year": F.lit(1976)})
+    return sinks.read(s, written(s, "bars", how, b, (sinks.upsert, again.unionByName(more))), how).select("symbol", "ts", F.round("close", 4).alias("close"), "volume")
+
+
+def documents_looked_up(s, d):
+    how = sinks.TABLES["document"]
+    docs = table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("n_chars")).alias("year"), F.col("source").alias("doc_type"), F.lit(1).alias("fetched_at"))
+    return sinks.lookup(s, written(s, "documents", how, docs), how, F.col("doc_id") % 2 == 0).select("doc_id", "year", "doc_type")
+
+
+def landed(s, d):
+    """The last event of each user up to a time, landed from a stream; late ones go to a dead-letter table."""
+    how, at = sinks.Table(("user_id",), "event_id", buckets=4), shared_folder(s, "landed")
+    stream = stream_of(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    sinks.upsert_stream(stream, f"{at}/table", how, f"{at}/log", f"{at}/checkpoint", f"{at}/dead", F.lit("2024-01-20").cast("timestamp")).awaitTermination()
+    return how, at
+
+
+def landing_log(s, d):
+    how, at = landed(s, d)
+    log = s.read.parquet(f"{at}/log").agg(*[F.sum(c).alias(c) for c in ("rows", "kept", "dead")])
+    return log.join(s.read.parquet(f"{at}/dead").agg(F.count("*").alias("in_dead")), F.lit(True))  # a row each
+
+
+add("SNK_01_upsert_bars", bars_written, f"WITH {BARS} SELECT symbol, ts, round(CASE WHEN year(ts)=1996 THEN close*2 ELSE close END,4) AS close, CASE WHEN year(ts)<>1996 THEN volume END AS volume FROM bars UNION ALL SELECT symbol, ts - INTERVAL 20 YEAR, round(close*2,4), NULL FROM bars WHERE year(ts)=1996 AND month(ts)=2")
+add("SNK_02_upsert_cells", cells_written, f"WITH {STATEMENTS_SQL} SELECT symbol, period_key, 'revenue' AS item, round(CASE WHEN period_key%10=4 THEN revenue*2 ELSE revenue END,4) AS value, CASE WHEN period_key%10=4 THEN 2 ELSE 1 END AS fetched FROM fin")
+add("SNK_03_insert_new", news_written, f"WITH {NEWS} SELECT news_id, symbol, round(CASE WHEN news_id%3=0 THEN value ELSE value+1 END,4) AS value FROM n")
+add("SNK_04_delete", customers_left, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0)")
+add("SS_07_landed", lambda s, d: (lambda how, at: sinks.read(s, f"{at}/table", how).select("user_id", "event_id", F.round("value", 4).alias("value")))(*landed(s, d)), "SELECT user_id, max(event_id) AS event_id, round(max_by(value, event_id), 4) AS value FROM events WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY user_id")
+add("SS_06_dead_letters", landing_log, "SELECT count(*)::BIGINT AS rows, (count(*) FILTER (ts <= TIMESTAMP '2024-01-20'))::BIGINT AS kept, (count(*) FILTER (ts > TIMESTAMP '2024-01-20'))::BIGINT AS dead, count(*) FILTER (ts > TIMESTAMP '2024-01-20') AS in_dead FROM events")
+add("SNK_06_news_of_a_window", lambda s, d: desk.news_window(news(s, d), F.lit("2024-01-25").cast("timestamp_ntz"), 7, ["click", "view"], 150).select("news_id", "symbol"), f"WITH {NEWS} SELECT news_id, symbol FROM n WHERE coalesce(p,f) >= TIMESTAMP '2024-01-25' - INTERVAL 7 DAY AND coalesce(p,f) <= TIMESTAMP '2024-01-25' AND symbol IN ('click','view') ORDER BY coalesce(p,f) DESC, news_id LIMIT 150")
 add("SNK_05_price_range", lambda s, d: desk.price_range(walk_bars(s, d), "ASIA", F.lit("1999-01-01").cast("timestamp_ntz"), F.lit("1999-12-31").cast("timestamp_ntz")), f"WITH {BARS} SELECT * FROM bars WHERE symbol='ASIA' AND ts BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '1999-12-31'")
-add("SNK_07_ordered_lookup", lambda s, d: table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("n_chars")).alias("year"), "source").orderBy(F.desc_nulls_last("year"), "source", "doc_id").limit(50), "SELECT doc_id, CASE WHEN doc_id%5>0 THEN n_chars END AS year, source FROM documents ORDER BY 2 DESC NULLS LAST, source, doc_id LIMIT 50")
+add("SNK_07_ordered_lookup", documents_looked_up, "SELECT doc_id, CASE WHEN doc_id%5>0 THEN n_chars END AS year, source AS doc_type FROM documents WHERE doc_id%2=0")
 add("JN_12_reconcile", lambda s, d: (r := desk.reconcile(*[x.select("symbol", "period_key", "item", "value") for x in late_cells(s, d)[::-1]])).select("symbol", "period_key", "item", F.round("difference", 4).alias("difference")), f"WITH {STATEMENTS_SQL} SELECT symbol, period_key, 'revenue' AS item, 100.0::DOUBLE AS difference FROM fin WHERE period_key%10=4")
 
 
