@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import scoring as sc
@@ -89,3 +91,78 @@ def test_stream_equals_batch(spark, tmp_path):
     q = jobs.land(jobs.first_by_id(stream, "event_id"), str(tmp_path / "out"), str(tmp_path / "log"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40 and spark.read.parquet(str(tmp_path / "log")).agg(F.sum("rows")).first()[0] == 40
+
+
+def test_json_links_of_any_depth(spark):
+    from tidemark.sources.nested import json_links
+
+    deep = '{"a":[1,{"b":{"c":[[{"Title":"T","file":"/x/y.PDF?q=1"}]],"d":{"e":{"f":{"g":{"name":"N","url":"z/w"}}}}}}],"link":"//h/p","zurl":"no slash","none":null}'
+    rows = [(1, deep, "https://s.vn/dir/page?x"), (2, "not json", "https://s.vn"), (3, '[{"url":"u/v","Title":"","Desc":"D"},{"url":5}]', "https://s.vn"), (4, None, "b"), (5, "7", "b")]
+    got = {(r.doc, r.path): (r.title, r.url) for r in json_links(spark.createDataFrame(rows, "doc int, payload string, base string")).collect()}
+    assert got == {
+        (1, "$"): ("", "https://h/p"), (1, "$.a[1].b.c[0][0]"): ("T", "https://s.vn/x/y.PDF?q=1"), (1, "$.a[1].b.d.e.f.g"): ("N", "https://s.vn/dir/z/w"), (3, "$[0]"): ("D", "https://s.vn/u/v"),
+    }
+
+
+def test_providers_in_order(spark, tmp_path):
+    from tidemark.sources import landed
+
+    bars = lambda *c: '{"t":[%s],"o":[],"h":[],"l":[],"c":[%s],"v":[]}' % (",".join(str(86400 * i) for i in range(len(c))), ",".join(map(str, c)))
+    rows = [("bars", "A", " fpt ", bars(1, 2), 1), ("bars", "A", "FPT", bars(3), 2), ("bars", "A", "VNI", "{}", 1), ("bars", "A", "MBB", "broken", 1), ("bars", "A", "VRE", None, 1)]
+    rows += [("bars", "B", s, bars(9, 9, 9), 1) for s in ("FPT", "VN-INDEX", "MBB", "VRE")] + [("statements", "A", "FPT", "[]", 1)]
+    root = str(tmp_path / "landed")
+    landed.land(spark.createDataFrame(rows, "kind string, provider string, symbol string, payload string, fetched_at int"), root)
+    got = {}
+    for r in landed.scan(spark, root, "bars", ["A", "B", "C"]).collect():
+        got.setdefault((r.symbol, r.source), []).append(r.close)
+    assert got == {("FPT", "A"): [3.0], ("VNINDEX", "B"): [9.0] * 3, ("MBB", "B"): [9.0] * 3, ("VRE", "B"): [9.0] * 3}
+    late = landed.prices(spark, root, ["A", "B"], F.lit("1970-01-03").cast("timestamp_ntz"), F.lit("1971-01-01").cast("timestamp_ntz"))
+    assert {(r.symbol, r.source) for r in late.collect()} == {(s, "B") for s in ("FPT", "VNINDEX", "MBB", "VRE")}
+    assert {r.provider: (r.available, r.symbols) for r in landed.health(spark, root, "bars", ["A", "B", "C"]).collect()} == {"A": (True, 1), "B": (True, 4), "C": (False, 0)}
+
+
+def test_sheets(spark, tmp_path):
+    from tidemark.sources import sheets
+
+    cells = spark.createDataFrame([("A", 20243, "eps", 5.0, "x"), ("A", 20241, "revenue", 2e9, "x"), ("A", 20230, "revenue", 1e9, "y"), ("A", 20230, "cogs", None, "y"), ("A", 20230, "other", 1.0, "y")], "symbol string, period_key int, item string, value double, source string")
+    registry = spark.createDataFrame([("revenue", "is", 1, "Revenue", False), ("cogs", "is", 2, "Costs", False), ("eps", "is", 3, "EPS", True)], "item string, statement string, ordinal int, label string, per_unit boolean")
+    got = sheets.sheet(sheets.statement_rows(cells, registry)).orderBy("ordinal")
+    assert got.columns == ["symbol", "statement", "ordinal", "label", "2023", "Q1/2024", "Q3/2024"]
+    assert [tuple(r)[3:] for r in got.collect()] == [("Revenue", 1.0, 2.0, None), ("EPS", None, None, 5.0)]
+    sheets.export(got, str(tmp_path / "csv"), "ordinal")
+    assert [r.label for r in spark.read.option("header", True).csv(str(tmp_path / "csv" / "_by=A")).collect()] == ["Revenue", "EPS"]
+    assert sheets.sheet(sheets.statement_rows(cells.where("false"), registry)).count() == 0
+    assert [tuple(r)[3:] for r in sheets.sources_sheet(cells, registry).orderBy("ordinal").collect()] == [("Revenue", "y", "x", None), ("Costs", "y", None, None), ("EPS", None, None, "x")]
+
+
+def test_fuzzy_lookups(spark):
+    from tidemark.operators import fuzzy
+
+    schema = "symbol string, row int, ids array<string>, period_key int, value double"
+    rows = [("A", 1, ["pe_growth_x", None], 20240, 3.0), ("A", 2, ["P/E"], 20230, 12.0), ("A", 2, ["P/E"], 20240, 0.0), ("A", 3, ["Earnings per share (VND)"], 20240, 5.0), ("A", 4, ["eps_basic"], 20240, None), ("A", 5, ["cap"], 20240, 1.0), ("B", 1, ["type"], 20240, 7.0), ("B", 2, ["xx peers"], 20240, 8.0)]
+    df = spark.createDataFrame(rows, schema)
+    get = lambda *names, **k: {r.symbol: r.value for r in fuzzy.fuzzy_value(df, names, **k).collect()}
+    assert get("pe_ratio", "p/e")["A"] == 3.0  # the first row that starts with it
+    assert get("pe") == {"A": 3.0, "B": 7.0} and get("price earning", "earnings per share") == {"A": 5.0}
+    assert get("eps") == {} and get("capital") == {} and fuzzy.fuzzy_value(df.where("row = 2"), ("pe",), nonzero=False).first().value == 0.0
+    cell = lambda s, r, n, *v: [(s, r, [n], 20220 + 10 * i, x) for i, x in enumerate(v)]
+    make = lambda x: spark.createDataFrame(x, schema)
+    income = make(cell("A", 1, "Doanh thu thuần", 100.0, 120.0) + cell("A", 2, "Lợi nhuận sau thuế", 10.0, 5.0) + cell("A", 3, "Gross profit", 40.0, 50.0))
+    balance = make(cell("A", 1, "Liabilities", 250.0) + cell("A", 2, "Equity", 100.0) + cell("A", 3, "Total assets", 350.0))
+    r = fuzzy.raw_metrics(income, balance, make(cell("A", 1, "ROE (%)", 0.2) + cell("B", 1, "roa", 3.0)), make(cell("A", 1, "CFO", -4.0) + cell("A", 2, "Capex", -6.0))).where("symbol = 'A'").first()
+    assert (r.roe, round(r.roa, 4), r.fcf, r.debt_to_equity, r.warnings) == (20.0, round(5 / 350 * 100, 4), -10.0, 2.5, "profit falls,high debt,cash outflow")
+
+
+def test_strategies_of_users(spark):
+    from tidemark.operators import extend
+
+    bars = spark.createDataFrame([("A", dt.datetime(2024, 1, 1), 3.0), ("A", dt.datetime(2024, 1, 2), 5.0)], "symbol string, ts timestamp_ntz, close double")
+    got = extend.with_strategies(bars, {"high": lambda b: F.when(F.col("close") > 4, 7), "low": lambda b: F.when(F.col("close") < 4, -1).otherwise(0)})
+    assert sorted((r.ts.day, r.strategy, r.signal) for r in got.collect()) == [(1, "high", 0), (1, "low", -1), (2, "high", 1), (2, "low", 0)]
+    for bad in (lambda b: F.lit("buy"), lambda b: F.col("close"), lambda b: 1, lambda b: F.col("missing")):
+        with pytest.raises(Exception):
+            extend.with_strategies(bars, {"bad": bad})
+    extend.register(spark)
+    got.createOrReplaceTempView("signals_here")
+    rows = spark.sql("SELECT strategy, h.* FROM signals_here, LATERAL held(to_date(ts), signal, 2) h ORDER BY ALL").collect()
+    assert [(r[0], r[1].day, r[2]) for r in rows] == [("high", 2, 1), ("high", 3, 0), ("low", 1, 1), ("low", 2, 0)]

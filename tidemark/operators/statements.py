@@ -186,9 +186,11 @@ def align(years: DataFrame, quarters: DataFrame) -> DataFrame:
     return both.select("symbol", "period_key", "item", F.coalesce("value", "q").alias("value"))
 
 
-def as_quarters(years: DataFrame) -> DataFrame:
-    """A year's balances as those of its fourth quarter."""
-    return years.withColumn("period_key", F.col("period_key") + 4)
+def align_quarters(quarters: DataFrame, years: DataFrame) -> DataFrame:
+    """Cells (symbol, period_key, item, value) of quarters; balances of fourth quarters that are null or absent are those of the year. Only balances are to be given: flows of a year are no quarter's."""
+    q = quarters.where("period_key % 10 > 0")
+    y = years.where("period_key % 10 = 0").select("symbol", (F.col("period_key") + 4).alias("period_key"), "item", F.col("value").alias("y"))
+    return q.join(y, ["symbol", "period_key", "item"], "full").select("symbol", "period_key", "item", F.coalesce("value", "y").alias("value"))
 
 
 def dupont(r: DataFrame) -> DataFrame:

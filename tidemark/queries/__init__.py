@@ -1,9 +1,9 @@
 """Queries of the analytics engine over the driver's tables, with their SQL."""
 
-from tidemark.queries import books, desk, ingest, market, merges, ratios, streams, texts
+from tidemark.queries import books, desk, ingest, market, merges, ratios, raw, streams, texts
 
-QUERIES = {**market.QUERIES, **books.QUERIES, **desk.QUERIES, **ingest.QUERIES, **merges.QUERIES, **ratios.QUERIES, **streams.QUERIES, **texts.QUERIES}
-ORACLE = {**market.ORACLE, **books.ORACLE, **desk.ORACLE, **ingest.ORACLE, **merges.ORACLE, **ratios.ORACLE, **streams.ORACLE, **texts.ORACLE}
+QUERIES = {**market.QUERIES, **books.QUERIES, **desk.QUERIES, **ingest.QUERIES, **merges.QUERIES, **ratios.QUERIES, **raw.QUERIES, **streams.QUERIES, **texts.QUERIES}
+ORACLE = {**market.ORACLE, **books.ORACLE, **desk.ORACLE, **ingest.ORACLE, **merges.ORACLE, **ratios.ORACLE, **raw.ORACLE, **streams.ORACLE, **texts.ORACLE}
 
 
 def flagship(spark, sf_dir):
