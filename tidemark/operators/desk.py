@@ -64,16 +64,18 @@ def as_percent(x: Column) -> Column:
 def compare(bars: DataFrame) -> DataFrame:
     """(symbol, ts, rebased): closes of all symbols on their common calendar, gaps filled with the last close, from the day on which all have begun, the first as 100.
 
-    The calendar is the days of all bars; each symbol gets a row a day by a join on days it lacks, so that no pivot by symbol is needed.
+    The calendar is the days of all bars. A bar stands for the days up to the symbol's next one, so gaps are filled bar by bar and no symbol meets the whole calendar.
     """
-    begun = bars.groupBy("symbol").agg(F.min("ts").alias("begin"))
-    start = begun.agg(F.max("begin").alias("start"))  # one row
-    days = bars.select("ts").distinct().join(F.broadcast(start), F.col("ts") >= F.col("start")).select("ts")
-    old = latest(bars.join(F.broadcast(start), F.col("ts") <= F.col("start"))).select("symbol", F.col("start").alias("ts"), "close")
-    grid = begun.select("symbol", F.lit(1).alias("one")).join(days.withColumn("one", F.lit(1)), "one").select("symbol", "ts")
-    have = bars.select("symbol", "ts", "close").unionByName(old).groupBy("symbol", "ts").agg(F.max("close").alias("close"))
-    filled = grid.join(have, ["symbol", "ts"], "left").withColumn("close", F.last("close", ignorenulls=True).over(by_ts().rowsBetween(Window.unboundedPreceding, 0)))
-    return filled.select("symbol", "ts", (F.col("close") / F.first("close").over(by_ts()) * 100).alias("rebased"))
+    c = F.col
+    begun = bars.groupBy("symbol").agg(F.min("ts").alias("begin"), F.max("ts").alias("end"))
+    span = begun.agg(F.max("begin").alias("start"), F.max("end").alias("end"))  # one row
+    known = bars.select("symbol", "ts", "close").join(F.broadcast(span), F.lit(True)).withColumn("at", F.greatest("ts", "start"))
+    known = known.groupBy("symbol", "at", "end").agg(F.max_by("close", "ts").alias("close"))  # of the bars before the start the last one counts
+    until = F.coalesce(F.date_sub(F.lead("at").over(Window.partitionBy("symbol").orderBy("at")), 1), F.to_date("end"))
+    filled = known.withColumn("until", until).select("symbol", "close", F.explode(F.sequence(F.to_date("at"), "until")).alias("day"))
+    days = bars.select("ts", F.to_date("ts").alias("day")).distinct()
+    filled = filled.join(days, "day").select("symbol", "ts", "close")
+    return filled.select("symbol", "ts", (c("close") / F.first("close").over(by_ts()) * 100).alias("rebased"))
 
 
 def report_returns(bars: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.technical import by_symbol, by_ts, last, ratio
+from tidemark.plans.store import kept
 
 
 def latest(df: DataFrame) -> DataFrame:
@@ -114,8 +115,10 @@ def composite_rank(df: DataFrame, weights: dict[str, float], ranges: int = 256)
     """score: weighted mean of percentile ranks with average ties, 0 to 100; a null criterion scores 0 with its full weight.
 
     Each criterion is ranked from counts by value. Values fall into ranges cut at approximate quantiles, are numbered within their range and
-    take the counts of the ranges before; only the ranges' counts, as many rows as there are ranges, meet in one place.
+    take the counts of the ranges before; only the ranges' counts, as many rows as there are ranges, meet in one place. df, a row a symbol, is
+    read several times for each criterion, so it is written once first.
     """
+    df = kept(df, "ranked")
     value = {c: F.when(F.col(c) > 0, F.col(c)) if c in MULTIPLES else F.col(c) for c in weights}
     parts = [i / ranges for i in range(1, ranges)]
     cuts = df.agg(*[F.percentile_approx(v.cast("double"), parts, 20 * ranges).alias(c) for c, v in value.items()]).first()

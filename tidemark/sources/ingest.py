@@ -105,16 +105,18 @@ def match_items(rows: DataFrame, rules: DataFrame) -> DataFrame:
     order of `ordinal`. A label rule looks for labels that start with its pattern before those that hold it, with or without accents; labels that hold one of
     `excluded` are passed over. Rules are a registry of a few hundred rows and broadcast.
     """
-    plain = lambda c: strip_accents(c)
-    lab = F.when(F.col("tier") == 1, norm_label(F.col("label"))).otherwise(norm_label(F.col("label_en")))
-    both = rows.join(F.broadcast(rules), F.col("tier").isin(0, 1, 2)).withColumns({"lab": lab, "p": F.lower("pattern")})
-    veto = F.exists(F.col("excluded"), lambda e: F.contains(F.col("lab"), e) | F.contains(plain(F.col("lab")), plain(e)))
-    starts = F.startswith(F.col("lab"), F.col("p")) | F.startswith(plain(F.col("lab")), plain(F.col("p")))
-    holds = F.contains(F.col("lab"), F.col("p")) | F.contains(plain(F.col("lab")), plain(F.col("p")))
-    by_label = F.when((F.col("lab") != "") & ~veto, F.when(starts, 0).when(holds, 1))
-    mode = F.when(F.col("tier") == 0, F.when(F.lower("item_id") == F.col("p"), 0)).otherwise(by_label)
-    hits = both.withColumn("mode", mode).where("mode is not null")
-    return hits.groupBy("symbol", "item").agg(F.min(F.struct("tier", "ordinal", "mode", "row")).alias("best")).select("symbol", "item", "best.row")
+    c = F.col
+    rows = rows.withColumns({"lab1": norm_label(c("label")), "lab2": norm_label(c("label_en"))})
+    rows = rows.select("symbol", "row", F.lower("item_id").alias("id"), F.array(*[F.struct(F.lit(t).alias("tier"), c(f"lab{t}").alias("lab"), strip_accents(c(f"lab{t}")).alias("plain")) for t in (1, 2)]).alias("labels"))
+    rules = rules.select("item", "tier", "ordinal", F.lower("pattern").alias("p"), strip_accents(F.lower("pattern")).alias("pp"), F.concat("excluded", F.transform("excluded", strip_accents)).alias("veto"))
+    by_id = rows.where("id is not null").join(F.broadcast(rules.where("tier = 0").withColumnRenamed("p", "id")), "id").select("symbol", "item", "tier", "ordinal", F.lit(0).alias("mode"), "row")
+    # what a label holds is no key: labels, made plain once, meet the rules of their tier
+    said = rows.select("symbol", "row", F.inline("labels")).where("lab <> ''")
+    holds = F.contains("lab", c("p")) | F.contains("plain", c("pp"))
+    hits = said.join(F.broadcast(rules.where("tier in (1, 2)")), ["tier"]).where(holds & ~F.exists("veto", lambda e: F.contains("lab", e) | F.contains("plain", e)))
+    by_label = hits.select("symbol", "item", "tier", "ordinal", F.when(F.startswith("lab", c("p")) | F.startswith("plain", c("pp")), 0).otherwise(1).alias("mode"), "row")
+    best = by_id.unionByName(by_label).groupBy("symbol", "item").agg(F.min(F.struct("tier", "ordinal", "mode", "row")).alias("best"))
+    return best.select("symbol", "item", "best.row")
 
 
 def unit_of_labels(rows: DataFrame, billions: list[str], millions: list[str]) -> DataFrame:
