@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import backtest as bt, desk, performance as px, scoring as sc, technical as ta
 from tidemark.plans.bars import STATEMENTS_SQL, bars_sql, statements, table, walk_bars
 from tidemark.queries.market import BARS, FOLD, NATION_BARS, SNAP, STEPS, w
-from tidemark.queries.merges import METRICS, MOM_PARTS, case, metrics, share_sql
+from tidemark.queries.merges import FUND_PARTS, METRICS, MOM_PARTS, RISK, RISK_PARTS, VAL_PARTS, case, metrics, share_sql, valued
 
 from tidemark.plans.store import shared_folder
 from tidemark.sources import sinks
@@ -236,16 +236,44 @@ add("VA_01_06_resolved_multiples", lambda s, d: desk.resolved_multiples(quoted(s
  y AS (SELECT *, coalesce(eg, ep, round_even(price/pp,1), CASE WHEN ni>0 THEN round_even(ni/sh,1) END) AS eps, coalesce(bg, bp, round_even(price/bb,1), round_even(eq/sh,1)) AS bvps FROM x) SELECT k AS c_custkey, eps, bvps, round(coalesce(round_even(price/eg,2), pp, CASE WHEN eps>0 THEN round_even(price/eps,2) END)/1000,3) AS pe_thousands, round(coalesce(round_even(price/bg,2), bb, CASE WHEN bvps>0 THEN round_even(price/bvps,2) END)/1000,3) AS pb_thousands FROM y""")
 
 
-def momentum_inputs(s, d):
-    bars = walk_bars(s, d)
-    strength = px.relative_strength(bars, bars.where("symbol = 'ASIA'")).select("symbol", "difference")
+def momentum_inputs(s, d, by="r_name", index="ASIA"):
+    bars = walk_bars(s, d, by)
+    strength = px.relative_strength(bars, bars.where(F.col("symbol") == index)).select("symbol", "difference")
     rsi = px.latest(ta.exponential(bars, ("rsi",))).select("symbol", "rsi")
     return px.bar_returns(bars, STEPS).join(strength, "symbol", "left").join(rsi, "symbol", "left")
 
 
 RSI_MOM = "CASE WHEN rsi IS NULL THEN NULL WHEN rsi BETWEEN 50 AND 70 THEN 15 WHEN (rsi>=40 AND rsi<50) OR (rsi>70 AND rsi<=80) THEN 8 WHEN rsi>80 OR rsi<30 THEN 2 ELSE 5 END"
+def momentum_sql(head, index):
+    return f"{head}, mo AS (SELECT symbol, {', '.join(f'(close/nullif(lag(close,{n}) OVER (PARTITION BY symbol ORDER BY ts),0)-1)*100 AS {k}' for k, n in STEPS.items())} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), ix AS (SELECT ts, close AS mk FROM bars WHERE symbol = '{index}'), j AS (SELECT b.symbol, ts, b.close, mk, row_number() OVER (PARTITION BY b.symbol ORDER BY ts DESC) AS k FROM bars b JOIN ix USING (ts)), rs AS (SELECT symbol, (max_by(close,ts)/min_by(close,ts)-max_by(mk,ts)/min_by(mk,ts))*100 AS difference FROM j WHERE k <= 60 GROUP BY symbol), lr AS (SELECT symbol, rsi FROM al QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1) SELECT symbol, round(rsi,4) AS rsi, {share_sql([*MOM_PARTS, (RSI_MOM, 15)])[0]} AS momentum_score FROM mo LEFT JOIN rs USING (symbol) LEFT JOIN lr USING (symbol)"
+
+
 add("SC_02_momentum_score_with_rsi", lambda s, d: sc.momentum_score(momentum_inputs(s, d)).select("symbol", F.round("rsi", 4).alias("rsi"), "momentum_score"),
-    f"{IND}, mo AS (SELECT symbol, {', '.join(f'(close/nullif(lag(close,{n}) OVER (PARTITION BY symbol ORDER BY ts),0)-1)*100 AS {k}' for k, n in STEPS.items())} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), ix AS (SELECT ts, close AS mk FROM bars WHERE symbol = 'ASIA'), j AS (SELECT b.symbol, ts, b.close, mk, row_number() OVER (PARTITION BY b.symbol ORDER BY ts DESC) AS k FROM bars b JOIN ix USING (ts)), rs AS (SELECT symbol, (max_by(close,ts)/min_by(close,ts)-max_by(mk,ts)/min_by(mk,ts))*100 AS difference FROM j WHERE k <= 60 GROUP BY symbol), lr AS (SELECT symbol, rsi FROM al QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1) SELECT symbol, round(rsi,4) AS rsi, {share_sql([*MOM_PARTS, (RSI_MOM, 15)])[0]} AS momentum_score FROM mo LEFT JOIN rs USING (symbol) LEFT JOIN lr USING (symbol)")
+    momentum_sql(IND, "ASIA"))
+
+
+# all five groups of scores, and risk with beta, of nations; the first nation is their index
+MARKET = "NATION_1"
+
+
+def all_scores(s, d):
+    bars = nations(s, d)
+    beta = px.beta(bars, bars.where(F.col("symbol") == MARKET)).select("symbol", "beta")
+    df = valued(s, d).join(px.risk(bars).select("symbol", "volatility", "max_drawdown"), "symbol", "left").join(beta, "symbol", "left")
+    technical = sc.technical_score(px.latest(ta.all_indicators(bars))).select("symbol", "technical_score")
+    momentum = sc.momentum_score(momentum_inputs(s, d, "n_name", MARKET)).select("symbol", "momentum_score")
+    return sc.valuation_score(sc.fundamental_score(sc.risk_score(df))).join(technical, "symbol", "left").join(momentum, "symbol", "left")
+
+
+BETA_SQL = f"WITH {NATION_BARS}, a AS (SELECT symbol, ts, close/lag(close) OVER (PARTITION BY symbol ORDER BY ts)-1 AS ret FROM bars), m AS (SELECT ts, ret AS mk FROM a WHERE symbol = '{MARKET}') SELECT symbol, CASE WHEN count(*)>=60 AND var_samp(mk)<>0 THEN covar_samp(ret,mk)/var_samp(mk) END AS beta FROM a JOIN m USING(ts) WHERE ret IS NOT NULL AND mk IS NOT NULL GROUP BY symbol"
+BETA_PART = ("CASE WHEN beta IS NULL THEN NULL WHEN beta BETWEEN 0.5 AND 1.2 THEN 20 WHEN beta<0.5 THEN 15 WHEN beta<=1.5 THEN 12 ELSE 5 END", 20)
+WHOLE_RISK = [*RISK_PARTS[:2], BETA_PART, RISK_PARTS[2]]
+GROUPS = f"""{METRICS}{RISK}, be AS ({BETA_SQL}), te AS ({ORACLE["SC_01_technical_score"]}), mm AS ({momentum_sql(NATION_IND, MARKET)}), sx AS (SELECT symbol, {share_sql(WHOLE_RISK)[0]} AS risk_score, {share_sql(WHOLE_RISK)[1]} AS risk_coverage, beta, {share_sql(FUND_PARTS)[0]} AS fundamental_score, {share_sql(VAL_PARTS)[0]} AS valuation_score, technical_score, momentum_score
+ FROM v LEFT JOIN rk USING (symbol) LEFT JOIN be USING (symbol) LEFT JOIN te USING (symbol) LEFT JOIN mm USING (symbol))"""
+add("SC_05_risk_with_beta", lambda s, d: all_scores(s, d).select("symbol", F.round("beta", 4).alias("beta"), "risk_score", "risk_coverage"), f"{GROUPS} SELECT symbol, round(beta, 4) AS beta, risk_score, risk_coverage FROM sx")
+SHARES = ", ".join(f"({g}_score, {w})" for g, w in sc.WEIGHTS.items())
+add("SC_08_composite_of_all", lambda s, d: sc.composite_score(all_scores(s, d)).select("symbol", "technical_score", "momentum_score", "score", "coverage", "category"),
+    f"{GROUPS}, h AS (SELECT symbol, technical_score, momentum_score, (SELECT round_even(sum(x*w)/nullif(sum(w), 0), 0) FROM (VALUES {SHARES}) t(x, w) WHERE x IS NOT NULL) AS score, (SELECT coalesce(sum(w), 0)::DOUBLE FROM (VALUES {SHARES}) t(x, w) WHERE x IS NOT NULL) AS coverage FROM sx) SELECT *, CASE WHEN score IS NULL THEN NULL WHEN score>=80 THEN 'outstanding' WHEN score>=65 THEN 'positive' WHEN score>=50 THEN 'neutral' WHEN score>=35 THEN 'cautious' ELSE 'high risk' END AS category FROM h")
 ORACLE["BT_02_rsi_equity"] = f"""{IND}, sg AS (SELECT symbol, rn, ts, open, close, lag(CASE WHEN rsi<30 THEN 1 WHEN rsi>70 THEN -1 ELSE 0 END,1,0) OVER (PARTITION BY symbol ORDER BY ts) AS act FROM al),
 fo AS (SELECT symbol, rn, ts, 1e8::DOUBLE AS cash, 0::BIGINT AS held, close FROM sg WHERE rn=1
  UNION ALL SELECT symbol, rn, ts, CASE WHEN q>0 THEN cash - q*bp*(1+0.0015::DOUBLE) WHEN out THEN cash + held*(open*(1-0.001::DOUBLE))*(1-0.0015::DOUBLE) ELSE cash END, CASE WHEN q>0 THEN q WHEN out THEN 0 ELSE held END, close
