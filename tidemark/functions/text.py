@@ -80,6 +80,7 @@ def short_id(*parts: Column, n: int = 20) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, n)
 
 
+#: The patterns of document_class() are fixed values.
 def document_class(title: Column, url: Column, year: Column) -> dict[str, Column]:
     """doc_type, year (the latest named that is not after `year`), quarter, consolidated and period_key of a document by its title and address."""
     t = F.regexp_replace(strip_accents(F.lower(F.concat_ws(" ", title, url))), "[_-]", " ")
@@ -114,14 +115,43 @@ def unit_of(text: Column, units: dict[str, float]) -> Column:
     return out
 
 
+#: Fixed value: endings of documents.
+ENDINGS = (".pdf", ".zip", ".rar", ".doc", ".docx", ".xls", ".xlsx")
+
+
+def absolute(href: Column, base: Column) -> Column:
+    """An address as seen from a page: whole, without a scheme, from the site's root, or beside the page; dots are left as they are."""
+    site, scheme = F.regexp_extract(base, r"^(\w+://[^/?#]+)", 1), F.regexp_extract(base, r"^(\w+:)//", 1)
+    beside = F.regexp_extract(base, r"^(\w+://[^?#]*/)[^/?#]*", 1)
+    beside = F.when(F.length(beside) > F.length(site), beside).otherwise(F.concat(site, F.lit("/")))
+    return F.when(href.rlike(r"^\w+:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(beside, href))
+
+
+#: An address in double, single or no quotes.
+_HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+
+
 def links(html: Column, base: Column) -> Column:
-    """Titles and absolute addresses of the anchors of a page, as an array of structs."""
-    found = F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>.*?</a>'), 0)
+    """Titles and absolute addresses of the anchors of a page, as an array of structs; an anchor without text goes by its title attribute."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), 0)
 
     def one(a):
-        href = F.regexp_extract(a, r'(?is)href="([^"]*)"', 1)
-        site = F.regexp_extract(base, r"^(https?://[^/]+)", 1)
-        whole = F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(site, F.lit("/"), href))
-        return F.struct(strip_tags(a).alias("title"), whole.alias("url"))
+        tag = F.regexp_extract(a, r"(?is)^<a\s[^>]*>", 0)
+        href = F.trim(F.concat(*[F.regexp_extract(tag, _HREF, k) for k in (1, 2, 3)]))
+        title = F.coalesce(F.nullif(strip_tags(a), F.lit("")), F.regexp_extract(tag, r"(?is)\stitle\s*=\s*[\"']([^\"']*)", 1))
+        return F.struct(title.alias("title"), absolute(href, base).alias("url"), tag.rlike(_HREF).alias("has"))
+
+    return F.transform(F.filter(F.transform(found, one), lambda x: x["has"]), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url")))
+
+
+def document_links(html: Column, base: Column) -> Column:
+    """The links of a page that lead to documents: by their ending, or a path that says so. A link without a title goes by the last part of its path."""
+
+    def path(x):
+        return F.regexp_extract(x["url"], r"^\w+://[^/?#]*([^?#]*)", 1)
+
+    def leads(x):
+        low = F.lower(path(x))
+        return low.rlike("(" + "|".join(e.replace(".", r"\.") for e in ENDINGS) + ")$") | F.contains(low, F.lit("download")) | (F.contains(low, F.lit("file")) & F.contains(F.substring_index(low, "/", -1), F.lit(".")))
 
-    return F.transform(found, one)
+    return F.transform(F.filter(links(html, base), leads), lambda x: F.struct(F.coalesce(F.nullif(x["title"], F.lit("")), F.regexp_extract(path(x), "([^/]*)/*$", 1)).alias("title"), x["url"].alias("url")))

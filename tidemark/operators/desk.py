@@ -171,8 +171,16 @@ def resolved_multiples(df: DataFrame) -> DataFrame:
     return d.withColumns({"pe": ways("eps_given", "pe_provider", "eps"), "pb": ways("bvps_given", "pb_provider", "bvps")})
 
 
-def recommendation(score: Column) -> Column:
-    return F.when(score.isNull(), None).when(score >= 80, "strong buy").when(score >= 65, "buy").when(score >= 50, "hold").when(score >= 35, "reduce").otherwise("sell")
+def recommendation(score: Column, upside: Column | None = None) -> Column:
+    """Advice by a total score; the strongest only without a known upside, or with one above 0."""
+    rises = F.lit(True) if upside is None else F.coalesce(upside > 0, F.lit(True))
+    return F.when(score.isNull(), None).when((score >= 80) & rises, "strong buy").when(score >= 65, "buy").when(score >= 50, "hold").when(score >= 35, "reduce").otherwise("sell")
+
+
+def component_rows(df: DataFrame, parts: dict[str, tuple[str, float]]) -> DataFrame:
+    """(symbol, component, points, most, passed): a row for each part that has points, passed with half of them; parts has a column and the most points by name."""
+    rows = F.array(*[F.struct(F.lit(n).alias("component"), F.col(c).cast("double").alias("points"), F.lit(float(m)).alias("most")) for n, (c, m) in parts.items()])
+    return df.select("symbol", F.inline(rows)).where("points is not null").withColumn("passed", F.try_divide("points", "most") >= 0.5)
 
 
 def level(score: Column) -> Column:

@@ -172,6 +172,12 @@ def table_by_period(r: DataFrame, columns: list[str], last: int = 6) -> DataFram
     return long.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= last)
 
 
+def ratio_rows(r: DataFrame, meta: DataFrame, last: int = 6) -> DataFrame:
+    """table_by_period() with what meta (item, ordinal, group, label, format) says of each ratio, in its order; ratios that it lacks are left out. meta is a few dozen rows."""
+    items = [c for c in r.columns if c not in ("symbol", "period_key")]
+    return table_by_period(r, items, last).join(F.broadcast(meta), "item").select("symbol", "ordinal", "group", "label", "format", "item", "period_key", "rank", "value")
+
+
 def trim(wide: DataFrame, years: int) -> DataFrame:
     """The last rows of each symbol: so many years, or four times as many quarters."""
     quarter = F.avg((F.col("period_key") % 10 > 0).cast("int")).over(Window.partitionBy("symbol")) > 0.5

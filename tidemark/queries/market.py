@@ -150,6 +150,14 @@ e AS (SELECT symbol, rn, ts, 1e8::DOUBLE AS cash, 0::BIGINT AS held, close FROM
  FROM (SELECT b.symbol, b.rn, b.ts, b.open, b.close, e.cash, e.held, b.open*(1+0.001::DOUBLE) AS bp, CASE WHEN b.act=1 AND e.held=0 THEN (floor(e.cash*0.95::DOUBLE/(b.open*(1+0.001::DOUBLE))/100)*100)::BIGINT ELSE 0 END AS q, b.act=-1 AND e.held>0 AS out FROM e JOIN b ON b.symbol=e.symbol AND b.rn=e.rn+1))"""
 add("BT_04_equity", lambda s, d: bt.equity(bt.ma_cross(walk_bars(s, d))).select("symbol", "ts", F.round("equity", 2).alias("equity"), "shares"), f"{FOLD} SELECT symbol, ts, round(cash+held*close,2) AS equity, held AS shares FROM e")
 add("BT_05_metrics", lambda s, d: (m := bt.metrics(bt.equity(bt.ma_cross(walk_bars(s, d))))).select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes]))
+ORACLE["BT_05_metrics"] = f"""WITH RECURSIVE {BARS}, {SIGNAL}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count(*) OVER (PARTITION BY symbol) AS n, lag(signal,1,0) OVER (PARTITION BY symbol ORDER BY ts) AS act FROM s2),
+e AS (SELECT symbol, rn, n, ts, 1e8::DOUBLE AS cash, 0::BIGINT AS held, 0::DOUBLE AS cost, NULL::DOUBLE AS pnl, close FROM b WHERE rn=1
+ UNION ALL SELECT symbol, rn, n, ts, CASE WHEN q>0 THEN cash - q*bp*(1+0.0015::DOUBLE) WHEN out THEN cash + got ELSE cash END, CASE WHEN q>0 THEN q WHEN out THEN 0 ELSE held END, CASE WHEN q>0 THEN q*bp*(1+0.0015::DOUBLE) ELSE cost END, CASE WHEN out THEN got - cost END, close
+ FROM (SELECT b.symbol, b.rn, b.n, b.ts, b.close, e.cash, e.held, e.cost, b.open*(1+0.001::DOUBLE) AS bp, e.held*(b.open*(1-0.001::DOUBLE))*(1-0.0015::DOUBLE) AS got, CASE WHEN b.act=1 AND e.held=0 THEN (floor(e.cash*0.95::DOUBLE/(b.open*(1+0.001::DOUBLE))/100)*100)::BIGINT ELSE 0 END AS q, b.act=-1 AND e.held>0 AS out FROM e JOIN b ON b.symbol=e.symbol AND b.rn=e.rn+1)),
+f AS (SELECT symbol, ts, cash+held*close AS eq, CASE WHEN rn=n AND held>0 THEN held*close*(1-0.0015::DOUBLE)-cost ELSE pnl END AS pnl FROM e), g AS (SELECT *, eq/lag(eq) OVER (PARTITION BY symbol ORDER BY ts)-1 AS ret, max(eq) OVER (PARTITION BY symbol ORDER BY ts) AS pk FROM f),
+h AS (SELECT symbol, max_by(eq, ts) AS final, date_diff('day', min(ts), max(ts)) AS days, min(eq/pk-1) AS mdd, stddev_samp(ret)*sqrt(252.0::DOUBLE) AS vol, count(pnl) AS trades, count(*) FILTER (pnl>0) AS wins, coalesce(sum(pnl) FILTER (pnl>0),0) AS won, coalesce(sum(-pnl) FILTER (pnl<=0),0) AS lost FROM g GROUP BY symbol),
+k AS (SELECT *, CASE WHEN days>0 THEN pow(final/1e8::DOUBLE, 365.0::DOUBLE/days)-1 END AS growth FROM h)
+SELECT symbol, round((final/1e8-1)*100,4) AS total_return, round(growth*100,4) AS cagr, round(mdd*100,4) AS max_drawdown, round(vol*100,4) AS volatility, round((growth-0.04::DOUBLE)/nullif(vol,0),4) AS sharpe, trades, round(wins*100.0::DOUBLE/nullif(trades,0),4) AS win_rate, CASE WHEN lost>0 THEN round(won/lost,4) WHEN won>0 THEN 'inf'::DOUBLE END AS profit_factor FROM k"""
 add("BT_02_rsi_equity", lambda s, d: bt.equity(bt.rsi_reversion(ta.exponential(walk_bars(s, d), ("rsi",)))).select("symbol", "ts", F.round("equity", 2).alias("equity"), "shares"))
 add("BT_06_buy_and_hold", lambda s, d: bt.buy_and_hold(walk_bars(s, d)).select("symbol", F.round("total_return", 4).alias("total_return"), F.round("max_drawdown", 4).alias("max_drawdown")),
     f"WITH {BARS}, a AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY ts) AS pk FROM bars) SELECT symbol, round((max_by(close,ts)/min_by(close,ts)-1)*100,4) AS total_return, round(min(close/pk-1)*100,4) AS max_drawdown FROM a GROUP BY symbol")

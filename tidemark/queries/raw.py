@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import extend, fuzzy, statements as fr, technical as ta
+from tidemark.functions import text as tx
+from tidemark.operators import desk, extend, fuzzy, statements as fr, technical as ta
 from tidemark.plans.bars import STATEMENTS_SQL, statements, table, walk_bars
 from tidemark.plans.store import shared_folder
-from tidemark.queries.books import YEARS, yearly
+from tidemark.queries.books import PREPARED, RATIOS, YEARS, yearly
 from tidemark.queries.market import BARS
 from tidemark.queries.merges import payloads
-from tidemark.sources import landed, nested, sheets
+from tidemark.sources import ingest, landed, merge, nested, sheets
 
 QUERIES, ORACLE = {}, {}
 
@@ -137,3 +138,48 @@ def spread(s, d):
 
 
 add("EX_02_held_signals", spread, f"WITH {BARS}, k AS (SELECT unnest(range(3)) AS k) SELECT symbol, (ts::DATE + k::INT) AS day, (2 - k)::INT AS \"left\" FROM bars, k WHERE volume > 90")
+
+
+def with_documents(s, d):
+    """Pages with anchors of their own: quotes of both kinds and none, tags within, one without a text, and one that leads to no document."""
+    more = """<a class=x href='files/r.pdf'><b>Yearly</b> report</a><A title="Got" HREF="/download/9"></A><a href=//cdn.example/File/x.bin?y=1>F</a><a href="/files/none.zip"></a><a href="/plain">no</a><a name="x">anchor</a>"""
+    return table(s, d, "pages").select("page_id", F.inline(tx.document_links(F.concat("html", F.lit(more)), F.col("url"))))
+
+
+add("SRC_10_document_links", with_documents,
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '^(\w+://[^/?#]+)', 1) AS site, regexp_extract(url, '^(\w+://[^?#]*/)', 1) AS dir, regexp_extract(url, '^(\w+:)', 1) AS scheme FROM pages)
+ SELECT page_id, 'Yearly report' AS title, dir || 'files/r.pdf' AS url FROM p UNION ALL SELECT page_id, 'Got', site || '/download/9' FROM p UNION ALL SELECT page_id, 'F', scheme || '//cdn.example/File/x.bin?y=1' FROM p UNION ALL SELECT page_id, 'none.zip', site || '/files/none.zip' FROM p""")
+
+
+def two_sources(s, d):
+    """Bars of 1998 to 2001 from two sources: the near one lacks ASIA, the far one has EUROPE at half the level."""
+    b = walk_bars(s, d)
+    level = F.when(F.col("symbol") == "EUROPE", 0.5).otherwise(1.0)
+    far = b.select("symbol", "ts", *[(F.col(c) * level).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    return merge.hybrid(b.where("symbol <> 'ASIA'"), far, "1998-03-01", "2001-03-01")
+
+
+HYBRID = f"WITH {BARS} SELECT symbol, ts, round(close, 4) AS close, symbol = 'EUROPE' AND ts < TIMESTAMP '2000-03-01' AS adjusted FROM bars WHERE ts BETWEEN TIMESTAMP '1998-03-01' AND TIMESTAMP '2001-03-01' + CASE WHEN symbol = 'ASIA' THEN INTERVAL 0 DAY ELSE INTERVAL 1 DAY END"
+add("SRC_13_hybrid", lambda s, d: two_sources(s, d).select("symbol", "ts", F.round("close", 4).alias("close"), "adjusted"), HYBRID)
+META = (("roe", 1, "returns", "Return on equity", "%"), ("net_margin", 2, "margins", "Net margin", "%"), ("current_ratio", 3, "liquidity", "Current ratio", "x"))
+META_SQL = ", ".join(f"('{i}', {o}, '{g}', '{label}', '{f}')" for i, o, g, label, f in META)
+add("FR_15_ratio_rows", lambda s, d: fr.ratio_rows(fr.ratios(statements(s, d)), s.createDataFrame(list(META), "item string, ordinal int, group string, label string, format string")).withColumn("value", F.round("value", 3)),
+    f"{PREPARED}, r AS (SELECT symbol, period_key, {', '.join(f'{RATIOS[x[0]]} AS {x[0]}' for x in META)}, {', '.join(f'{v} AS z_{k}' for k, v in RATIOS.items() if k not in {x[0] for x in META})} FROM p), any_ AS (SELECT DISTINCT symbol, period_key FROM (SELECT * FROM r) UNPIVOT (v FOR i IN ({', '.join([x[0] for x in META] + ['z_' + k for k in RATIOS if k not in {x[0] for x in META}])}))), k AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY period_key DESC)::INT AS rank FROM any_), u AS (SELECT * FROM (SELECT symbol, period_key, {', '.join(x[0] for x in META)} FROM r) UNPIVOT (value FOR item IN ({', '.join(x[0] for x in META)})))"
+    f" SELECT symbol, ordinal, \"group\", label, format, item, period_key, rank, round(value, 3) AS value FROM u JOIN k USING (symbol, period_key) JOIN (VALUES {META_SQL}) m(item, ordinal, \"group\", label, format) USING (item) WHERE rank <= 6")
+GROUP_PARTS = {"points of balance": ("c_acctbal", 9000.0), "points of key": ("key", 100.0)}
+add("SC_09_components", lambda s, d: desk.component_rows(table(s, d, "customer").select(F.col("c_name").alias("symbol"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"), (F.col("c_custkey") % 100).alias("key")), GROUP_PARTS),
+    "SELECT c_name AS symbol, 'points of balance' AS component, c_acctbal AS points, 9000.0::DOUBLE AS most, c_acctbal / 9000 >= 0.5 AS passed FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_name, 'points of key', (c_custkey % 100)::DOUBLE, 100.0::DOUBLE, c_custkey % 100 >= 50 FROM customer")
+add("SC_09_advice_with_upside", lambda s, d: table(s, d, "customer").select("c_custkey", desk.recommendation(F.col("c_custkey") % 101, F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal"))).alias("advice")),
+    "SELECT c_custkey, CASE WHEN c_custkey % 101 >= 80 AND (c_custkey % 3 = 0 OR c_acctbal > 0) THEN 'strong buy' WHEN c_custkey % 101 >= 65 THEN 'buy' WHEN c_custkey % 101 >= 50 THEN 'hold' WHEN c_custkey % 101 >= 35 THEN 'reduce' ELSE 'sell' END AS advice FROM customer")
+add("AG_08_sources_of_languages", lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), F.count("*").alias("n")), "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) AS n FROM documents GROUP BY lang")
+
+
+def options(s, d):
+    label = ingest.symbol_label(F.upper("c_name"), F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("Company of the customer with number "), F.col("c_custkey").cast("string"))), exchange=F.when(F.col("c_custkey") % 2 > 0, F.lit("HSX")))
+    o = table(s, d, "customer").select(label.alias("option"), F.col("c_custkey").alias("ordinal"))
+    return ingest.find_option(table(s, d, "customer").where("c_custkey % 5 = 0").select(F.lower("c_name").alias("symbol")), o)
+
+
+add("PR_16_find_option", options, "SELECT upper(c_name) AS symbol, upper(c_name) || CASE WHEN c_custkey % 3 > 0 THEN ' - ' || left('Company of the customer with number ' || c_custkey, 30) || '...' ELSE '' END || CASE WHEN c_custkey % 2 > 0 THEN ' (HSX)' ELSE '' END AS option FROM customer WHERE c_custkey % 5 = 0")
+add("PR_03_money_text", lambda s, d: table(s, d, "orders").select("o_orderkey", ingest.money_text(F.floor(F.col("o_totalprice")) * F.when(F.col("o_orderkey") % 3 == 0, -1e5).when(F.col("o_orderkey") % 3 == 1, 100.0).otherwise(0.001)).alias("shown")).where("o_orderkey % 3 < 2").withColumn("shown", F.regexp_extract("shown", "[a-z]*$", 0)),
+    "SELECT o_orderkey, CASE WHEN abs(v) >= 1e9 THEN 'bn' WHEN abs(v) >= 1e6 THEN 'm' ELSE '' END AS shown FROM (SELECT o_orderkey, floor(o_totalprice) * CASE WHEN o_orderkey % 3 = 0 THEN -1e5 ELSE 100 END AS v FROM orders WHERE o_orderkey % 3 < 2)")

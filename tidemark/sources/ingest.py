@@ -151,10 +151,39 @@ def long_to_wide(cells: DataFrame, items: list[str]) -> DataFrame:
     return g.select("symbol", "period_key", *[F.col(f"{i}.value").alias(i) for i in items], *[F.col(f"{i}.source").alias(f"{i}_source") for i in items])
 
 
-def symbol_label(symbol: Column, name: Column, most: int = 32) -> Column:
+def symbol_label(symbol: Column, name: Column, most: int = 32, exchange: Column | None = None) -> Column:
+    """SYMBOL - name (exchange), without what is not known; long names are cut."""
+    known = lambda x: F.when(~F.lower(F.trim(x)).isin("", "nan"), F.trim(x))
+    name = known(name)
     short = F.when(F.length(name) > most, F.concat(F.substring(name, 1, most - 2), F.lit("..."))).otherwise(name)
-    return F.when(F.coalesce(name, F.lit("")) == "", symbol).otherwise(F.concat_ws(" - ", symbol, short))
+    label = F.concat_ws(" - ", symbol, short)
+    return label if exchange is None else F.concat_ws(" ", label, F.concat(F.lit("("), known(exchange), F.lit(")")))
 
 
 def label_symbol(label: Column) -> Column:
-    return F.upper(F.trim(F.substring_index(label, " - ", 1)))
+    """The symbol of a label as symbol_label() makes it, or of what was typed."""
+    t = F.trim(label)
+    return F.upper(F.trim(F.when(F.contains(t, F.lit(" - ")), F.substring_index(t, " - ", 1)).otherwise(F.substring_index(t, " (", 1))))
+
+
+def find_option(symbols: DataFrame, options: DataFrame) -> DataFrame:
+    """(symbol, option): the first option, by `ordinal`, that is the symbol, or begins with it and a space or dash."""
+    o = options.withColumn("symbol", F.regexp_extract("option", "^([^ -]*)", 1))
+    s = symbols.select(F.upper(F.trim("symbol")).alias("symbol")).distinct()
+    return s.join(o, "symbol").groupBy("symbol").agg(F.min_by("option", "ordinal").alias("option"))
+
+
+def distinct_names(df: DataFrame) -> DataFrame:
+    """df with every column, those of one name numbered from the second on: name, name (2), name (3)."""
+    seen: dict[str, int] = {}
+    names = []
+    for c in df.columns:
+        seen[c] = seen.get(c, 0) + 1
+        names.append(c if seen[c] == 1 else f"{c} ({seen[c]})")
+    return df.toDF(*names)
+
+
+def flat_names(df: DataFrame) -> DataFrame:
+    """df with the fields of its structs as columns, named by both, the first of each name."""
+    flat = [F.col(f"`{f.name}`.`{g.name}`").alias(f"{f.name} {g.name}".strip()) if g else F.col(f"`{f.name}`") for f in df.schema for g in (f.dataType.fields if f.dataType.typeName() == "struct" else [None])]
+    return unique_columns(df.select(*flat))

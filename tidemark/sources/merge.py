@@ -53,6 +53,30 @@ def stitch(recent: DataFrame, older: DataFrame, tolerance: float = 0.005) -> Dat
     return moved.unionByName(new.select("symbol", "ts", *PRICES, "volume", F.lit(False).alias("adjusted"), F.lit(None).cast("double").alias("factor")))
 
 
+def hybrid(near: DataFrame, far: DataFrame, start, end, recent_days: int = 365, overlap: int = 10) -> DataFrame:
+    """Bars from start to end: the last `recent_days` of them from one source, what is older from another, stitched.
+
+    The older source is asked up to `overlap` days beyond the cut, so that levels can be told; where a symbol has no recent bars, up to the end. start and
+    end are days. `adjusted` and `factor` are as in stitch().
+    """
+    low, high = F.to_timestamp_ntz(F.lit(start)), F.to_timestamp_ntz(F.lit(end))
+    cut = high - F.make_dt_interval(F.lit(recent_days))
+    recent = near.where(F.col("ts").between(F.greatest(low, cut), high + F.make_dt_interval(F.lit(1))))
+    has = recent.select("symbol").distinct().withColumn("_recent", F.lit(True))
+    older = far.join(has, "symbol", "left").withColumn("_recent", F.coalesce("_recent", F.lit(False)))
+    until = F.when(F.col("_recent"), F.least(cut + F.make_dt_interval(F.lit(overlap)), high)).otherwise(high)
+    older = older.where((F.col("ts") >= low) & (F.col("ts") <= until) & (~F.col("_recent") | (low < cut))).drop("_recent")
+    return stitch(recent, older)
+
+
+def listing(spark, path: str, fallback: list[tuple[str, str, str]]) -> DataFrame:
+    """(symbol, name, exchange) of a listing in JSON, one symbol an entry; the fallback's rows where it has none."""
+    rows = spark.read.schema("symbol string, name string, exchange string").option("multiLine", True).json(path).where("symbol is not null")
+    few = spark.createDataFrame(fallback, rows.schema)
+    some = rows.select(F.lit(True).alias("some")).limit(1)
+    return rows.unionByName(few.join(some, F.lit(True), "left_anti"))  # a few rows against one
+
+
 def merge_cells(cells: DataFrame) -> DataFrame:
     """One value and its source for each (symbol, period_key, item): the first, by `priority`, that is not null. One aggregate, however many sources."""
     best = F.min(F.struct("priority", "source", "value")).alias("best")

@@ -4,22 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.text import ENDINGS, absolute
 from tidemark.plans.store import kept
 
-#: Endings of documents, names of fields that hold an address, and those of a title in the order they are looked at.
-ENDINGS = (".pdf", ".zip", ".rar", ".doc", ".docx", ".xls", ".xlsx")
+#: Names of fields that hold an address, and those of a title in the order they are looked at.
 ADDRESSES = ("link", "url", "fileurl", "filepath")
 TITLES = ("Title", "title", "Name", "name", "FileName", "Description", "Desc")
 
 
-def absolute(href: Column, base: Column) -> Column:
-    """An address as seen from a page: whole, without a scheme, from the site's root, or beside the page; dots are left as they are."""
-    site, scheme = F.regexp_extract(base, r"^(\w+://[^/?#]+)", 1), F.regexp_extract(base, r"^(\w+:)//", 1)
-    beside = F.regexp_extract(base, r"^(\w+://[^?#]*/)[^/?#]*", 1)
-    beside = F.when(F.length(beside) > F.length(site), beside).otherwise(F.concat(site, F.lit("/")))
-    return F.when(href.rlike(r"^\w+:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(beside, href))
-
-
 def _is(kind: str) -> Column:
     return F.schema_of_variant("value").startswith(kind)
 
