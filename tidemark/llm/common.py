@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,8 +36,14 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that no later step reads, and the shuffle files of plans that are done."""
+    """Delete materialised tables that no later step reads, and the shuffle files of plans that are done.
+
+    A job may end while a stage that it no longer needs still runs; such stages are given a while to end before what they read goes.
+    """
     spark = tables[0].sparkSession
+    tracker, until = spark.sparkContext.statusTracker(), time.monotonic() + PATIENCE
+    while tracker.getActiveStageIds() and time.monotonic() < until:
+        time.sleep(0.05)
     for t in tables:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -70,6 +77,8 @@ def text_column(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Seconds that stages of jobs that have ended get to end themselves.
+PATIENCE = 20
 #: Edges of a partition of a graph.
 EDGES = 100_000
 

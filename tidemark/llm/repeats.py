@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -142,10 +142,12 @@ def repeated_runs(docs: DataFrame, units: Callable[[str], np.ndarray], width: in
 
 
 def distinct_runs(repeated: DataFrame) -> DataFrame:
-    """(g, c, times, n, key, s, kinds): each distinct run, one source of it, and the number of distinct runs of its minimiser."""
+    """(g, c, times, n, key, s, kinds), a table: each distinct run, one source of it, and the number of distinct runs of its minimiser."""
     one = repeated.groupBy("g", "c").agg(F.count("*").alias("times"), F.min(F.struct("key", "s", "n")).alias("at"))
     one = materialize(one.select("g", "c", "times", "at.n", "at.key", "at.s"), "distinct-runs")
-    return one.join(one.groupBy("g").agg(F.count("*").alias("kinds")), "g")
+    kinds = materialize(one.join(one.groupBy("g").agg(F.count("*").alias("kinds")), "g"), "kinds")
+    discard(one)
+    return kinds
 
 
 def read_again(docs: DataFrame, wanted: DataFrame, make: Callable, schema: str) -> DataFrame:
@@ -167,7 +169,7 @@ def read_again(docs: DataFrame, wanted: DataFrame, make: Callable, schema: str)
 
 
 def windows_by_hash(docs: DataFrame, wanted: DataFrame, units: Callable[[str], np.ndarray], width: int) -> DataFrame:
-    """(g, c, lo, hi): the repeated windows of the wanted runs, as intervals of window numbers within the run.
+    """(g, c, lo, hi), a table: the repeated windows of the wanted runs, as intervals of window numbers within the run.
 
     Every window of a distinct run is an edge of the de Bruijn graph, identified by its minimiser and its own hash. Edges are counted
     with the number of times their run occurs, those that occur twice are joined back to their runs, and neighbouring edges of a run
@@ -184,7 +186,10 @@ def windows_by_hash(docs: DataFrame, wanted: DataFrame, units: Callable[[str], n
     twice = edges.groupBy("g", "w").agg(F.sum("times").alias("t")).where("t > 1").select("g", "w")
     found = edges.join(twice, ["g", "w"])
     # the paths of a run have at most a few hundred windows together
-    return found.groupBy("g", "c").agg(F.sort_array(F.collect_list("j")).alias("js")).select("g", "c", F.explode(_islands(F.col("js"))).alias("i")).select("g", "c", "i.lo", "i.hi")
+    paths = found.groupBy("g", "c").agg(F.sort_array(F.collect_list("j")).alias("js")).select("g", "c", F.explode(_islands(F.col("js"))).alias("i"))
+    paths = materialize(paths.select("g", "c", "i.lo", "i.hi"), "paths")
+    discard(edges)
+    return paths
 
 
 def _islands(js):

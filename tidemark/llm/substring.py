@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import map_rows, materialize
+from tidemark.llm.common import discard, map_rows, materialize
 
 #: Words of a window, and of a minimiser's gram.
 WIDTH, GRAM = 35, 8
@@ -25,10 +25,12 @@ def repeated_paths(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     """(key, doc_id, text, a, b): documents with the intervals of their windows that are repeated."""
     docs = repeats.keyed(docs)
     again = repeats.repeated_runs(docs, repeats.word_units, width, gram)
-    kinds = materialize(repeats.distinct_runs(again), "kinds")
+    kinds = repeats.distinct_runs(again)
     whole = kinds.where("times > 1").select("g", "c", F.lit(0).alias("lo"), F.col("n").alias("hi"))
     branching = repeats.windows_by_hash(docs, kinds.where("kinds > 1"), repeats.word_units, width)
-    return repeats.covered(docs, again, materialize(whole.unionByName(branching), "found"))
+    found = materialize(whole.unionByName(branching), "found")
+    discard(kinds, branching)
+    return repeats.covered(docs, again, found)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import map_rows, materialize
+from tidemark.llm.common import discard, map_rows, materialize
 
 #: Bytes of a repeated string, bytes of a minimiser's gram, bytes of a shard, and the distinct runs of one minimiser
 #: beyond which its windows are counted by hash over all tasks, as a shard could not hold them.
@@ -211,7 +211,7 @@ def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shar
     """(key, doc_id, text, a, b): documents with the intervals of their windows that are repeated."""
     docs = repeats.keyed(docs)
     again = repeats.repeated_runs(docs, repeats.byte_units, width, gram)
-    kinds = materialize(repeats.distinct_runs(again), "kinds")
+    kinds = repeats.distinct_runs(again)
     # a run that occurs twice is repeated as a whole, whatever else its minimiser has
     whole = kinds.where("times > 1").select("g", "c", F.lit(0).alias("lo"), F.col("n").alias("hi"))
     mixed = kinds.where(F.col("kinds") > 1)
@@ -236,8 +236,9 @@ def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shar
 
     sorted_ = strings.groupBy(F.pmod(F.xxhash64("g"), F.lit(shards)).alias("shard")).applyInPandas(sort, "g long, c long, lo int, hi int")
     hot = repeats.windows_by_hash(docs, mixed.where(F.col("kinds") > most_runs), repeats.byte_units, width)
-    found = whole.unionByName(sorted_).unionByName(hot)
-    return repeats.covered(docs, again, materialize(found, "found"))
+    found = materialize(whole.unionByName(sorted_).unionByName(hot), "found")
+    discard(kinds, strings, hot)
+    return repeats.covered(docs, again, found)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
