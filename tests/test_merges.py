@@ -166,3 +166,36 @@ def test_strategies_of_users(spark):
     got.createOrReplaceTempView("signals_here")
     rows = spark.sql("SELECT strategy, h.* FROM signals_here, LATERAL held(to_date(ts), signal, 2) h ORDER BY ALL").collect()
     assert [(r[0], r[1].day, r[2]) for r in rows] == [("high", 2, 1), ("high", 3, 0), ("low", 1, 1), ("low", 2, 0)]
+
+
+def test_column_names(spark):
+    from tidemark.sources import ingest
+
+    df = spark.createDataFrame([((1, 2), 3, 4)], "meta struct<a: int, b: int>, `2018` int, c int")
+    twice = df.select("2018", "2018", "c", "2018")
+    assert ingest.distinct_names(twice).columns == ["2018", "2018 (2)", "c", "2018 (3)"]
+    assert ingest.flat_names(df).columns == ["meta a", "meta b", "2018", "c"] and ingest.flat_names(df).first()[:2] == (1, 2)
+
+
+def test_listing_and_labels(spark, tmp_path):
+    from tidemark.sources import ingest
+
+    (tmp_path / "all.json").write_text('[{"symbol":"MBB","name":"MBBank","exchange":"HSX"},{"symbol":"VRE","name":"nan"}]')
+    (tmp_path / "none.json").write_text("[]")
+    few = [("FPT", "FPT Corp", "HSX")]
+    got = mg.listing(spark, str(tmp_path / "all.json"), few)
+    label = ingest.symbol_label(F.col("symbol"), F.col("name"), exchange=F.col("exchange"))
+    assert {r[0] for r in got.select(label).collect()} == {"MBB - MBBank (HSX)", "VRE"}
+    assert [r.symbol for r in mg.listing(spark, str(tmp_path / "none.json"), few).collect()] == ["FPT"]
+    typed = spark.createDataFrame([("MBB - MBBank (HSX)",), ("  vre  ",), ("vre (HSX)",)], "t string")
+    assert [r[0] for r in typed.select(ingest.label_symbol(F.col("t"))).collect()] == ["MBB", "VRE", "VRE"]
+
+
+def test_hybrid_scan(spark):
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    rows = lambda s, low, high, c: [(s, day(i), c, c, c, c, 1) for i in range(low, high)]
+    near, far = spark.createDataFrame(rows("A", 0, 100, 10.0), BAR), spark.createDataFrame(rows("A", 0, 100, 5.0) + rows("B", 0, 100, 7.0), BAR)
+    got = mg.hybrid(near, far, "2024-01-11", "2024-03-31", recent_days=30)
+    a = sorted((r.ts, r.close, r.adjusted) for r in got.where("symbol = 'A'").collect())
+    assert a[0] == (day(10), 10.0, True) and len(a) == 82 and sum(x[2] for x in a) == 50
+    assert got.where("symbol = 'B'").agg(F.count("*"), F.min("ts"), F.max("ts"), F.max("close")).first()[:] == (81, day(10), day(90), 7.0)

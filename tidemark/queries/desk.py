@@ -220,7 +220,18 @@ add("SS_06_dead_letters", landing_log, "SELECT count(*)::BIGINT AS rows, (count(
 add("SNK_06_news_of_a_window", lambda s, d: desk.news_window(news(s, d), F.lit("2024-01-25").cast("timestamp_ntz"), 7, ["click", "view"], 150).select("news_id", "symbol"), f"WITH {NEWS} SELECT news_id, symbol FROM n WHERE coalesce(p,f) >= TIMESTAMP '2024-01-25' - INTERVAL 7 DAY AND coalesce(p,f) <= TIMESTAMP '2024-01-25' AND symbol IN ('click','view') ORDER BY coalesce(p,f) DESC, news_id LIMIT 150")
 add("SNK_05_price_range", lambda s, d: desk.price_range(walk_bars(s, d), "ASIA", F.lit("1999-01-01").cast("timestamp_ntz"), F.lit("1999-12-31").cast("timestamp_ntz")), f"WITH {BARS} SELECT * FROM bars WHERE symbol='ASIA' AND ts BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '1999-12-31'")
 add("SNK_07_ordered_lookup", documents_looked_up, "SELECT doc_id, CASE WHEN doc_id%5>0 THEN n_chars END AS year, source AS doc_type FROM documents WHERE doc_id%2=0")
-add("JN_12_reconcile", lambda s, d: (r := desk.reconcile(*[x.select("symbol", "period_key", "item", "value") for x in late_cells(s, d)[::-1]])).select("symbol", "period_key", "item", F.round("difference", 4).alias("difference")), f"WITH {STATEMENTS_SQL} SELECT symbol, period_key, 'revenue' AS item, 100.0::DOUBLE AS difference FROM fin WHERE period_key%10=4")
+def two_tellings(s, d):
+    """Cells as documents tell them, some per cent off and some missing, and as they are online, of which some are 0."""
+    x = item_cells(s, d)
+    told = x.where("period_key % 7 <> 3").withColumn("value", F.round("value") * (100 + F.col("period_key") % 11) / 100)
+    return told, x.withColumn("value", F.when(F.col("period_key") % 10 == 2, 0.0).otherwise(-F.round("value")))
+
+
+def item_cells(s, d):
+    return statements(s, d).unpivot(["symbol", "period_key"], ["revenue", "equity"], "item", "value")
+
+
+add("JN_12_reconcile", lambda s, d: desk.reconcile(*two_tellings(s, d)).select("symbol", "period_key", "item", F.round("difference", 4).alias("difference")), f"WITH {STATEMENTS_SQL} SELECT symbol, period_key, item, CASE WHEN period_key % 10 <> 2 THEN round((round(v) * (100 + period_key % 11) / 100 + round(v)) / nullif(abs(round(v)), 0) * 100, 4) END AS difference FROM (SELECT symbol, period_key, revenue, equity FROM fin) UNPIVOT (v FOR item IN (revenue, equity)) WHERE period_key % 7 <> 3")
 
 
 def quoted(s, d):
