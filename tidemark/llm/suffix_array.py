@@ -8,6 +8,7 @@ array; a window is repeated when its suffix shares 200 bytes with a neighbour.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -92,32 +93,37 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.
 def _induce_many(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """The same, one suffix at a time: for a string over so many letters that most buckets hold a few suffixes."""
     n = len(t)
-    ends = np.cumsum(np.bincount(t, minlength=sigma))
-    letters, small, sa = t.tolist(), is_s.tolist(), [-1] * n
-    tail = ends.tolist()
-    for j in lms[::-1].tolist():  # the leftmost-smaller suffixes in order at the ends of their buckets
-        c = letters[j]
-        tail[c] -= 1
-        sa[tail[c]] = j
-    head = (ends - np.bincount(t, minlength=sigma)).tolist()
-    c = letters[n - 1]
-    first = n - 1  # the last suffix is a larger one that nothing induces: it comes first in its bucket
-    sa_left = sa
-    sa_left[head[c]] = first
+    count = np.bincount(t, minlength=sigma)
+    ends = np.cumsum(count)
+    first = np.full(n, -1, dtype=np.int64)
+    c = t[lms]
+    of = np.bincount(c, minlength=sigma)
+    first[ends[c] - of[c] + np.arange(len(lms)) - (np.cumsum(of) - of)[c]] = lms  # the leftmost-smaller suffixes in order at the ends of their buckets
+    # the suffix that each one induces in either sweep, or -1; the entry behind the last is that of an empty place
+    before = np.arange(-1, n)
+    before[-1] = -1
+    some = before >= 0
+    larger, smaller = np.full(n + 1, -1), np.full(n + 1, -1)
+    larger[some] = np.where(is_s[before[some]], -1, before[some])
+    smaller[some] = np.where(is_s[before[some]], before[some], -1)
+    larger, smaller, letters, sa, head, tail = (array("q", x.astype(np.int64).tobytes()) for x in (larger, smaller, t, first, ends - count, ends))  # denser than lists
+    c = letters[n - 1]  # the last suffix is a larger one that nothing induces: it comes first in its bucket
+    sa[head[c]] = n - 1
     head[c] += 1
-    for i in range(n):
-        j = sa_left[i] - 1
-        if j >= 0 and not small[j]:
+    for v in sa:  # grows ahead of the loop
+        j = larger[v]
+        if j >= 0:
             c = letters[j]
-            sa_left[head[c]] = j
-            head[c] += 1
-    tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
+            h = head[c]
+            sa[h] = j
+            head[c] = h + 1
+    for v in reversed(sa):
+        j = smaller[v]
+        if j >= 0:
             c = letters[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+            h = tail[c] - 1
+            sa[h] = j
+            tail[c] = h
     return np.array(sa, dtype=np.int64)
 
 
