@@ -71,3 +71,38 @@ def test_long_texts(spark):
     assert {r.doc_id: r.n_hit > 0 for r in decontaminate.contamination(df, df.where("doc_id = 1").selectExpr("doc_id as item_id", "substring(text, 5000, 900) as text")).collect()} == {1: True, 2: False, 3: True, 4: False}
     assert lines.dedup_lines(df).where("n_removed > 0").count() == 0
     assert toxicity.score(df, CHAIN).count() == quality.score(df, MODEL).count() == fingerprint.fingerprint_with_neighbour(df).count() == 4
+
+
+NAMES = ("name", "key", "text_2", "id", "ids", "p", "p_bad", "rejected", "quality_score", "piece", "length", "salt", "r", "rank", "n", "h", "v", "n_words", "start", "period", "items", "component", "line", "set", "g", "c", "a", "b", "s")
+
+
+@pytest.mark.parametrize("name", ["op1", "keep_clean", "op2", "op4", "op9", "op9 encode", "op10", "op12", "keep_collapsed", "op13", "keep_clean of op13"])
+def test_clashing_names_and_no_rows(spark, name):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"text number {k} is not like text {k * k} in most of its {k + 7} words") for k in range(6)] + [(7, None), (8, ""), (3, "again")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    named = plain.select("*", *[F.lit(f"mine {c}").alias(c) for c in NAMES])
+    a, b = EVERY[name](plain), EVERY[name](named)
+    keep = [c for c in a.columns if c not in ("sequence_id", "offset")]
+    assert sorted(map(tuple, a.select(*keep).collect()), key=str) == sorted(map(tuple, b.select(*keep).collect()), key=str)
+    if name.startswith("keep"):
+        assert all(r[c] == f"mine {c}" for r in b.collect() for c in NAMES)
+    assert EVERY[name](named.where("false")).count() == 0
+
+
+def test_search_with_repeats_ties_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import annulus, ann
+
+    rows = [(i, [float(i % 3), 1.0]) for i in range(45)] + [(20, [2.0, 1.0]), (None, [1.0, 1.0]), ((1 << 60) + 20, [0.5, 0.5]), (60, None), (80, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    named = df.select("*", *[F.lit(1).alias(c) for c in ("v", "asks", "dim", "ib", "qb", "rank", "score", "h", "cluster", "distance")])
+    got = ann.search(named, F.col("vec_id") % 20 == 0, k=5).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0, k=5).collect()))
+    for q in {r.query_id for r in got}:
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [(-s, i) for _, i, s in mine] == sorted((-s, i) for _, i, s in mine) and all(i != q for _, i, _ in mine)
+    key = lambda d: sorted(map(tuple, annulus.cluster(d, k=4, dim=2, rounds=2).collect()), key=str)
+    assert key(named) == key(df)

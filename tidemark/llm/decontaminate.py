@@ -162,8 +162,7 @@ def _bound(t, sa, k, word, low, high, after):
 
 
 #: Columns that go with a row from block to block: hit intervals, items, the longest match and its place.
-CARRIED = "hit_from array<bigint>, hit_to array<bigint>, items array<string>, longest bigint, longest_at bigint"
-NAMES = ("hit_from", "hit_to", "items", "longest", "longest_at")
+NAMES = FROM, TO, ITEMS, LONGEST, AT = ("_hit_from", "_hit_to", "_hit_items", "_hit_longest", "_hit_longest_at")
 
 
 def _scan(df: DataFrame, items: Items, shard: int) -> DataFrame:
@@ -185,12 +184,12 @@ def _scan(df: DataFrame, items: Items, shard: int) -> DataFrame:
                 at = np.flatnonzero(here)
                 lo, hi = _joined(at, at + here[at])
                 best = int(np.argmax(here)) if len(at) else -1
-                before = old["longest"][k]
-                better = len(at) and (before is None or (-int(here[best]), best) < (-before, old["longest_at"][k]))
+                before = old[LONGEST][k]
+                better = len(at) and (before is None or (-int(here[best]), best) < (-before, old[AT][k]))
                 more = [items.names[x] for x in item[cut[k] : cut[k + 1]] if items.names[x] is not None]
                 rows.append((
-                    old["hit_from"][k] + lo.tolist(), old["hit_to"][k] + hi.tolist(), old["items"][k] + more,
-                    int(here[best]) if better else before, best if better else old["longest_at"][k],
+                    old[FROM][k] + lo.tolist(), old[TO][k] + hi.tolist(), old[ITEMS][k] + more,
+                    int(here[best]) if better else before, best if better else old[AT][k],
                 ))
             new = dict(zip(NAMES, zip(*rows)))
             types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64()]
@@ -233,7 +232,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (2 * block)))  # a word and what parts it from the next has two characters at least
     df = docs if only_text else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    none = {"hit_from": F.array().cast("array<bigint>"), "hit_to": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>"), "longest": F.lit(None).cast("bigint"), "longest_at": F.lit(None).cast("bigint")}
+    none = dict(zip(NAMES, (F.array().cast("array<bigint>"), F.array().cast("array<bigint>"), F.array().cast("array<string>"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint"))))
     df = df.withColumns(none)
     for k in range(blocks):
         rows = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # bounded by the size of a block
@@ -257,20 +256,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     def told(batches):
         for b in batches:
             rows = []
-            for text, lo, hi, items in zip(b.column("text"), *[b.column(c).to_pylist() for c in ("hit_from", "hit_to", "items")]):
+            for text, lo, hi, items in zip(b.column("text"), *[b.column(c).to_pylist() for c in (FROM, TO, ITEMS)]):
                 order = sorted(zip(lo, hi))
                 a, z = _joined(np.array([x for x, _ in order], dtype=np.int64), np.array([x for _, x in order], dtype=np.int64))
                 hit, ids = int((z - a).sum()), sorted(set(items))
                 rows.append((len(words_of(text.as_py() or "")), hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0))
             types = [pa.int64()] * 3 + [pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), types)], b.column("longest"), b.column("longest_at")], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), types)], b.column(LONGEST), b.column(AT)], names)
 
     return scan(docs, benchmark, window, shard, block).mapInArrow(told, schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs, all columns as they are, without the documents that hold a window of a test item. Null text holds none; columns may have any name but those carried."""
-    return scan(docs, benchmark, window, only_text=True).where("longest is null").select(*docs.columns)
+    """docs, all columns as they are, without the documents that hold a window of a test item. Null text holds none; columns may have any name but NAMES."""
+    return scan(docs, benchmark, window, only_text=True).where(F.col(LONGEST).isNull()).select(*docs.columns)
 
 
 def contamination_sql(documents: str, benchmark: str, window: int = WINDOW) -> str:
