@@ -61,3 +61,20 @@ def test_short_and_chained(spark):
     got = news.without_near_copies(spark.createDataFrame(rows, SCHEMA), "symbol", "n")
     assert sorted((r.symbol, r.n) for r in got.collect()) == walk(rows)
     assert news.without_near_copies(spark.createDataFrame([], SCHEMA), "symbol", "n").count() == 0
+
+
+def test_titles_that_share_most_letters(spark):
+    """Titles that all share most letters and pairs of them, over several blocks: what meets in a task stays bounded, and likes are those of a walk."""
+    rng, syllables = random.Random(3), "the an en tion re er in on th at".split()
+    titles = ["".join(rng.choice(syllables) for _ in range(rng.randrange(18, 26))) for _ in range(260)]
+    titles += [t[:k] + "xyz"[: rng.randrange(4)] + t[k + rng.randrange(4) :] for t in titles[:60] for k in [rng.randrange(len(t))]] + ["ab" * 300 + "c", "ab" * 299 + "cd", "y" * 64, "y" * 65, "z" * 129, "z" * 128]
+    rows = [("A", i, t, None) for i, t in enumerate(titles)]
+    news.BLOCK, whole = 50, news.BLOCK
+    try:
+        pairs = news.alike_titles(spark.createDataFrame([("A", i, t) for i, t in enumerate(titles)], "g string, c long, t string"))
+        got = {(r.c, r.to) for r in pairs.collect()}
+        kept_ = news.without_near_copies(spark.createDataFrame(rows, SCHEMA), "symbol", "n").collect()
+    finally:
+        news.BLOCK = whole
+    assert got == {(a, b) for a, x in enumerate(titles) for b, y in enumerate(titles) if SequenceMatcher(None, x, y).ratio() >= 0.8}
+    assert sorted((r.symbol, r.n) for r in kept_) == walk(rows)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions import text as tx
 from tidemark.plans.store import kept
@@ -26,51 +27,121 @@ def canonical_url(url: Column) -> Column:
     return F.regexp_replace(F.substring_index(F.trim(F.coalesce(url, F.lit(""))), "#", 1), "/+$", "")
 
 
-@F.pandas_udf(DoubleType())
-def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the letters in the longest matching blocks, found one within the other, over all letters of a new title and one before it."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+#: Titles of a block at most, on average; classes of letters and of pairs of letters; pairs of titles looked at in one go.
+BLOCK, LETTERS, PAIRS, CHUNK = 2048, 64, 512, 1 << 14
+#: Fixed value: the longest titles whose common subsequence is measured; longer ones that pass the other bounds are compared themselves.
+LONGEST = 512
+
+
+class Block:
+    """Titles as numbers: their letters by class, and how often each has a letter and a pair of neighbouring letters."""
+
+    def __init__(self, ids: np.ndarray, titles: list[str]):
+        self.ids, self.titles, self.n = ids, titles, np.array([len(t) for t in titles], np.int64)
+        codes = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(titles)), self.n)
+        at = np.arange(len(codes)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        inner = row[1:] == row[:-1]
+        pair = ((codes[:-1] * 1000003 + codes[1:]) * 2654435761 >> 7) % PAIRS
+        self.letters, self.pairs = self._levels(row, codes % LETTERS, LETTERS, 12), self._levels(row[:-1][inner], pair[inner], PAIRS, 3)
+        # of each letter its places, as bits, and of each place its letter; a class more stands for no letter
+        short = at < LONGEST
+        words = -(-min(int(self.n.max()), LONGEST) // 64) or 1
+        self.places = np.zeros((len(titles), LETTERS + 1, words), np.uint64)
+        np.bitwise_or.at(self.places, (row[short], codes[short] % LETTERS, at[short] // 64), np.uint64(1) << (at[short] % 64).astype(np.uint64))
+        self.classes = np.full((min(int(self.n.max()), LONGEST), len(titles)), LETTERS, np.uint8)
+        self.classes[at[short], row[short]] = codes[short] % LETTERS
+
+    def _levels(self, row: np.ndarray, key: np.ndarray, size: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+        """A column for each class and level that says whether the title has it so often, and what is beyond the levels."""
+        count = np.bincount(row * size + key, minlength=len(self.n) * size).reshape(len(self.n), size)
+        return np.concatenate([count >= k for k in range(1, levels + 1)], axis=1).astype(np.float32), np.maximum(count - levels, 0).sum(axis=1)
+
+
+def most_common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """At most so many letters, or pairs of letters, do titles of two blocks share."""
+    return a[0] @ b[0].T + np.minimum.outer(a[1], b[1])
+
+
+def longest_common(x: Block, y: Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of titles i of x and j of y, letters being alike by class: at least those of the titles."""
+    places, words = x.places[i], x.places.shape[2]
+    left = [np.full(len(i), ~np.uint64(0)) for _ in range(words)]
+    at = np.arange(len(i))
+    for letters in y.classes[: int(y.n[j].max())]:
+        here, carry = places[at, letters[j]], None
+        for w in range(words):
+            both = left[w] & here[:, w]
+            more = left[w] + both
+            over = more < both
+            if carry is not None:
+                more += carry
+                over |= more < carry
+            carry = over.astype(np.uint64)
+            left[w] = more | (left[w] & ~here[:, w])
+    return sum(np.bitwise_count(~v).astype(np.int64) for v in left)
+
+
+def alike_in_blocks(x: Block, y: Block, least: float) -> list[tuple[int, int]]:
+    """Pairs of ids of different titles of two blocks, a new one and one before it, of which the new one is alike the other."""
+    out = []
+    for start in range(0, len(x.n), 512):
+        part = slice(start, start + 512)
+        n, m = np.minimum.outer(x.n[part], y.n), np.add.outer(x.n[part], y.n)
+        shared = np.ceil(m * (least / 2) - 1e-9)  # letters in blocks at least; of the others there are m - 2 * shared at most
+        ok = (n >= shared) & (most_common((x.letters[0][part], x.letters[1][part]), y.letters) >= shared)
+        ok &= most_common((x.pairs[0][part], x.pairs[1][part]), y.pairs) >= shared - (m - 2 * shared + 1)
+        rows, cols = np.nonzero(ok)
+        rows += start
+        fresh = rows < cols if x is y else x.ids[rows] != y.ids[cols]
+        rows, cols = rows[fresh], cols[fresh]
+        for k in range(0, len(rows), CHUNK):
+            i, j = rows[k : k + CHUNK], cols[k : k + CHUNK]
+            long = np.maximum(x.n[i], y.n[j]) > LONGEST
+            near = long.copy()
+            if not long.all():
+                near[~long] = 2 * longest_common(x, y, i[~long], j[~long]) + 1e-9 >= least * (x.n[i] + y.n[j])[~long]
+            for a, b in zip(i[near], j[near]):
+                s, t = x.titles[a], y.titles[b]
+                out += [(x.ids[a], y.ids[b])] if SequenceMatcher(None, s, t).ratio() >= least else []
+                out += [(y.ids[b], x.ids[a])] if SequenceMatcher(None, t, s).ratio() >= least else []
+    return out
 
 
 def alike_titles(titles: DataFrame, least: float = 0.8) -> DataFrame:
     """(g, c, to): pairs of distinct titles (g, c, t) of a group of which the first, coming later, is alike the second; every title is alike itself.
 
-    Titles of lengths m and n that are alike share M >= least / 2 * (m + n) letters in blocks, of which there are at most one more than the other letters.
-    So they share M less the number of blocks of their pairs of neighbouring letters, and one of them is among the rarest of either. Pairs that pass this
-    and the bounds by length and by letters are compared themselves.
+    A group's titles are dealt into blocks, and every two blocks meet in a task. Titles of lengths m and n that are alike share least / 2 * (m + n) letters or
+    more in blocks, of which there are at most one more than the other letters: so they share that many letters and, less the number of blocks, pairs of neighbouring
+    letters, and have a common subsequence of that length. Titles that pass these bounds are compared themselves. Comparisons grow with the square of a group,
+    memory does not.
     """
-    n, c = F.length("t"), F.col
-    grams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring("t", i, F.lit(2)))
-    marked = titles.withColumn("n", n)
-    every = marked.where("n > 1").select("g", "c", "n", F.explode(grams).alias("w")).groupBy("g", "c", "n", "w").agg(F.count("*").alias("k"))
-    often = every.groupBy("g", "w").agg(F.count("*").alias("often"))
-    rows = every.join(often, ["g", "w"])
-    # of the shortest title that can be alike, m = least / (2 - least) * n: the pairs in common with it at least
-    shortest = F.ceil(least / (2 - least) * c("n") - 1e-9)
-    common = F.ceil((c("n") + shortest) * (least / 2) - 1e-9) - (F.floor((c("n") + shortest) * (1 - least) + 1e-9) + 1)
-    before = F.sum("k").over(Window.partitionBy("g", "c").orderBy("often", "w").rowsBetween(Window.unboundedPreceding, -1))
-    keys = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(c("before") <= c("n") - 1 - F.greatest(common, F.lit(1))).select("g", "c", "n", "w")
-    x, y = keys.alias("x"), keys.alias("y")
-    near = (c("x.g") == c("y.g")) & (c("x.w") == c("y.w")) & (c("x.c") < c("y.c")) & (2 * F.least("x.n", "y.n") + 1e-9 >= least * (c("x.n") + c("y.n")))
-    pairs = x.join(y, near).select(c("x.g").alias("g"), c("x.c").alias("a"), c("y.c").alias("b")).distinct()
-    # titles too short to be sure of a pair in common meet by a letter
-    small = marked.where(c("n").between(1, 12)).select("g", "c", "n", F.explode(F.array_distinct(F.split("t", ""))).alias("w"))
-    x, y = small.alias("x"), small.alias("y")
-    pairs = pairs.union(x.join(y, near).select(c("x.g").alias("g"), c("x.c").alias("a"), c("y.c").alias("b"))).distinct()
-    one = marked.select("g", "c", "t", "n", F.array_sort(F.split("t", "")).alias("letters"))
-    both = pairs.join(one.select("g", c("c").alias("a"), c("t").alias("ta"), c("n").alias("na"), c("letters").alias("la")), ["g", "a"])
-    both = both.join(one.select("g", c("c").alias("b"), c("t").alias("tb"), c("n").alias("nb"), c("letters").alias("lb")), ["g", "b"])
-    counted = F.aggregate(F.array_intersect("la", "lb"), F.lit(0), lambda s, w: s + F.least(F.size(F.filter("la", lambda z: z == w)), F.size(F.filter("lb", lambda z: z == w))))
-    both = both.where(2 * counted + 1e-9 >= least * (c("na") + c("nb")))
-    both = both.select("g", F.explode(F.array(F.struct(c("a").alias("c"), c("b").alias("to"), c("ta").alias("x"), c("tb").alias("y")), F.struct(c("b").alias("c"), c("a").alias("to"), c("tb").alias("x"), c("ta").alias("y")))).alias("p")).select("g", "p.*")
-    alike = both.where(block_ratio("x", "y") >= least).select("g", "c", "to")
+    c = F.col
+    blocks = titles.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of"))
+    dealt = titles.where("t <> ''").join(blocks, "g").withColumn("b", F.pmod(F.hash("c"), c("of")))
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), c("of") - 1)).alias("o"))
+    met = met.select("g", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "c", "t")
+    tasks = blocks.agg(F.sum(c("of").cast("long") * (c("of") + 1) / 2)).first()[0] or 1
+
+    def compared(pair: pd.DataFrame) -> pd.DataFrame:
+        g, lo, hi = pair["g"].iloc[0], pair["lo"].iloc[0], pair["hi"].iloc[0]
+        x, y = (pair[pair["b"] == b] for b in (lo, hi))
+        found = []
+        if len(x) and len(y):
+            one = Block(x["c"].to_numpy(), x["t"].tolist())
+            found = alike_in_blocks(one, one if lo == hi else Block(y["c"].to_numpy(), y["t"].tolist()), least)
+        return pd.DataFrame({"g": pd.Series([g] * len(found), dtype=object), "c": np.array([a for a, _ in found], np.int64), "to": np.array([b for _, b in found], np.int64)})
+
+    schema = StructType([titles.schema["g"], StructField("c", LongType()), StructField("to", LongType())])
+    # a fixed number: few rows make much work here, which adaptive execution would put into few tasks
+    alike = met.repartition(int(min(max(tasks, 1), 2000)), "g", "lo", "hi").groupBy("g", "lo", "hi").applyInPandas(compared, schema)
     return alike.unionByName(titles.select("g", "c", c("c").alias("to")))
 
 
 def without_near_copies(news: DataFrame, group: str, order: str, least: float = 0.8) -> DataFrame:
     """The rows of news (title, url) that stay, list by list of `group` in the order of `order`, which tells rows of a list apart.
 
-    A row without a title goes. One goes whose address, as canonical_url() has it and not empty, or whose title, by block_ratio() of at least `least`, is that of a row
+    A row without a title goes. One goes whose address, as canonical_url() has it and not empty, or whose title, by SequenceMatcher's ratio to it of at least `least`, is that of a row
     kept before. Rows that went do not count against others.
     """
     c = F.col
