@@ -199,3 +199,18 @@ def test_hybrid_scan(spark):
     a = sorted((r.ts, r.close, r.adjusted) for r in got.where("symbol = 'A'").collect())
     assert a[0] == (day(10), 10.0, True) and len(a) == 82 and sum(x[2] for x in a) == 50
     assert got.where("symbol = 'B'").agg(F.count("*"), F.min("ts"), F.max("ts"), F.max("close")).first()[:] == (81, day(10), day(90), 7.0)
+
+
+def test_scan_takes_the_nearest_seconds(spark, tmp_path):
+    """Bars of the last payload half a second before a day begins there: the day is that of the nearest second, as in SQL."""
+    import duckdb
+
+    from tidemark.queries.raw import ORACLE, QUERIES
+
+    at = ["2024-01-05 16:59:59.700000", "2024-01-05 16:59:59.300000", "2024-01-05 16:59:59.500000", "2024-01-05 17:00:00.500000", "2024-01-04 16:59:59.900000"]
+    rows = ", ".join(f"({i}, TIMESTAMP '{t}', {i}, '{k}', {i}.25::DOUBLE)" for k in ("view", "purchase") for i, t in enumerate(at, 10 if k == "view" else 20))
+    db = duckdb.connect()
+    db.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}) e(event_id, ts, user_id, event_type, value)")
+    db.execute(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = QUERIES["SRC_01_05_scan"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(db.execute(f"SELECT symbol, source, ts, close, volume FROM ({ORACLE['SRC_01_05_scan']})").fetchall())

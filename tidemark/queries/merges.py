@@ -41,9 +41,11 @@ def with_priority(s, d):
     return a.unionByName(bars.withColumns({"source": F.lit("B"), "priority": F.lit(1)}))
 
 
-def payloads(s, d):
-    """One JSON payload for each type of event and day, of its events as bars."""
-    e = table(s, d, "events").select(F.col("event_type").alias("symbol"), F.to_date("ts").alias("day"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "value", "event_id")
+def payloads(s, d, nearest=False):
+    """One JSON payload for each type of event and day, of its events as bars, their times in whole seconds: cut off, or those nearest (of two the even one)."""
+    at = F.col("ts").cast("timestamp")
+    second = F.rint(F.unix_micros(at) / 1e6).cast("long") if nearest else F.unix_timestamp(at)
+    e = table(s, d, "events").select(F.col("event_type").alias("symbol"), F.to_date("ts").alias("day"), second.alias("t"), "value", "event_id")
     g = e.groupBy("symbol", "day").agg(F.array_sort(F.collect_list(F.struct("event_id", "t", "value"))).alias("x"))  # a day's events of one type
     return g.select("symbol", F.to_json(F.struct(F.col("x.t").alias("t"), *[F.col("x.value").alias(c) for c in "ohlc"], F.col("x.event_id").alias("v"))).alias("payload"))
 

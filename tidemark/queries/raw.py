@@ -22,7 +22,7 @@ def add(name, query, sql):
 
 def landed_events(s, d):
     """Payloads of two providers: A lacks views, has broken ones for clicks and names purchases otherwise; B has all events, twice as dear."""
-    one = payloads(s, d).groupBy("symbol").agg(F.max("payload").alias("payload"))
+    one = payloads(s, d, nearest=True).groupBy("symbol").agg(F.max("payload").alias("payload"))
     a = one.where("symbol <> 'view'").select(F.lit("A").alias("provider"), F.when(F.col("symbol") == "purchase", " buy ").otherwise(F.col("symbol")).alias("symbol"), F.when(F.col("symbol") == "click", "{broken").otherwise(F.col("payload")).alias("payload"))
     b = one.select(F.lit("B").alias("provider"), "symbol", "payload")
     root = shared_folder(s, "landed")
