@@ -214,3 +214,13 @@ def test_scan_takes_the_nearest_seconds(spark, tmp_path):
     db.execute(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     got = QUERIES["SRC_01_05_scan"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(db.execute(f"SELECT symbol, source, ts, close, volume FROM ({ORACLE['SRC_01_05_scan']})").fetchall())
+
+
+def test_raw_metrics_sum_statements_up_once(spark):
+    from tidemark.plans.bars import statements
+    from tidemark.queries import raw
+
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+    x, sf = statements(spark, "/root/testdata/sf0.001"), "/root/testdata/sf0.001"
+    assert scans(raw.named_cells(x, raw.INCOME)) == scans(raw.named_cells(x, raw.INCOME[:1]))  # as many rows as it has, one pass
+    assert "lineitem" not in raw.QUERIES["FR_23_raw_metrics"](spark, sf)._jdf.queryExecution().executedPlan().toString()

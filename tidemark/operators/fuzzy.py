@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.plans.store import kept
+
 #: Names that are too short to be looked for inside others, and the least length of a name that is.
 SHORT, LEAST = ("pe", "pb", "ps", "eps"), 4
 #: Names that the metrics of raw statements go by, the preferred first.
@@ -72,6 +74,8 @@ def raw_metrics(income: DataFrame, balance: DataFrame, ratios: DataFrame, cash:
     from tidemark.operators.statements import growth_vs_prior
 
     c = F.col
+    # a dozen metrics read these: written once, what they are made of is not computed for each
+    income, balance, ratios, cash = (kept(x, "raw") for x in (income, balance, ratios, cash))
     last = lambda cells, m: series(cells, m).groupBy("symbol").agg(F.max_by("value", "period_key").alias(m))
     grown = lambda m: growth_vs_prior(series(income, m).withColumnRenamed("value", "x"), "x").select("symbol", c("growth").alias(f"{m}_growth"))
     out = income.select("symbol").union(balance.select("symbol")).union(ratios.select("symbol")).union(cash.select("symbol")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import desk, extend, fuzzy, statements as fr, technical as ta
 from tidemark.plans.bars import STATEMENTS_SQL, statements, table, walk_bars
-from tidemark.plans.store import shared_folder
+from tidemark.plans.store import kept, shared_folder
 from tidemark.queries.books import PREPARED, RATIOS, YEARS, yearly
 from tidemark.queries.market import BARS
 from tidemark.queries.merges import payloads
@@ -93,14 +93,16 @@ def screened(s, d):
 add("SNK_09_exported_screen", screened, f"WITH {STATEMENTS_SQL}, l AS (SELECT *, (coalesce(short_term_debt,0)+coalesce(long_term_debt,0))/nullif(equity,0) AS de FROM fin QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY period_key DESC) = 1) SELECT symbol AS code, round(de, 3) AS debt_equity FROM l WHERE de < 1.5")
 
 
-def named_cells(s, d, names):
-    """Cells of raw tables whose rows have names of their own: (row, name, expression over the statements)."""
-    x = statements(s, d)
-    one = lambda row, name, value: x.select("symbol", F.lit(row).alias("row"), F.array(F.lit(name), F.lit(None)).alias("ids"), "period_key", F.expr(value).alias("value"))
-    out = one(*names[0])
-    for n in names[1:]:
-        out = out.unionByName(one(*n))
-    return out
+def named_cells(x, names):
+    """Cells of raw tables, made of statements x, whose rows have names of their own: (row, name, expression over the statements)."""
+    cells = F.array(*[F.struct(F.lit(row).alias("row"), F.array(F.lit(name), F.lit(None)).alias("ids"), F.expr(value).cast("double").alias("value")) for row, name, value in names])
+    return x.select("symbol", "period_key", F.inline(cells)).select("symbol", "row", "ids", "period_key", "value")
+
+
+def told(s, d):
+    """What the raw tables tell, of statements that are summed up once."""
+    x = kept(statements(s, d), "statements")
+    return fuzzy.raw_metrics(*[named_cells(x, n) for n in (INCOME, BALANCE, ROWS, CASH)])
 
 
 INCOME = [(1, "Growth of sales", "5D"), (2, "Net Revenue (all)", "revenue"), (3, "Net profit", "net_income"), (4, "Gross profit", "revenue * 0.3D")]
@@ -108,9 +110,9 @@ BALANCE = [(1, "Total Assets", "total_assets"), (2, "Owners_Equity", "equity"),
 ROWS = [(1, "ROE (%)", "case when length(symbol) % 2 = 0 then 0.12D end"), (2, "EPS basic (VND)", "case when period_key % 10 > 2 then 0D else net_income / 100 end")]
 CASH = [(1, "Net operating cash flow", "cfo"), (2, "Capital expenditure", "capex")]
 SHOWN = ("revenue", "net_profit", "net_margin", "gross_margin", "roe", "roa", "debt_to_equity", "debt_to_assets", "fcf")
-add("VA_04_fuzzy_value", lambda s, d: fuzzy.fuzzy_value(named_cells(s, d, ROWS), ("earnings", "eps")).select("symbol", F.round("value", 4).alias("value")),
+add("VA_04_fuzzy_value", lambda s, d: fuzzy.fuzzy_value(named_cells(statements(s, d), ROWS), ("earnings", "eps")).select("symbol", F.round("value", 4).alias("value")),
     f"WITH {STATEMENTS_SQL} SELECT symbol, round(coalesce(max_by(net_income, period_key) FILTER (period_key % 10 <= 2 AND net_income <> 0) / 100, 0), 4) AS value FROM fin GROUP BY symbol")
-add("FR_23_raw_metrics", lambda s, d: fuzzy.raw_metrics(*[named_cells(s, d, n) for n in (INCOME, BALANCE, ROWS, CASH)]).select("symbol", *[F.round(c, 3).alias(c) for c in SHOWN]),
+add("FR_23_raw_metrics", lambda s, d: told(s, d).select("symbol", *[F.round(c, 3).alias(c) for c in SHOWN]),
     f"""WITH {STATEMENTS_SQL}, l AS (SELECT * FROM fin QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY period_key DESC) = 1) SELECT symbol, round(revenue, 3) AS revenue, round(net_income, 3) AS net_profit, round(net_income/nullif(revenue,0)*100, 3) AS net_margin, round(30.0::DOUBLE, 3) AS gross_margin,
  round(CASE WHEN length(symbol) % 2 = 0 THEN 12.0::DOUBLE ELSE net_income/nullif(equity,0)*100 END, 3) AS roe, round(net_income/nullif(total_assets,0)*100, 3) AS roa, round((total_assets-equity)/nullif(equity,0), 3) AS debt_to_equity, round((total_assets-equity)/nullif(total_assets,0), 3) AS debt_to_assets, round(cfo+capex, 3) AS fcf FROM l""")
 
