@@ -97,15 +97,28 @@ class Alerts(StatefulProcessor):
         self.done = handle.getMapState("done", "alert_id long", "ts long, price double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows))
-        for r in rows[rows["kind"] != "quote"].sort_values("event_id").itertuples():
-            alert = (int(r.alert_id),)
-            if r.kind == "delete" and self.active.containsKey(alert):
-                self.active.removeKey(alert)
-            elif r.kind == "add" and r.condition in CONDITIONS and r.threshold == r.threshold and not self.done.containsKey(alert):
-                self.active.updateValue(alert, (r.condition, float(r.threshold)))
-        quotes = self.averages.advance(rows.loc[rows["kind"] == "quote", ["event_id", "ts", "close"]])
+        parts = list(rows)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        kind = rows["kind"].to_numpy()
+        quoted = kind == "quote"
+        # what the commands of this batch make active waits here, and goes to the state only if no quote of the batch fires it
+        waiting = {}
+        if not quoted.all():
+            fired_before = self.done.exists()
+            held = self.active.exists()
+            told = sorted(zip(*(rows[c].to_numpy()[~quoted] for c in ("event_id", "kind", "alert_id", "condition", "threshold"))), key=lambda r: r[0])
+            for _, what, alert, condition, threshold in told:
+                alert = int(alert)
+                if what == "delete":
+                    waiting[alert] = None
+                elif what == "add" and condition in CONDITIONS and threshold == threshold and not (fired_before and self.done.containsKey((alert,))):
+                    waiting[alert] = (condition, float(threshold))
+            if not quoted.any():
+                self._hold(waiting, held)
+                return
+        quotes = self.averages.advance(rows.loc[quoted, ["event_id", "ts", "close"]])
         if not len(quotes):
+            self._hold(waiting, waiting and self.active.exists())
             return
         # the furthest that each measure has got up to each quote: an alert's first quote is found by binary search
         reach = {}
@@ -114,17 +127,34 @@ class Alerts(StatefulProcessor):
             reach[c, "above"] = np.maximum.accumulate(np.where(np.isnan(v), -np.inf, v))
             reach[c, "below"] = -np.minimum.accumulate(np.where(np.isnan(v), np.inf, v))
         fired = []
-        for (alert,), (condition, threshold) in list(self.active.iterator()):
+        held = {alert: tuple(x) for (alert,), x in list(self.active.iterator())} if self.active.exists() else {}
+        columns = [quotes[c].tolist() for c in ("ts", "close", "change", "rsi")]
+        for alert, x in {**held, **waiting}.items():
+            if x is None:
+                self._hold({alert: None}, alert in held)
+                continue
+            condition, threshold = x
             way = condition.rsplit("_", 1)[1]
             at = int(np.searchsorted(reach[CONDITIONS[condition], way], threshold if way == "above" else -threshold, "left"))
             if at < len(quotes):
-                q = quotes.iloc[at]
-                fired.append((alert, key[0], condition, threshold, q["ts"], q["close"], q["change"], q["rsi"]))
-                self.active.removeKey((alert,))
-                self.done.updateValue((alert,), (int(q["ts"].value // 1000), float(q["close"])))
+                ts, close, change, rsi = (c[at] for c in columns)
+                fired.append((alert, key[0], condition, threshold, ts, close, change, rsi))
+                if alert in held:
+                    self.active.removeKey((alert,))
+                self.done.updateValue((alert,), (int(ts.value // 1000), float(close)))
+            elif held.get(alert) != x:
+                self.active.updateValue((alert,), x)
         if fired:
             yield pd.DataFrame(fired, columns=[f.split()[0] for f in FIRED.split(", ")])
 
+    def _hold(self, waiting: dict[int, tuple[str, float] | None], held: bool) -> None:
+        """Alerts into the state, those that are none out of it; where it holds none there is nothing to take out."""
+        for alert, x in waiting.items():
+            if x is not None:
+                self.active.updateValue((alert,), x)
+            elif held and self.active.containsKey((alert,)):
+                self.active.removeKey((alert,))
+
     def close(self) -> None:
         pass
 
