@@ -41,3 +41,13 @@ def test_own_rules(spark):
 def test_scale_of_items(spark):
     scale = lambda v: ingest.infer_scale(spark.createDataFrame([("A", v)], "symbol string, total_assets double")).first().scale
     assert scale(50_000.0) == 1e6 and scale(7e13) == 1.0
+
+
+def test_rules_meet_rows_dealt_by_symbol(spark):
+    """What the rules find is not sorted in the task that reads the rows: a shuffle by symbol comes before the first join with the rules."""
+    rules = spark.createDataFrame([("eps", 2, 0, "eps", []), ("eps", 0, 1, "id", [])], "item string, tier int, ordinal int, pattern string, excluded array<string>")
+    rows = spark.createDataFrame([("A", 0, None, None, "EPS"), ("B", 1, "ID", None, None)], "symbol string, row int, item_id string, label string, label_en string")
+    got = ingest.match_items(rows, rules)
+    assert sorted(map(tuple, got.collect())) == [("A", "eps", 0), ("B", "eps", 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [symbol") == 2  # both by id and by label

@@ -106,6 +106,8 @@ def match_items(rows: DataFrame, rules: DataFrame) -> DataFrame:
     `excluded` are passed over. Rules are a registry of a few hundred rows and broadcast.
     """
     c = F.col
+    # dealt by symbol before they meet the rules: the task that reads a large file then sorts none of what the rules find
+    rows = rows.select("symbol", "row", "item_id", "label", "label_en").repartition("symbol")
     rows = rows.withColumns({"lab1": norm_label(c("label")), "lab2": norm_label(c("label_en"))})
     rows = rows.select("symbol", "row", F.lower("item_id").alias("id"), F.array(*[F.struct(F.lit(t).alias("tier"), c(f"lab{t}").alias("lab"), strip_accents(c(f"lab{t}")).alias("plain")) for t in (1, 2)]).alias("labels"))
     rules = rules.select("item", "tier", "ordinal", F.lower("pattern").alias("p"), strip_accents(F.lower("pattern")).alias("pp"), F.concat("excluded", F.transform("excluded", strip_accents)).alias("veto"))
