@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import map_rows, materialize
-from tidemark.llm.linear import SPACE, Scorer, fit, text_features
+from tidemark.llm.linear import SPACE, Scorer, fit, forget, text_features
 
 #: Labelled documents that a chain is fitted on at most (those with the smallest hashed ids), and folds.
 MOST_ROWS, FOLDS = 12_000, 3
@@ -83,6 +83,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], most_ro
         known = earlier  # each link's function is sent before the next one is made
 
         def link(key, g):
+            forget()  # the worker may have read texts before
             model = int(key[0])
             g = g.sort_values("row")
             extra = known.reindex(g["row"]).to_numpy(dtype=float) if k else np.zeros((len(g), 0))
