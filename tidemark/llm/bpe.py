@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -25,8 +24,8 @@ from tidemark.llm.common import map_rows
 
 #: The characters that count as white space for the normaliser.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-#: Pre-tokens that one worker remembers before it starts anew; characters of a text, and pre-tokens of a digest, that it holds at a time.
-REMEMBERED, CHUNK, HELD = 300_000, 1 << 16, 1 << 13
+#: Words that one worker remembers before it starts anew, and their length; characters of a text, and words of a digest, that it holds at a time.
+REMEMBERED, SHORT, CHUNK, HELD = 300_000, 64, 1 << 16, 1 << 13
 #: A merge is kept as one number: its rank, and the id it makes in the low bits.
 MASK, NONE = (1 << 20) - 1, 1 << 60
 
@@ -41,20 +40,6 @@ def byte_letters() -> list[str]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _unassigned() -> regex.Pattern:
-    """Matches the code points that this Python holds unassigned; others may know them."""
-    runs, start = [], None
-    for i in range(sys.maxunicode + 2):
-        new = i <= sys.maxunicode and unicodedata.category(chr(i)) == "Cn"
-        if new and start is None:
-            start = i
-        elif not new and start is not None:
-            runs.append(f"\\U{start:08x}-\\U{i - 1:08x}")
-            start = None
-    return regex.compile("[" + "".join(runs) + "]")
-
-
 @lru_cache(maxsize=2)
 def _own_tables(path: str):
     from tokenizers import Tokenizer
@@ -130,7 +115,9 @@ class Encoder:
         self.space = regex.compile(f"[{SPACE}]+")
         self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+")
         self.memo: dict[str, tuple[str, str, int]] = {}
-        self.unsettled, self.byte_of = _unassigned(), {c: b for b, c in enumerate(byte_letters())}
+        self.merged: dict[str, list[int]] = {}
+        self.assigned: set[str] = set()
+        self.byte_of = {c: b for b, c in enumerate(byte_letters())}
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply merges to a list of ids, lowest rank first and leftmost of equals."""
@@ -200,37 +187,86 @@ class Encoder:
             yield text[at:end]
             at = end
 
-    def words(self, text: str) -> Iterator[str | int]:
-        """Pre-tokens of a text, or the id of a special token."""
+    def settled(self, word: str) -> bool:
+        """Whether this Python holds all characters of a word assigned; those that it does not, others may know."""
+        if not self.assigned.issuperset(word):
+            new = set(word) - self.assigned
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return False
+            self.assigned |= new
+        return True
+
+    def runs(self, text: str) -> Iterator[list[str] | int]:
+        """The runs of anything but white space of a text, some at a time, or the id of a special token.
+
+        No pre-token has white space, and no character is composed or classed by what is beyond it, so each run is cut by itself.
+        """
         for chunk in self.chunks(text):
-            parts = self.v.split_special.split(chunk) if self.v.split_special else [chunk]
+            parts = self.v.split_special.split(chunk) if any(s in chunk for s in self.v.special) else [chunk]
             for k, part in enumerate(parts):
                 if k % 2:
                     yield self.v.special[part]
-                elif part.isascii():
-                    yield from self.word.findall(self.space.sub(" ", part).lower())
-                elif self.unsettled.search(part):
-                    # characters newer than this Python's tables: the vocabulary's own tables say how they are written and classed
-                    own = _own_tables(self.v.path)
-                    yield from (bytes(map(self.byte_of.__getitem__, w)).decode("utf-8") for w, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(part)))
+                elif any(c in part for c in "\x1c\x1d\x1e\x1f"):  # split() takes these for white space too
+                    yield [w for w in self.space.split(part) if w]
                 else:
-                    yield from self.word.findall(self.space.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower())
+                    yield part.split()
+
+    def cut(self, run: str) -> list[str]:
+        """The pre-tokens of a run."""
+        if run.isascii():
+            return self.word.findall(run.lower())
+        if self.settled(run):
+            return self.word.findall(unicodedata.normalize("NFC", run).replace("Σ", "σ").lower())
+        # characters newer than this Python's tables: the vocabulary's own tables say how they are written and classed
+        own = _own_tables(self.v.path)
+        return [bytes(map(self.byte_of.__getitem__, w)).decode("utf-8") for w, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(run))]
+
+    def ids_of(self, word: str) -> list[int]:
+        """The ids of a pre-token, remembered if it is short."""
+        if (ids := self.merged.get(word)) is None:
+            ids = self.one(word)
+            if len(word) <= SHORT:
+                if len(self.merged) >= REMEMBERED:
+                    self.merged.clear()
+                self.merged[word] = ids
+        return ids
 
-    def pieces(self, text: str, decoder: Decoder) -> Iterator[tuple[str, str, int]]:
-        """For each pre-token: its ids as text, its decoded text, their number."""
+    def pieces(self, text: str, decoder: Decoder) -> Iterator[list[tuple[str, str, int]]]:
+        """Some at a time, for each run (of a long one, for each pre-token): its ids as text, its decoded text, their number."""
+        say = lambda ids: (" ".join(map(str, ids)), decoder.plain(ids), len(ids))
         memo = self.memo
-        for w in self.words(text):
-            if (hit := memo.get(w)) is None:
-                ids = [w] if isinstance(w, int) else self.one(w)
-                hit = (" ".join(map(str, ids)), decoder.plain(ids), len(ids))
-                if len(memo) >= REMEMBERED:
-                    memo.clear()
-                if isinstance(w, int) or len(w) <= 64:
-                    memo[w] = hit
-            yield hit
+        for runs in self.runs(text):
+            if isinstance(runs, int):
+                yield [say([runs])]
+                continue
+            for k in range(0, len(runs), HELD):
+                out = list(map(memo.get, some := runs[k : k + HELD]))
+                if None not in out:
+                    yield out
+                    continue
+                found, out = out, []
+                for run, hit in zip(some, found):
+                    if hit is None and len(run) > SHORT:
+                        for w in self.cut(run):
+                            out.append(say(self.ids_of(w)))
+                            if len(out) >= HELD:
+                                yield out
+                                out = []
+                        continue
+                    if hit is None and (hit := memo.get(run)) is None:
+                        hit = say([i for w in self.cut(run) for i in self.ids_of(w)])
+                        if len(memo) >= REMEMBERED:
+                            memo.clear()
+                        memo[run] = hit
+                    out.append(hit)
+                if out:
+                    yield out
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self.words(text) for i in ([w] if isinstance(w, int) else self.one(w))]
+        out = []
+        for runs in self.runs(text):
+            out += [runs] if isinstance(runs, int) else [i for run in runs for w in self.cut(run) for i in self.ids_of(w)]
+        return out
 
 
 class Decoder:
@@ -320,22 +356,15 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     ahead = lookahead_of(vocabulary_path)
 
     def one(enc, dec, text):
-        digests, n, lead, hits = (hashlib.sha256(), hashlib.sha256()), 0, "", []
-
-        def flush():
-            nonlocal lead
-            for digest, k in zip(digests, (0, 1)):
-                digest.update((lead + " ".join([h[k] for h in hits])).encode("utf-8"))
+        digests, n, lead = (hashlib.sha256(), hashlib.sha256()), 0, ""
+        for hits in enc.pieces(text, dec):
+            if not hits:
+                continue
+            ids, names, counts = zip(*hits)
+            n += sum(counts)
+            for digest, told in zip(digests, (ids, names)):
+                digest.update((lead + " ".join(told)).encode("utf-8"))
             lead = " "
-            hits.clear()
-
-        for hit in enc.pieces(text, dec):
-            hits.append(hit)
-            n += hit[2]
-            if len(hits) >= HELD:
-                flush()
-        if hits:
-            flush()
         return n, digests[0].hexdigest(), digests[1].hexdigest()
 
     def run(batches):
