@@ -12,7 +12,7 @@ random pairs of each key, and a second one all remaining pairs of one key that t
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import checkpoint, components, discard, map_rows, materialize
+from tidemark.llm.common import checkpoint, components, discard, map_rows, materialize, release
 
 #: Words of a shingle; the growth of a size band; rows of a key that a window of the first round sees; sets of a verified block.
 WORDS, GROWTH, TOGETHER, BLOCK = 3, 1.6, 512, 256
+#: Elements of sets, in copies for all pairs of blocks, that are shuffled at once where the sets themselves have fewer.
+HELD = 1 << 24
 #: Orders that the keys of the first round go by, so that sets that share many keys meet few others; sets whose places are broadcast at most.
 ORDERS, FEW = 2, 500_000
 #: The least percentage of the union that linked sets share.
@@ -140,12 +142,17 @@ def segment_keys(h: np.ndarray, sets: float, percent: int = PERCENT) -> tuple[np
     return np.concatenate(keys), np.concatenate(before), np.concatenate(kinds)
 
 
-def odd_sketch(h: np.ndarray) -> list[int]:
-    """512 parities; two sets' sketches differ in no more bits than the sets differ in elements."""
-    bits = np.bincount((repeats.mixed(h * _B) >> np.uint64(7)) % np.uint64(512), minlength=512) & 1
+def odd_sketch(h: np.ndarray, size: int = 512) -> list[int]:
+    """So many parities, a power of two; two sets' sketches differ in no more bits than the sets differ in elements."""
+    bits = np.bincount((repeats.mixed(h * _B) >> np.uint64(7)) % np.uint64(size), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
+def long_sketch(h: np.ndarray) -> list[int] | None:
+    """An odd sketch of one to two bits an element, for sets of over 512, of which 512 bits can rule out little or nothing."""
+    return odd_sketch(h, 1 << (len(h) - 1).bit_length()) if len(h) > 512 else None
+
+
 def _near(u: str, v: str, percent: int):
     """Whether sketches and sizes (sk and n of two rows) leave room for a link."""
     bits = sum((F.bit_count(F.col(f"{u}sk")[i].bitwiseXOR(F.col(f"{v}sk")[i])) for i in range(8)), F.lit(0))
@@ -155,43 +162,50 @@ def _near(u: str, v: str, percent: int):
 def likely(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The distinct pairs (u, v) of sets that their sizes and odd sketches do not rule out."""
     one = lambda c: sets.select(F.col("set").alias(c), F.col("n").alias(f"{c}_n"), F.col("sk").alias(f"{c}_sk"))
-    return pairs.distinct().join(one("u"), "u").join(one("v"), "v").where(_near("u_", "v_", percent)).select("u", "v")
+    return likely_long(pairs.distinct().join(one("u"), "u").join(one("v"), "v").where(_near("u_", "v_", percent)).select("u", "v"), sets, percent)
+
+
+def likely_long(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (u, v) of sets that their long sketches, if both have one, do not rule out; the halves of a sketch, one on the other, are the sketch of half the size."""
+    one = lambda c: sets.where("long is not null").select(F.col("set").alias(c), F.col("n").alias(f"{c}_n"), F.col("long").alias(f"{c}_long"))
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda a, b: a.bitwiseXOR(b))
+    fit = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)  # noqa: E731  sizes of linking sets are a factor of two apart at most
+    u, v = F.col("u_long"), F.col("v_long")
+    bits = F.aggregate(F.zip_with(fit(u, v), fit(v, u), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    near = F.when(u.isNull() | v.isNull(), True).otherwise(bits * (100 + percent) <= (100 - percent) * (F.col("u_n") + F.col("v_n")))
+    return pairs.join(one("u"), "u", "left").join(one("v"), "v", "left").where(near).select("u", "v")
 
 
 def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (u, v) of sets that link, by an exact count.
 
     Pairs are brought together by the components they form, so that a set travels once however many partners it
-    has; a large component is cut into blocks, and a pair is verified where its two blocks meet. Sets are made again from the text
+    has; a large component is cut into blocks, and a pair is verified where its two blocks meet, to which only sets that have a pair there
+    travel. What would travel at once goes in slices of these places, if it is more than all sets hold. Sets are made again from the text
     of one document of each; where they are few their documents are picked out by a broadcast, else by a shuffle.
     """
     pairs = checkpoint(pairs)
     group = components(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")))
     # numbers in blocks of a group: random, so no order over a whole group is needed
     sizes = group.groupBy("component").agg(F.count("*").alias("size"))
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    placed = checkpoint(group.join(sizes, "component").join(sets.select(F.col("set").alias("node"), "rep"), "node").select("node", "component", (F.col("size") > BLOCK).alias("large"), block.alias("block"), "rep"))
+    placed = checkpoint(group.join(sizes, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")))
     at = lambda c, b: placed.select(F.col("node").alias(c), *(["component"] if c == "u" else []), F.col("block").alias(b))
-    cells = checkpoint(pairs.join(at("u", "i"), "u").join(at("v", "j"), "v").select("component", "i", "j", "u", "v"))
+    cells = checkpoint(pairs.join(at("u", "i"), "u").join(at("v", "j"), "v").select(F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "u", "v"))
+    seats = cells.select("cell", F.explode(F.array("u", "v")).alias("node")).distinct().groupBy("node").agg(F.collect_list("cell").alias("cells"))  # as many as blocks of a component
+    seats = checkpoint(seats.join(sets.select(F.col("set").alias("node"), "rep", "n"), "node"))
+    count, load = seats.agg(F.sum(F.size("cells")), F.sum(F.size("cells") * F.col("n"))).first()
+    if not count:
+        return pairs
+    slices = -(-load // max(HELD, sets.agg(F.sum("n")).first()[0]))
 
     def made(batches):
         for b in repeats.sliced(batches):
             rows = []
-            for node, text, *place in zip(b["node"], b["text"], b["component"], b["large"], b["block"]):
+            for node, text, cells in zip(b["node"], b["text"], b["cells"]):
                 h = shingles(text, words)
                 if set_id(h) == node:  # another text of the same id has another set
-                    rows.append((node, *place, h.tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "component", "large", "block", "s"])
-
-    few = placed.count() <= FEW
-    texts = docs.join(F.broadcast(placed) if few else placed, docs["doc_id"] == placed["rep"]).select("node", "text", "component", "large", "block")
-    known = texts.mapInPandas(made, "node long, component long, large boolean, block int, s binary")
-    # a small component is one block and needs no look-up of the cells it takes part in
-    seats = cells.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).distinct()
-    large = placed.where("large").select("component").distinct()
-    seats = seats.join(large, "component", "left_semi").groupBy("component", "block").agg(F.collect_set(F.struct("i", "j")).alias("cells"))  # as many as blocks of a component
-    known = known.join(seats, ["component", "block"], "left").withColumn("cell", F.explode(F.coalesce("cells", F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
-    known = known.select("component", "cell.i", "cell.j", "node", "s")
+                    rows.append((node, cells, h.tobytes()))
+            yield pd.DataFrame(rows, columns=["node", "cells", "s"])
 
     def check(left, right):
         have = {k: np.frombuffer(s, dtype=np.uint64) for k, s in zip(right["node"], right["s"])}
@@ -204,7 +218,15 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int = WORD
                     out.append((u, v))
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-    return checkpoint(cells.groupBy("component", "i", "j").cogroup(known.groupBy("component", "i", "j")).applyInPandas(check, "u long, v long"))
+    links = []
+    for k in range(slices):
+        mine = seats.withColumn("cells", F.filter("cells", lambda c: F.pmod(c, F.lit(slices)) == k)).where(F.size("cells") > 0) if slices > 1 else seats
+        texts = docs.join(F.broadcast(mine) if count <= FEW else mine, docs["doc_id"] == mine["rep"]).select("node", "text", "cells")
+        known = texts.mapInPandas(made, "node long, cells array<long>, s binary").select("node", F.explode("cells").alias("cell"), "s")
+        some = cells.where(F.pmod("cell", F.lit(slices)) == k) if slices > 1 else cells
+        links.append(checkpoint(some.groupBy("cell").cogroup(known.groupBy("cell")).applyInPandas(check, "u long, v long")))
+        release(docs.sparkSession)
+    return reduce(DataFrame.unionByName, links)
 
 
 def set_id(h: np.ndarray) -> int:
@@ -225,19 +247,19 @@ def features_of(docs: DataFrame, total: float, words: int = WORDS, percent: int
             for doc, text in zip(b["doc_id"], b["text"]):
                 h = shingles(text, words)
                 if not len(h) or pd.isna(doc):
-                    rows.append((doc, len(h), None, None, None, None, None))
+                    rows.append((doc, len(h), *[None] * 6))
                     continue
                 name = set_id(h)
                 if name in seen:
-                    rows.append((doc, len(h), name, None, None, None, None))
+                    rows.append((doc, len(h), name, *[None] * 5))
                     continue
                 seen.add(name)
                 keys, before, kinds = segment_keys(h, total, percent)
-                rows.append((doc, len(h), name, odd_sketch(h), keys.view(np.int64), (before >> np.uint64(32)).astype(np.uint32).view(np.int32), kinds))
-            cols = dict(zip(("doc_id", "n", "set", "sk", "ks", "before", "kinds"), map(list, zip(*rows))))
+                rows.append((doc, len(h), name, odd_sketch(h), long_sketch(h), keys.view(np.int64), (before >> np.uint64(32)).astype(np.uint32).view(np.int32), kinds))
+            cols = dict(zip(("doc_id", "n", "set", "sk", "long", "ks", "before", "kinds"), map(list, zip(*rows))))
             yield pd.DataFrame(cols | {"doc_id": b["doc_id"].to_numpy(), "set": pd.array(cols["set"], dtype="Int64")})  # not by way of floats
 
-    return map_rows(docs, run, "doc_id long, n long, set long, sk array<long>, ks array<long>, before array<int>, kinds array<boolean>")
+    return map_rows(docs, run, "doc_id long, n long, set long, sk array<long>, long array<long>, ks array<long>, before array<int>, kinds array<boolean>")
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -250,7 +272,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     made = materialize(features_of(docs, float(documents.count()), words, percent), "features")
     members = materialize(made.select("doc_id", "n", "set"), "members")
-    sets = materialize(made.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sk", ignorenulls=True).alias("sk")), "sets")
+    sets = materialize(made.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(c, ignorenulls=True).alias(c) for c in ("sk", "long")]), "sets")
 
     # keys of two sets at least: one shuffle by key, in which copies fall together before a key's sets are counted
     keys = made.where("ks is not null").select("set", F.explode(F.arrays_zip("ks", "before", "kinds")).alias("k")).select("set", F.col("k.ks").alias("key"), F.col("k.before").alias("before"), F.col("k.kinds").alias("deletion"))
@@ -280,7 +302,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     new_run = (F.col("x.before") != F.col("y.before")) | F.col("x.deletion") | F.col("y.deletion") | (F.col("x.before") == 0)
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component")) & new_run & alike("x", "y") & _near("x.", "y.", percent)
     rest = x.join(y, on).select(F.col("x.set").alias("u"), F.col("y.set").alias("v")).distinct()
-    links = links.unionByName(verify(docs, sets, rest, words, percent))
+    links = links.unionByName(verify(docs, sets, likely_long(rest, sets, percent), words, percent))
 
     # from sets to documents: rows of one id are linked, and so are the sets they have
     rep = sets.select("set", "rep")
